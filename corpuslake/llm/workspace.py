@@ -52,7 +52,7 @@ def materialise(df: DataFrame, uri: str) -> DataFrame:
 
 def partitions_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Partitions of about ``bytes_each`` input bytes, never fewer than the session's shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(-(-min(size, 1 << 60) // bytes_each), 200_000) if size < 1 << 50 else least)
 
