@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, simhash, substring_dedup
+from corpuslake.llm import decontaminate, impact_topk, packing, simhash, substring_dedup, token_store
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the named public tokenizer file is; its bytes stay there."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +37,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 2048 byte-level BPE ids."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048).drop("ids")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids, written to Elias-Fano indexed shards and read back."""
+    back = token_store.store(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,7 +76,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
