@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, packing, simhash, substring_dedup, token_store
+from corpuslake.llm import decontaminate, impact_topk, packing, simhash, substring_dedup, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives, their runs merged, and every record read back. The timestamp is made from page_id."""
+    second = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(100_000_000)))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.date_format(second, "yyyyMMddHHmmss").alias("ts"), F.col("html").alias("payload"))
+    read = warc.capture_history(pages, min_bytes=0)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range", "position")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
