@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, packing, simhash, substring_dedup, token_store, warc
+from corpuslake.llm import decontaminate, impact_topk, language_id, packing, simhash, substring_dedup, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +29,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range", "position")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32(doc_id) leaves another remainder than 2 by 4."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.learn(docs.where(~held_out).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
