@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, language_id, packing, secrets, simhash, substring_dedup, token_store, warc
+from corpuslake.llm import decontaminate, impact_topk, language_id, line_dedup, packing, secrets, simhash, substring_dedup, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines of 24 or more characters that repeat an earlier one within 2 edits."""
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), edits=2, min_chars=24)
+    return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "class_docs", "class_lines")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that a smaller doc_id holds too."""
     kept = substring_dedup.repeated_windows(_table(spark, sf_dir, "documents"), window=13)
