@@ -37,9 +37,24 @@ def _remove(spark: SparkSession, uri: str) -> None:
         pass
 
 
+#: Folders made in this process, in order.
+MADE: list[str] = []
+
+
+def release(spark: SparkSession, uris: list[str], docs: DataFrame) -> None:
+    """Remove those folders from disk and list that ``docs`` does not read."""
+    read = docs.inputFiles() if uris else []
+    for uri in list(uris):
+        name = uri.rpartition("/")[2]
+        if not any(f"/{name}/" in x for x in read):
+            _remove(spark, uri)
+            uris.remove(uri)
+
+
 def new_workspace(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the driver ends."""
     uri = f"{shared_dir(spark).rstrip('/')}/corpuslake/{name}-{uuid.uuid4().hex}"
+    MADE.append(uri)
     atexit.register(_remove, spark, uri)
     return uri
 
