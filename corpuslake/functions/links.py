@@ -18,7 +18,7 @@ LINKS = T.ArrayType(T.StructType([T.StructField("display", T.StringType()), T.St
 
 def wiki_targets(line: Column) -> Column:
     """Targets of the wiki links of a line, trimmed, in order."""
-    return F.transform(F.regexp_extract_all(line, F.lit(WIKI), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(line, F.lit(WIKI), F.lit(1)), lambda t: F.trim(t))
 
 
 class _Cursor:

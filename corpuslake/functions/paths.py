@@ -55,10 +55,8 @@ def category(path: Column, inbox: str) -> Column:
 
 def archived(path: Column, markers: Iterable[str]) -> Column:
     """Whether a directory's name contains one of the markers."""
-    out = F.lit(False)
-    for m in markers:
-        out = out | F.exists(directories(path), lambda s, m=m: s.contains(m))
-    return out
+    found = list(markers)
+    return F.exists(directories(path), lambda s: F.exists(F.array(*map(F.lit, found)), lambda m: s.contains(m))) if found else F.lit(False)
 
 
 def excluded(path: Column, directories_: Iterable[str], top_files: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 CJK = "一-鿿"
 #: What str.splitlines() breaks at.
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
 def _pieces(run: Column, width: int) -> Column:
@@ -150,7 +150,7 @@ def frontmatter_tags(text: Column) -> Column:
     scalar = F.regexp_extract(fm, r"(?m)^tags[ \t]*:[ \t]*([^\[\n][^\n]*)$", 1)
     words = F.when(F.trim(scalar) != "", F.transform(F.split(F.trim(F.regexp_replace(scalar, ",", " ")), r"\s+"), _bare))
     found = F.coalesce(inline, block, words, F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.lower(t)), lambda t: t != ""))
 
 
 def inline_tags(text: Column) -> Column:

@@ -41,17 +41,17 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
     placed = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = placed.select(F.col("block").alias("i"), F.explode(others).alias("j"), "k", "v")
-    right = placed.select(F.explode(others).alias("i"), F.col("block").alias("j"), "k", "v")
+    right = placed.select(F.explode(others).alias("i2"), F.col("block").alias("j2"), F.col("k").alias("kb"), F.col("v").alias("vb"))
     kind = dict(rows.dtypes)["k"]
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": a["k"].head(0), "b": a["k"].head(0), "similarity": pd.Series([], dtype="float64")})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["vb"].to_numpy())
         nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
         product = nx[:, None] * ny[None, :]
         sim = np.divide(x @ y.T, product, out=np.zeros_like(product), where=product > 0)
-        ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
+        ka, kb = a["k"].to_numpy(), b["kb"].to_numpy()
         sim[ka[:, None] == kb[None, :]] = -np.inf
         keep = sim >= max(least - 1e-9, -2)
         if sim.shape[1] > top:
@@ -61,6 +61,6 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
         i, j = np.nonzero(keep)
         return pd.DataFrame({"a": ka[i], "b": kb[j], "similarity": sim[i, j]})
 
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 6)), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & (F.round("similarity", 6) >= least)).drop("rank")

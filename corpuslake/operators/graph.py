@@ -16,6 +16,7 @@ from corpuslake.config import EngineConfig
 from corpuslake.functions import links as L
 from corpuslake.functions import paths as P
 from corpuslake.functions import text as X
+from corpuslake.session import cut_lineage
 
 EDGE = "src string, dst string, type string, weight double, count long, raw_target string, link_syntax string, confidence string, reason string"
 
@@ -176,7 +177,7 @@ def neighbors(edges: DataFrame, start: str, max_hops: int = 2, types: tuple[str,
     for hop in range(1, max_hops):
         frontier = e.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(near, "node", "left_anti").withColumn("hop", F.lit(hop))
         if hop >= 3:
-            frontier = frontier.checkpoint()
+            frontier = cut_lineage(frontier)
             if frontier.isEmpty():
                 break
         near = near.unionByName(frontier)
@@ -193,11 +194,11 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 64
     spark = edges.sparkSession
     order = F.col("edge_ord") if "edge_ord" in edges.columns else F.xxhash64("src", "dst", "type")
     e = edges.select("src", "dst", "type", order.alias("o"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "o"))
+    both = cut_lineage(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "o")))
     seen = spark.createDataFrame([(source, None, "start", 0)], "node string, prev string, edge_type string, hop int")
     for hop in range(1, max_hops + 1):
         last = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("src"))
-        new = both.join(last, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("o", "src", "type")).alias("p")).join(seen, "node", "left_anti").select("node", F.col("p.src").alias("prev"), F.col("p.type").alias("edge_type"), F.lit(hop).alias("hop")).checkpoint()
+        new = cut_lineage(both.join(last, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("o", "src", "type")).alias("p")).join(seen, "node", "left_anti").select("node", F.col("p.src").alias("prev"), F.col("p.type").alias("edge_type"), F.lit(hop).alias("hop")))
         if new.isEmpty():
             return []
         seen = seen.unionByName(new)
@@ -218,14 +219,14 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 64
 
 def component_labels(pairs: DataFrame) -> DataFrame:
     """(node, component) of undirected pairs (a, b): the smallest node of each, by minima that jump over labels already found."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node"), "c").checkpoint()
+    both = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node"), "c"))
     while True:
         least = both.join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
         hooked = labels.join(least, "node").select("node", "c", F.least("c", "m").alias("n"))
         jump = hooked.select(F.col("node").alias("n"), F.col("n").alias("nn"))
-        new = hooked.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.least(F.coalesce("nn", "n"), "n").alias("c")).checkpoint()
-        changed = new.where("old <> c").isEmpty() is False
+        new = cut_lineage(hooked.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.least(F.coalesce("nn", "n"), "n").alias("c")))
+        changed = not new.where("old <> c").isEmpty()
         labels = new.select("node", "c")
         if not changed:
             return labels.withColumnRenamed("c", "component")
@@ -287,7 +288,7 @@ def communities(nodes_: DataFrame, edges: DataFrame, most_edges: int = 2_000_000
     live = nodes_.where(~F.col("archived")).select("path")
     order = F.col("edge_ord") if "edge_ord" in edges.columns else F.struct("src", "dst", "type")
     flat = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"), order.alias("o"))
-    pairs = flat.join(live.withColumnRenamed("path", "a"), "a", "left_semi").join(live.withColumnRenamed("path", "b"), "b", "left_semi").groupBy("a", "b").agg(F.max_by("w", "o").alias("w")).checkpoint()
+    pairs = cut_lineage(flat.join(live.withColumnRenamed("path", "a"), "a", "left_semi").join(live.withColumnRenamed("path", "b"), "b", "left_semi").groupBy("a", "b").agg(F.max_by("w", "o").alias("w")))
     total = pairs.agg(F.sum("w")).first()[0] or 0.0
     labels = component_labels(pairs)
     placed = pairs.join(labels.withColumnRenamed("node", "a"), "a")
@@ -320,7 +321,7 @@ def _propagate(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     labels = both.select(F.col("a").alias("path"), F.col("a").alias("leader")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.withColumnsRenamed({"path": "b", "leader": "l"}), "b").groupBy("a", "l").agg(F.sum("w").alias("w"))
-        labels = votes.groupBy("a").agg(F.max_by("l", F.struct("w", "l")).alias("leader")).withColumnRenamed("a", "path").checkpoint()
+        labels = cut_lineage(votes.groupBy("a").agg(F.max_by("l", F.struct("w", "l")).alias("leader")).withColumnRenamed("a", "path"))
     return labels
 
 

@@ -130,7 +130,7 @@ def active_session(rows: DataFrame, where: Column, as_of: str, window_seconds: i
     """One row: the latest model; certain if exactly one row lies within the window, degraded otherwise. Without a row of the place the latest of all counts."""
     here = rows.where(where)
     src = here if not here.isEmpty() else rows
-    near = F.abs(F.unix_micros("ts") - F.unix_micros(F.lit(as_of).cast("timestamp"))) <= window_seconds * 1_000_000
+    near = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(as_of).cast("timestamp"))) <= window_seconds * 1_000_000
     return src.agg(F.max_by("model", F.struct("ts", "model")).alias("model"), F.max("ts").alias("ts"), F.count_if(near).alias("active")).withColumn("degraded", (F.col("active") != 1) | F.lit(src is rows))
 
 

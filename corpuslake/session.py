@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,12 @@ def session(app: str = "corpuslake", master: str | None = None, **extra: str) ->
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder that the session names; one of our own only where it names none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuslake-")
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint()
