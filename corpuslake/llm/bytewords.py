@@ -78,6 +78,15 @@ def slices(off: np.ndarray, most: int):
         lo = hi
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    n = len(data)
+    p, inverse = _powers(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[data] * p[:n], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+
+
 class Words:
     """Words of consecutive documents: ``start``/``end`` in ``data``; document d has words ``first[d]:first[d+1]``."""
 
@@ -100,11 +109,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        p, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[self.data] * p[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+        return span_hashes(self.data, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         """The document number of each word."""

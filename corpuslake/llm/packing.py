@@ -25,7 +25,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.token_store import _by_chars
 from corpuslake.llm.tokens import encoder
 from corpuslake.llm.workspace import materialise, new_workspace
 
@@ -158,23 +157,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids
 
     def run(batches):
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            row = 0
-            for texts in _by_chars(b.column(1)):
+            for lo, hi, ids, bounds in enc.column(b.column(1), end_id):
                 out: list[list] = [[] for _ in range(8)]
-                for raw in enc.encode(texts):
-                    raw += end
-                    total = len(raw) // 4
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for row, first, last in zip(range(lo, hi), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    total = last - first
                     head = total % capacity
                     cuts = ([0] if head else []) + list(range(head, total, capacity)) + [total]
                     for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
-                        body = raw[4 * a : 4 * z]
-                        for column, value in zip(out, (row, i, a, z - a, zlib.crc32(body), body if keep_ids else None, part, int(seen[z - a]))):
+                        body = raw[4 * (first + a) : 4 * (first + z)]
+                        for column, value in zip(out, (row, i, a, z - a, zlib.crc32(body), bytes(body) if keep_ids else None, part, int(seen[z - a]))):
                             column.append(value)
                         seen[z - a] += 1
-                    row += 1
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
                 columns = [pa.array(x, t) for x, t in zip(out, types)]
                 columns[0] = b.column(0).take(columns[0])

@@ -3,8 +3,9 @@
 A store is a folder of shards in ascending doc_id order. A shard is
 
     8 bytes  magic ``CLTOK1\\0\\0``
-    6 x u64  documents, ids, bytes of an id, sizes of the three sections below
-    section  doc_ids, Elias-Fano (less the smallest)
+    7 x u64  documents, ids, bytes of an id, sizes of the three sections below, and
+             how many documents, the first ones, have no doc_id
+    section  doc_ids of the others, Elias-Fano (less the smallest)
     section  ends: for each document the ids up to its end, Elias-Fano
     section  ids, little-endian, of the stated width
 
@@ -29,7 +30,6 @@ from corpuslake.llm.workspace import filesystem, materialise, new_workspace, par
 
 MAGIC = b"CLTOK1\0\0"
 SUPER = 512
-BATCH_CHARS = 2 << 20
 
 
 class EliasFano:
@@ -80,15 +80,17 @@ class EliasFano:
         return self.base + ((at - i) << self.low_bits) + int(self._lows(np.array([i]))[0])
 
     def all(self) -> np.ndarray:
+        if not self.n:
+            return np.zeros(0, np.int64)
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
         i = np.arange(self.n)
         return self.base + ((at - i) << self.low_bits) + self._lows(i)
 
 
-def _shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes, width: int):
+def _shard(nameless: int, doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes, width: int):
     keys = EliasFano.encode(doc_ids).to_bytes()
     ends = EliasFano.encode(np.cumsum(lengths)).to_bytes()
-    yield MAGIC + struct.pack("<6Q", len(doc_ids), len(ids) // width, width, len(keys), len(ends), len(ids))
+    yield MAGIC + struct.pack("<7Q", len(lengths), len(ids) // width, width, len(keys), len(ends), len(ids), nameless)
     yield keys
     yield ends
     yield ids
@@ -98,11 +100,11 @@ class Shard:
     """One shard, read from an open pyarrow file."""
 
     def __init__(self, file):
-        head = file.read(56)
+        head = file.read(64)
         if head[:8] != MAGIC:
             raise ValueError("not a token shard")
-        self.n, self.total, self.width, a, b, c = struct.unpack_from("<6Q", head, 8)
-        self.file, self.first = file, 56 + a + b
+        self.n, self.total, self.width, a, b, c, self.nameless = struct.unpack_from("<7Q", head, 8)
+        self.file, self.first = file, 64 + a + b
         self.doc_ids = EliasFano.from_bytes(file.read(a))
         self.ends = EliasFano.from_bytes(file.read(b))
 
@@ -120,8 +122,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataF
 
     Ascending doc_id; rows that repeat a doc_id follow each other by the hash of
     their text. Null text counts as empty; every document ends with ``end_id``.
-    A row without doc_id has no place in the order and raises an error. Shards
-    are files of their own, replaced whole if a task is run again.
+    Rows without doc_id come first. Other columns are ignored. Shards are files of their own, replaced whole if a task is run again.
     """
     n = partitions_for(docs)
     ordered = (
@@ -135,40 +136,22 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataF
         shard = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
-        end = np.array([end_id], "<u4").tobytes()
-        keys, lengths, parts = [], [], []
+        keys, lengths, parts, nameless = [], [], [], 0
         for b in batches:
-            if b.column(0).null_count:
-                raise ValueError("a document has no doc_id")
-            keys.append(np.asarray(b.column(0)).astype(np.int64))
-            for texts in _by_chars(b.column(1)):
-                for raw in enc.encode(texts):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    lengths.append(len(ids))
-                    parts.append(ids.astype(f"<u{width}").tobytes())
+            nameless += b.column(0).null_count
+            keys.append(np.asarray(b.column(0).drop_null()).astype(np.int64))
+            for _, _, ids, bounds in enc.column(b.column(1), end_id):
+                lengths += np.diff(bounds).tolist()
+                parts.append(ids.astype(f"<u{width}").tobytes())
         if not lengths:
             return
         path = f"{uri}/shard-{shard:06d}.tok"
-        publish(path, lambda sink: [sink.write(x) for x in _shard(np.concatenate(keys), np.array(lengths), b"".join(parts), width)])
+        publish(path, lambda sink: [sink.write(x) for x in _shard(nameless, np.concatenate(keys), np.array(lengths), b"".join(parts), width)])
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(lengths)]), pa.array([sum(lengths)])], names=["shard", "path", "n_docs", "n_ids"])
 
     return materialise(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), f"{uri}/manifest")
 
 
-def _by_chars(column: pa.Array):
-    """Texts of a column in lists of bounded size."""
-    texts, size = [], 0
-    for t in column:
-        t = t.as_py() or ""
-        texts.append(t)
-        size += len(t)
-        if size > BATCH_CHARS:
-            yield texts
-            texts, size = [], 0
-    if texts:
-        yield texts
-
-
 def read_store(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary as little-endian uint32) of each document, from the shards.
 
@@ -189,14 +172,14 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 fs, at = filesystem(path)
                 with fs.open_input_file(at) as f:
                     s = Shard(f)
-                    ids, ends = s.doc_ids.all(), s.ends.all()
+                    ids, ends = pa.concat_arrays([pa.nulls(s.nameless, pa.int64()), pa.array(s.doc_ids.all().astype(np.int64))]), s.ends.all()
                     starts = np.concatenate(([0], ends[:-1]))
                     for lo in range(0, s.n, 1024):
                         a, z = int(starts[lo]), int(ends[min(lo + 1024, s.n) - 1])
                         flat = s.ids(a, z).astype("<u4").tobytes()
                         body = [flat[4 * (x - a) : 4 * (y - a)] for x, y in zip(starts[lo : lo + 1024].tolist(), ends[lo : lo + 1024].tolist())]
                         part = slice(lo, lo + 1024)
-                        yield pa.record_batch([pa.array(ids[part]), pa.array(starts[part] + base), pa.array(ends[part] - starts[part]), pa.array(body, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        yield pa.record_batch([ids[part], pa.array(starts[part] + base), pa.array(ends[part] - starts[part]), pa.array(body, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return jobs.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

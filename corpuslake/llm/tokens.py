@@ -1,23 +1,41 @@
 """Whole-text tokenisation with the tokenizers library and a bounded memo of words.
 
 For the two pre-tokenizer layouts that are recognised, no token spans a plain
-space, so a text's ids are those of its space-separated pieces in a row; each
-distinct piece is encoded by the library once while the memo holds it. Texts
-that the argument does not cover, and any other tokenizer, are encoded whole.
+space, so a text's ids are those of its space-separated pieces in a row; nor
+does one span the border of a run of Latin letters and a run of plain ASCII
+others, so a piece's ids are those of its runs. Each distinct run is encoded by
+the library once while the memo holds it. Pieces and texts that the argument
+does not cover, and any other tokenizer, are encoded whole.
+
+Pieces are looked up a slice of a column at a time, in sorted arrays of their
+64-bit hashes; a memo holds a few million of them, so that two of its pieces
+share a hash with a chance below one in a million.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries and characters that the memo of one worker may hold.
-MOST_PIECES, MOST_CHARS = 600_000, 12_000_000
+from corpuslake.llm import bytewords as bw
+
+#: Entries that the memos of one worker may hold, ids of its pieces, and characters of the longest runs that stay.
+MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 3_000_000, 12_000_000, 800_000, 64
+#: UTF-8 bytes that are looked up at once.
+SLICE = 2 << 20
+U = np.uint64
+_HEAD = U(0xA0761D6478BD642F)
+_RUNS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SPACES = re.compile(r"\s\s")
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
+    """``column(texts)`` gives the ids of whole texts, ``encode`` those of a list."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -28,8 +46,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.mode = self._mode(layout)
-        self.memo: dict[str, bytes] = {}
-        self.chars = 0
+        self._forget()
+        self.runs: dict[str, bytes | None] = {}  # None: a run that does not stand for itself
 
     @staticmethod
     def _mode(layout: dict) -> str:
@@ -42,38 +60,143 @@ class Encoder:
         return "whole"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mode == "whole":
-            return self._ids(texts)
-        split = [t.split(" ") for t in texts]
-        leading = self.mode == "leading"
-        if leading:  # the pieces after the first are looked up; the first is encoded with its text's start
-            heads = [p[0] for p in split]
-            odd = [i for i, p in enumerate(split) if len(p) < 2 or not p[0] or p[0][-1].isspace()]
-        seen: set[str] = set()
-        for p in split:
-            seen.update(p)
-        memo = self.memo
-        if len(memo) > MOST_PIECES or self.chars > MOST_CHARS:
-            memo.clear()
-            self.chars = 0
-        new = list(seen.difference(memo))
-        if new:
-            encoded = self._ids([" " + x for x in new] if leading else new)
-            memo.update(zip(new, encoded))
-            self.chars += sum(map(len, new))
-        look = memo.__getitem__
-        if not leading:
-            return [b"".join(map(look, p)) for p in split]
-        strange = {x for x in seen if not x or x[0].isspace() or x[-1].isspace()}
-        if strange:
-            odd = sorted({*odd, *(i for i, p in enumerate(split) if not strange.isdisjoint(p[1:]))})
-        first = self._ids(heads)
-        out = [f + b"".join(map(look, p[1:])) for f, p in zip(first, split)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
+    @staticmethod
+    def _alone(run: str) -> bool:
+        """Whether a run means the same anywhere: letters do, others unless an apostrophe, two white spaces or a character outside ASCII could join them to their neighbours."""
+        bare = run.removeprefix(" ")
+        return bool(_LETTERS.fullmatch(bare)) or (bare.isascii() and "'" not in bare and not _SPACES.search(bare))
+
+    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        """The ids of non-empty pieces, each behind ``lead``."""
+        runs, find, single = self.runs, _RUNS.findall, _LETTERS.fullmatch
+        if len(runs) > MOST_RUNS:
+            runs.clear()
+        plans, new = [], set()
+        for p in pieces:
+            if single(p):
+                parts = [lead + p]
+            else:
+                parts = find(p)
+                parts[0] = lead + parts[0]
+            plans.append(parts)
+            new.update(parts)
+        new = [x for x in new.difference(runs)]
+        once = [x for x in new if self._alone(x)]
+        runs.update(dict.fromkeys(new))
+        runs.update(zip(once, self._ids(once)))
+        out, whole = [], []
+        look = runs.__getitem__
+        for i, parts in enumerate(plans):
+            try:
+                out.append(b"".join(map(look, parts)))
+            except TypeError:  # a run that does not stand for itself
+                whole.append(i)
+                out.append(b"")
+        for i, ids in zip(whole, self._ids([lead + pieces[i] for i in whole])):
             out[i] = ids
+        for x in new:
+            if len(x) > MOST_CHARS:
+                del runs[x]
+        return out
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _store(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Append ids to the pool: where each begins and how many."""
+        count = np.array([len(x) // 4 for x in bodies], np.int64)
+        flat = np.frombuffer(b"".join(bodies), np.uint32)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(count) - count
+        self.used += len(flat)
+        return at, count
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], heads: np.ndarray) -> None:
+        """Take new pieces into the memo; a count of -1 says that a piece's text must be encoded whole."""
+        bodies: list[bytes] = [b""] * len(pieces)
+        odd = np.zeros(len(pieces), bool)
+        leading = self.mode == "leading"
+        for head in (True, False):
+            rows = [i for i in np.flatnonzero(heads == head).tolist() if pieces[i]]
+            for i, ids in zip(rows, self._pieces([pieces[i] for i in rows], " " if leading and not head else "")):
+                bodies[i] = ids
+        if leading:  # a space belongs to the piece behind it only if neither side of it is white space
+            odd[:] = [not x or x[-1].isspace() or (not head and x[0].isspace()) for x, head in zip(pieces, heads.tolist())]
+        at, count = self._store(bodies)
+        count[odd] = -1
+        keys, at, count = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.count, count)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.count = keys[order], at[order], count[order]
+
+    def column(self, texts: pa.Array, end_id: int | None = None):
+        """Slices (first row, last row + 1, ids, bounds) of a string column; null is empty, each text ends with ``end_id`` if given."""
+        data, off = bw.buffers(texts)
+        for lo, hi in bw.slices(off, SLICE):
+            raw, edges = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            if len(self.keys) > MOST_PIECES or self.used > MOST_IDS:
+                self._forget()
+            yield lo, hi, *self._slice(raw, edges, end_id)
+
+    def _slice(self, raw: np.ndarray, edges: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        docs = len(edges) - 1
+        used = self.used
+        if self.mode == "whole":
+            at, count = self._store(self._ids([raw[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]))
+            first = np.arange(docs + 1)
+        else:
+            spaces = np.flatnonzero(raw == 32)
+            first = np.arange(docs + 1) + np.searchsorted(spaces, edges)
+            start, end = np.sort(np.concatenate([edges[:-1], spaces + 1])), np.sort(np.concatenate([spaces, edges[1:]]))
+            head = np.zeros(len(start), bool)
+            head[first[:-1]] = True
+            key = bw.span_hashes(raw, start, end)
+            if self.mode == "leading":
+                key = np.where(head, bw.mix(key ^ _HEAD), key)
+            unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+            new = np.flatnonzero(self._find(unique)[1])
+            if len(new):
+                rows = index[new]
+                flat = raw.tobytes()
+                self._learn(unique[new], [flat[a:b].decode() for a, b in zip(start[rows].tolist(), end[rows].tolist())], head[rows])
+                used = self.used
+            place, _ = self._find(unique)
+            at, count = self.at[place][inverse], self.count[place][inverse]
+            if self.mode == "leading":
+                odd = np.add.reduceat(count < 0, first[:-1]) > 0 if docs else np.zeros(0, bool)
+                odd &= edges[1:] > edges[:-1]
+                count = np.maximum(count, 0)
+                whole = np.flatnonzero(odd)
+                if len(whole):
+                    count[np.repeat(odd, np.diff(first))] = 0
+                    at[first[whole]], count[first[whole]] = self._store(self._ids([raw[edges[d] : edges[d + 1]].tobytes().decode() for d in whole]))
+        if end_id is not None:
+            e, _ = self._store([array("I", [end_id]).tobytes()])
+            at, count = np.insert(at, first[1:], e[0]), np.insert(count, first[1:], 1)
+            first = first + np.arange(docs + 1)
+        through = np.concatenate(([0], np.cumsum(count)))
+        ids = self.pool[np.repeat(at - through[:-1], count) + np.arange(through[-1])]
+        self.used = used  # what was stored for whole texts and ends is not kept
+        return ids, through[first]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys in the memo, and which are not there."""
+        place = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return place, np.ones(len(keys), bool)
+        place = np.minimum(place, len(self.keys) - 1)
+        return place, self.keys[place] != keys
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as uint32 bytes."""
+        out: list[bytes] = []
+        for _, _, ids, bounds in self.column(pa.array(texts, pa.string())):
+            flat = ids.tobytes()
+            out += [flat[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         return out
 
 
