@@ -35,7 +35,7 @@ def log_entries(doc: DataFrame) -> DataFrame:
         "date", "day_pos", "pos",
         F.nullif(F.regexp_extract("entry", r"^### \[?(\d{1,2}:\d{2})", 1), F.lit("")).alias("time"),
         F.trim(F.regexp_extract("entry", r"^### (?:\[?\d{1,2}:\d{2}\]?\s*)?([^\n]*)", 1)).alias("title"),
-        F.trim(F.regexp_replace("entry", r"^### [^\n]*\n?", "")).alias("body"),
+        F.regexp_replace(F.regexp_replace("entry", r"^### [^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 

@@ -1,7 +1,7 @@
 """Note scans: a tree of Markdown files as the notes relation.
 
-Spark's listing leaves out names that start with ``_`` or ``.``; those are
-listed through the store's own file system and read by the same kind of task.
+Spark's scan leaves out names that start with ``_`` or ``.`` and empty files;
+those are listed through the store's own file system and read by the same kind of task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ NOTE_SCHEMA = "path string, content string, size_bytes long, mtime timestamp"
 
 
 def _hidden(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> list[tuple[str, str, int, float]]:
-    """Files below root that Spark's listing skips: (path, uri, size, seconds)."""
+    """Files below root that Spark's scan skips, hidden or empty ones: (path, uri, size, seconds)."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(conf)
@@ -28,7 +28,7 @@ def _hidden(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> list[t
     while entries.hasNext():
         e = entries.next()
         path = e.getPath().toUri().getPath().removeprefix(base)
-        if path.lower().endswith(suffixes) and any(s[0] in "_." for s in path.split("/") if s):
+        if path.lower().endswith(suffixes) and (not e.getLen() or any(s[0] in "_." for s in path.split("/") if s)):
             found.append((path, e.getPath().toString(), e.getLen(), e.getModificationTime() / 1000))
     return found
 
