@@ -118,6 +118,14 @@ def field(text: Column, key: str) -> Column:
     return F.coalesce(clean(top), clean(nested))
 
 
+def frontmatter_map(text: Column) -> Column:
+    """Top-level scalars of the front matter as a map; values that cannot be read are left out."""
+    pairs = F.regexp_extract_all(frontmatter(text), F.lit(r"(?m)^([A-Za-z_][\w-]*)[ \t]*:[ \t]*(\S[^\n]*)$"), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([\w-]+)", 1).alias("key"), _bare(F.regexp_replace(p, r"^[\w-]+[ \t]*:[ \t]*", "")).alias("value")))
+    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def set_field(text: Column, key: str, value: Column) -> Column:
     """The text with the first such field of its front matter rewritten."""
     before = F.regexp_extract(text, rf"(?s)\A(---.*?\n{key}:)[^\n]*", 1)

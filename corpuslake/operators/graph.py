@@ -82,6 +82,12 @@ def semantic_edges(related: DataFrame, config: EngineConfig = EngineConfig(), le
     return rows.select("src", "dst", F.lit("semantic").alias("type"), "weight", null("long").alias("count"), null("string").alias("raw_target"), null("string").alias("link_syntax"), F.when(F.col("weight") >= config.semantic_inferred, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"), null("string").alias("reason"))
 
 
+def related_bands(related: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """related with its band: strong from the inferred threshold on, else weak; and the two-decimal form with the target's stem."""
+    strong = F.col("similarity") >= config.semantic_inferred
+    return related.where(F.col("similarity") >= config.related_least).select("a", "b", "similarity", F.when(strong, "strong").otherwise("weak").alias("band"), F.bround("similarity", 2).alias("shown"), P.stem(F.col("b")).alias("target"))
+
+
 def broken(resolved: DataFrame) -> DataFrame:
     return resolved.where(F.col("target").isNull()).drop("target")
 

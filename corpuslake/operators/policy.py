@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.functions import paths as P
+from corpuslake.functions import text as X
 from corpuslake.functions.globs import segment_regex
 
 
@@ -68,6 +69,17 @@ def sidecar_issues(sidecars: DataFrame) -> DataFrame:
     return sidecars.where(F.col("source").isNull() | (F.col("source") != F.col("expected"))).select("path", F.when(F.col("source").isNull(), "missing").otherwise("wrong").alias("problem"), "expected", "source").orderBy("path")
 
 
+def plan_files(files: DataFrame, root: str = "plans/", states: tuple[str, ...] = ("active", "completed", "abandoned"), exempt: tuple[str, ...] = ("README.md",)) -> DataFrame:
+    """Plans below the directories of the states: (path, expected, status, content); index files are exempt."""
+    state = F.regexp_extract("path", "^" + root + r"([^/]+)/", 1)
+    return files.where(state.isin(*states) & ~P.file_name(F.col("path")).isin(*exempt)).select("path", state.alias("expected"), X.field(F.col("content"), "status").alias("status"), "content")
+
+
+def sidecar_sources(sidecars: DataFrame, prefix: str) -> DataFrame:
+    """Sidecars (path, content) with the source that their place says and the one that they state."""
+    return sidecars.select("path", F.regexp_extract("path", "^" + prefix + "(.*)$", 1).alias("expected"), X.field(F.col("content"), "source").alias("source"))
+
+
 def status_mismatches(plans: DataFrame) -> DataFrame:
     """plans (path, expected, status) whose status is not that of their directory."""
     return plans.where(~F.col("expected").eqNullSafe(F.col("status")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def head(text: Column, n: int = 60) -> Column:
     return F.array_join(F.slice(X.lines(text), 1, n), "\n")
 
 
+# Headings of a rules text under which protected directories are listed.
+PROTECTED_HEADINGS = ("隐私目录", "受保护目录", "受保护", "隐私", "protected", "privacy")
+
+
+def protected_directories(rules: str, listed: str = "") -> set[str]:
+    """Directory names of a comma-separated list if there is one, else the bare names (no path) that a rules text lists under a heading on protection."""
+    if listed.strip():
+        return {d.strip() for d in listed.split(",") if d.strip()}
+    inside, found = False, set()
+    for line in rules.splitlines():
+        if heading := re.match(r"#+\s*(.*)", line):
+            inside = heading[1].strip().lower().startswith(PROTECTED_HEADINGS)
+        elif inside and (item := re.fullmatch(r"\s*[-*]\s+`?([\w.\-]+(?:【[^】]+】)?)/?`?\s*", line)):
+            found.add(item[1])
+    return found
+
+
 def large_file_policy(doc: DataFrame) -> DataFrame:
     """(path, action) of ``path -> action`` lines; the last line of a path counts."""
     line = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:[-*]\s+)?`?[^`\n]+?`?\s*->\s*(?:allow|llm_skip|skip)\s*$"), F.lit(0))).alias("pos", "line")

@@ -49,6 +49,11 @@ def test_front_matter_forms(spark):
     assert [tuple(x) for x in apply(spark, ["---\na: 1\n---\nb", "---\nopen", "b"], text.strict_split)] == [("a: 1\n", "b", True), ("", "---\nopen", False), ("", "b", True)]
 
 
+def test_front_matter_map(spark):
+    got = apply(spark, ["---\na: 1\nb: 'x: y'\na: 2\nc:\n  - z\n---", "none"], text.frontmatter_map)
+    assert got == [{"a": "1", "b": "x: y"}, {}]
+
+
 def test_titles_tags_and_slugs(spark):
     assert apply(spark, ["x\n# T \n", "## no", "\n" * 31 + "# late"], text.heading) == ["T", None, None]
     assert apply(spark, ["#b x #a/c y#no\n##no #b"], text.inline_tags) == [["a/c", "b"]]

@@ -213,6 +213,17 @@ def test_policy(spark):
     assert [r.path for r in policy.archive_ready(plans).collect()] == ["a"]
 
 
+def test_sidecars_plans_and_bands(spark):
+    files = spark.createDataFrame([("plans/active/a.md", "---\nstatus: active\n---"), ("plans/active/b.md", "---\nstatus: done\n---"), ("plans/active/README.md", "x"), ("plans/completed/c.md", "x"), ("x.md", "")], "path string, content string")
+    assert {r.path for r in policy.status_mismatches(policy.plan_files(files)).collect()} == {"plans/active/b.md", "plans/completed/c.md"}
+    side = spark.createDataFrame([("s/a.md", "---\nsource: a.md\n---"), ("s/b.md", "---\nsource: c.md\n---"), ("s/d.md", "")], "path string, content string")
+    assert [(r.path, r.problem) for r in policy.sidecar_issues(policy.sidecar_sources(side, "s/")).collect()] == [("s/b.md", "wrong"), ("s/d.md", "missing")]
+    rel = spark.createDataFrame([("a", "x/b.md", 0.85), ("a", "c", 0.755), ("a", "d", 0.69)], "a string, b string, similarity double")
+    assert {(r.target, r.band) for r in graph.related_bands(rel).collect()} == {("b", "strong"), ("c", "weak")}
+    assert {r.weight for r in graph.semantic_edges(rel, legacy_rounding=True).collect()} == {0.85, 0.76}
+    assert formats.protected_directories("# Protected dirs\n- `a/`\n- b/c\n* 1【x】\n## other\n- d") == {"a", "1【x】"} and formats.protected_directories("", "p, q") == {"p", "q"}
+
+
 def test_formats_and_reports(spark):
     log = spark.createDataFrame([("# log\n## 2024-02-02\n### [10:00] New\nbody\n### Plain\n## 2024-01-01\n### 9:30 Old\nx y\n",)], "text string")
     e = formats.log_entries(log).cache()
