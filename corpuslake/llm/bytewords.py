@@ -78,13 +78,25 @@ def slices(off: np.ndarray, most: int):
         lo = hi
 
 
+#: Bytes whose spans are hashed at once; it bounds the tables of powers.
+BLOCK = (1 << 20) - (1 << 16)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    n = len(data)
-    p, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * p[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+    """A 64-bit hash of the bytes of each span; starts ascend."""
+    out = np.zeros(len(start), U)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        stop = int(np.searchsorted(start, low + BLOCK))
+        s, e = start[at:stop] - low, end[at:stop] - low
+        n = int(e.max())
+        p, inverse = _powers(n + 1)
+        total = np.zeros(n + 1, U)
+        np.cumsum(_BYTE[data[low : low + n]] * p[:n], out=total[1:])
+        out[at:stop] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U))
+        at = stop
+    return out
 
 
 class Words:

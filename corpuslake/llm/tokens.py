@@ -24,7 +24,7 @@ import pyarrow as pa
 from corpuslake.llm import bytewords as bw
 
 #: Entries that the memos of one worker may hold, ids of its pieces, and characters of the longest runs that stay.
-MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 3_000_000, 12_000_000, 800_000, 64
+MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 1_500_000, 6_000_000, 350_000, 64
 #: UTF-8 bytes that are looked up at once.
 SLICE = 2 << 20
 U = np.uint64
