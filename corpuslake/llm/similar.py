@@ -1,0 +1,257 @@
+"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
+
+Two sets of similarity t or more share one of the first n - ceil(t * n) + 1
+members of each in any one order of all shingles (n: the set's size). These
+prefixes are the join keys, so no similar pair is missed. In the order used,
+shingles that a sample of documents repeats come last, which spares crowded
+keys; what the sample holds changes the cost and never the result.
+
+Every candidate is checked on the whole sets. Of a crowded key first only chains
+through its sets are checked, then all pairs that the links found so far leave
+in different components: the components are those of all similar pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslake.llm import bytewords as bw
+from corpuslake.llm.components import components
+from corpuslake.llm.workspace import materialise, new_workspace, partitions_for
+
+SLICE = 2 << 20
+#: Documents whose shingles are counted to find frequent ones, and the count from which one is frequent.
+SAMPLE, FREQUENT = 4096, 3
+#: Keys with more sets than this are crowded.
+CROWDED = 8
+#: Sets wanted by a pass are marked in so many bits.
+MARKS = 26
+TILE = 1024
+U = np.uint64
+
+
+def shingle_sets(column: pa.Array, shingle: int):
+    """(first row, last row, sets, offsets, signatures) of slices of a string column.
+
+    A set holds the ascending hashes of a text's distinct shingles, of all its
+    words if they are fewer. Equal sets have equal signatures.
+    """
+    data, off = bw.buffers(column)
+    for lo, hi in bw.slices(off, SLICE):
+        w = bw.Words(bw.LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo], bw.SPACED)
+        h = w.hashes()
+        at = np.flatnonzero(bw.inside(w.first, shingle, len(h)))
+        values, owners = [bw.shingles(h, shingle)[at]], [w.doc()[at]]
+        for k in range(1, shingle):
+            few = np.flatnonzero(w.count == k)
+            values.append(bw.shingles(h, k)[w.first[few]] if len(few) else np.zeros(0, U))
+            owners.append(few)
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        value, owner = value[new], owner[new]
+        cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
+        total = np.concatenate((np.zeros(1, U), np.cumsum(bw.mix(value ^ U(0x5851F42D4C957F2D)), dtype=U)))
+        yield lo, hi, value, cuts, bw.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ bw.mix(np.diff(cuts).astype(U)))
+
+
+def _unseen(sig: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
+    """Whether each row is ``ok`` and the first of its signature in this task."""
+    out = np.zeros(len(sig), bool)
+    for i in np.flatnonzero(ok).tolist():
+        if (s := int(sig[i])) not in seen:
+            seen.add(s)
+            out[i] = True
+    return out
+
+
+def prefixes(value: np.ndarray, cuts: np.ndarray, frequent: np.ndarray, over: int, under: int) -> np.ndarray:
+    """Whether each member belongs to its set's prefix for similarity over / under; ``frequent`` ascends."""
+    size = np.diff(cuts)
+    owner = np.repeat(np.arange(len(size)), size)
+    last = np.zeros(len(value), bool)
+    if len(frequent) and len(value):
+        last = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value
+    lasts = np.concatenate(([0], np.cumsum(last)))
+    within = np.arange(len(value)) - cuts[:-1][owner]
+    rank_last = lasts[:-1] - lasts[cuts[:-1]][owner]
+    rare = size - (lasts[cuts[1:]] - lasts[cuts[:-1]])
+    rank = np.where(last, rare[owner] + rank_last, within - rank_last)
+    return rank < (size - -(-over * size // under) + 1)[owner]
+
+
+def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, over: int, under: int) -> np.ndarray:
+    return np.minimum(n[i], n[j]) * under >= np.maximum(n[i], n[j]) * over
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _share(batches, over: int, under: int):
+    """Pairs (kind 0: a, b) of sets that share a key; of crowded keys chains, and their members (kind 1: group, set, size)."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    del batches
+    key, sig, n = (t.column(c).combine_chunks().to_numpy() for c in ("key", "sig", "n"))
+    order = np.lexsort((sig, key))
+    key, sig, n = key[order], sig[order], n[order].astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+    key, sig, n = key[new], sig[new], n[new]
+    edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    size = np.diff(np.append(edge, len(key)))
+    wide = np.repeat(size, size)
+    key, sig, n, wide = key[wide > 1], sig[wide > 1], n[wide > 1], wide[wide > 1]
+    found = []
+    for d in range(1, CROWDED):
+        i = np.flatnonzero((key[:-d] == key[d:]) & (wide[:-d] <= CROWDED))
+        i = i[_sized(n, i, i + d, over, under)]
+        found.append(_pairs(sig[i], sig[i + d]))
+    key, sig, n = key[wide > CROWDED], sig[wide > CROWDED], n[wide > CROWDED]
+    for o in range(3):
+        order = np.lexsort((bw.mix(sig.view(U) ^ U(0x9E3779B97F4A7C15 * (o + 1) & (1 << 64) - 1)), key))
+        i, j = order[:-1], order[1:]
+        keep = (key[i] == key[j]) & _sized(n, i, j, over, under)
+        found.append(_pairs(sig[i[keep]], sig[j[keep]]))
+    e = np.unique(np.concatenate(found), axis=0)
+    names = ["kind", "a", "b", "n"]
+    for lo in range(0, len(e), 1 << 16):
+        part = e[lo : lo + (1 << 16)]
+        zero = pa.array(np.zeros(len(part), np.int32))
+        yield pa.record_batch([zero, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), zero], names=names)
+    seen = set()
+    edge = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
+        group = int(bw.mix(np.add.reduce(bw.mix(sig[lo:hi].view(U)), keepdims=True)).view(np.int64)[0])
+        if group not in seen:
+            seen.add(group)
+            yield pa.record_batch([pa.array(np.ones(hi - lo, np.int32)), pa.array(np.full(hi - lo, group)), pa.array(sig[lo:hi]), pa.array(n[lo:hi].astype(np.int32))], names=names)
+
+
+def _across(batches, over: int, under: int):
+    """Pairs within a group that are in different components."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    group, sig, n, label = (t.column(c).combine_chunks().to_numpy() for c in ("grp", "sig", "n", "label"))
+    order = np.lexsort((sig, group))
+    group, sig, n, label = group[order], sig[order], n[order].astype(np.int64), label[order]
+    edge = np.flatnonzero(np.diff(group, prepend=~group[:1]))
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(group)]):
+        if (label[lo:hi] == label[lo]).all():
+            continue
+        for a in range(lo, hi, TILE):
+            for b in range(a, hi, TILE):
+                i, j = np.arange(a, min(a + TILE, hi)), np.arange(b, min(b + TILE, hi))
+                i, j = np.nonzero((i[:, None] < j[None, :]) & (label[i][:, None] != label[j][None, :]))
+                i, j = i + a, j + b
+                keep = _sized(n, i, j, over, under)
+                e = _pairs(sig[i[keep]], sig[j[keep]])
+                yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, over: int, under: int, place: str) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets have similarity over / under or more."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    marks = wanted.select((F.col("sig").bitwiseAND((1 << MARKS) - 1)).alias("slot"))
+    words = marks.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (MARKS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    # a bounded side: 8 MB whatever the input
+    shared = spark.sparkContext.broadcast(table.view(U))
+
+    def sets(batches):
+        bits, seen = shared.value, set()
+        for b in batches:
+            for _, _, value, cuts, sig in shingle_sets(b.column(0), shingle):
+                slot = sig & U((1 << MARKS) - 1)
+                rows = np.flatnonzero(_unseen(sig, (bits[slot >> U(6)] >> (slot & U(63))) & U(1) > 0, seen))
+                yield pa.record_batch([pa.array(sig[rows].view(np.int64)), pa.array([value[cuts[r] : cuts[r + 1]].tobytes() for r in rows.tolist()], pa.binary())], names=["sig", "members"])
+
+    held = docs.select("text").mapInArrow(sets, "sig long, members binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+    held = materialise(held, f"{place}-sets")
+
+    def verify(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * under >= over * (len(x) + len(y) - both))
+            good = pa.array(good, pa.bool_())
+            yield pa.record_batch([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
+
+    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"{place}-links")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) -> DataFrame:
+    """(doc_id, component_id) of each row of docs (doc_id, text, ...) with a doc_id.
+
+    component_id is the smallest doc_id that links reach, itself included. Texts
+    are linked if the sets of their shingles of ``shingle`` words (ASCII
+    lower-cased, cut at ASCII white space) have a Jaccard similarity of
+    over / under or more. Null, empty and wordless texts are equal to each other.
+    Rows of one doc_id are linked. Shingles and sets are told apart by 64-bit
+    hashes. ``docs`` is read several times.
+    """
+    if not 0 < over <= under:
+        raise ValueError("the similarity must be over 0 and at most 1")
+    spark = docs.sparkSession
+    place = new_workspace(spark, "similar")
+    n = partitions_for(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    every = max(1, docs.count() // SAMPLE)
+
+    def scan(batches):
+        for b in batches:
+            for lo, hi, value, cuts, sig in shingle_sets(b.column(1), shingle):
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.nulls(hi - lo, pa.int64())], names=["doc_id", "sig", "shingle"])
+                taken = np.repeat(sig % U(every) == 0, np.diff(cuts))
+                if k := int(taken.sum()):
+                    yield pa.record_batch([pa.nulls(k, pa.int64()), pa.array(sig.view(np.int64).repeat(np.diff(cuts))[taken]), pa.array(value[taken].view(np.int64))], names=["doc_id", "sig", "shingle"])
+
+    scanned = materialise(docs.mapInArrow(scan, "doc_id long, sig long, shingle long"), f"{place}/scanned")
+    marks = scanned.where("shingle is null").select("doc_id", "sig")
+    counted = scanned.where("shingle is not null").distinct().groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    frequent = spark.sparkContext.broadcast(np.sort(counted.select("shingle").toArrow().column(0).to_numpy().view(U)))
+
+    def keys(batches):
+        seen: set = set()
+        for b in batches:
+            for _, _, value, cuts, sig in shingle_sets(b.column(1), shingle):
+                yes = prefixes(value, cuts, frequent.value, over, under)
+                size = np.diff(cuts)
+                yes &= np.repeat(_unseen(sig, size > 0, seen), size)
+                yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes])], names=["key", "sig", "n"])
+
+    keyed = docs.mapInArrow(keys, "key long, sig long, n int").repartition(n, "key")
+    shared = materialise(keyed.mapInArrow(lambda x: _share(x, over, under), "kind int, a long, b long, n int"), f"{place}/shared")
+    pairs = materialise(shared.where("kind = 0").select("a", "b").distinct(), f"{place}/pairs")
+    links = _similar(docs, pairs, shingle, over, under, f"{place}/first")
+    crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"), "n")
+    if not crowded.isEmpty():
+        labels = components(links).withColumnRenamed("node", "sig")
+        members = crowded.dropDuplicates(["grp", "sig"]).join(labels, "sig", "left").select("grp", "sig", "n", F.coalesce("component", "sig").alias("label"))
+        more = members.repartition(n, "grp").mapInArrow(lambda x: _across(x, over, under), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialise(more, f"{place}/more")
+        if not more.isEmpty():
+            links = links.unionByName(_similar(docs, more, shingle, over, under, f"{place}/second"))
+    # rows of one doc_id belong together
+    least = marks.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
+    same = marks.join(least, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b")
+    found = components(links.unionByName(same)).withColumnRenamed("node", "sig")
+    first = marks.groupBy("sig").agg(F.min("doc_id").alias("doc")).join(found, "sig", "left").select("sig", "doc", F.coalesce("component", "sig").alias("label"))
+    first = materialise(first, f"{place}/first")
+    classes = first.join(first.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("sig", "component_id")
+    return marks.join(classes, "sig").select("doc_id", "component_id")

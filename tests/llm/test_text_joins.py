@@ -241,3 +241,68 @@ def test_empty_tables(spark):
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(none, 5, 6)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def similar_by_brute_force(rows):
+    sets = []
+    for i, t in rows:
+        w = SPACED.findall(lower(t))
+        sets.append((i, {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {" ".join(w)} if w else set()))
+    up = {i: i for i, _ in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            both = len(x & y)
+            if i == j or 5 * both >= 4 * (len(x) + len(y) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in up}
+
+
+def test_similar_documents_match_brute_force(spark, corpus, monkeypatch):
+    """Edits about the threshold, a crowded group of near copies, a passage in many documents, exact copies, short texts."""
+    from corpuslake.llm import similar
+
+    r = random.Random(11)
+    fresh = lambda n: [f"v{r.randrange(100000)}" for _ in range(n)]
+    rows = [x for x in corpus if x[0] is not None]
+    for i in range(60):
+        w = fresh(r.choice([6, 9, 30, 150]))
+        rows.append((1000 + 2 * i, " ".join(w)))
+        for k in r.sample(range(len(w)), max(1, len(w) * r.choice([1, 2, 3, 4]) // 100)):
+            w[k] = "changed"
+        rows.append((1001 + 2 * i, " ".join(w)))
+    base, passage = fresh(80), fresh(30)
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(80), r.randint(0, 2)):
+            w[k] = f"x{i}"
+        rows.append((2000 + i, " ".join(w)))
+        rows.append((3000 + i, " ".join(fresh(40) + passage + fresh(40))))
+    want = similar_by_brute_force(rows)
+    for sample in (4096, 20):
+        monkeypatch.setattr(similar, "SAMPLE", sample)
+        got = similar.near_duplicates(frame(spark, rows)).collect()
+        assert len(got) == len(rows)
+        assert {x.doc_id: x.component_id for x in got} == want
+    assert similar.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_pipeline_drops_documents_of_similarity_080(spark, tmp_path):
+    """Two changed words among 100 leave 86 of 106 shingles in common."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows = []
+    for i in range(30):
+        w = [f"v{r.randrange(100000)}" for _ in range(100)]
+        rows.append((2 * i, " ".join(w)))
+        w[20] = w[70] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    left = corpus_pipeline.near_deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(x.doc_id for x in left.collect()) == list(range(0, 60, 2))
