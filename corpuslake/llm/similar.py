@@ -7,8 +7,9 @@ shingles that a sample of documents repeats come last, which spares crowded
 keys; what the sample holds changes the cost and never the result.
 
 Every candidate is checked on the whole sets. Of a crowded key first only chains
-through its sets are checked, then all pairs that the links found so far leave
-in different components: the components are those of all similar pairs.
+through its sets are checked; then one task compares its sets, in tiles, as far
+as the links found so far leave them in different components. So the components
+are those of all similar pairs, but a pair within one need not be listed.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ SAMPLE, FREQUENT = 4096, 3
 CROWDED = 8
 #: Sets wanted by a pass are marked in so many bits.
 MARKS = 26
-TILE = 1024
+#: Sets, and shingles that they share, which are compared at once.
+TILE, BLOCK = 256, 1 << 14
 U = np.uint64
 
 
@@ -94,7 +96,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _share(batches, over: int, under: int):
-    """Pairs (kind 0: a, b) of sets that share a key; of crowded keys chains, and their members (kind 1: group, set, size)."""
+    """Pairs (kind 0: a, b) of sets that share a key; of crowded keys chains, and their members (kind 1: group, set)."""
     batches = list(batches)
     if not batches:
         return
@@ -122,47 +124,76 @@ def _share(batches, over: int, under: int):
         keep = (key[i] == key[j]) & _sized(n, i, j, over, under)
         found.append(_pairs(sig[i[keep]], sig[j[keep]]))
     e = np.unique(np.concatenate(found), axis=0)
-    names = ["kind", "a", "b", "n"]
+    names = ["kind", "a", "b"]
     for lo in range(0, len(e), 1 << 16):
         part = e[lo : lo + (1 << 16)]
         zero = pa.array(np.zeros(len(part), np.int32))
-        yield pa.record_batch([zero, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), zero], names=names)
+        yield pa.record_batch([zero, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=names)
     seen = set()
     edge = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
     for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
         group = int(bw.mix(np.add.reduce(bw.mix(sig[lo:hi].view(U)), keepdims=True)).view(np.int64)[0])
         if group not in seen:
             seen.add(group)
-            yield pa.record_batch([pa.array(np.ones(hi - lo, np.int32)), pa.array(np.full(hi - lo, group)), pa.array(sig[lo:hi]), pa.array(n[lo:hi].astype(np.int32))], names=names)
+            yield pa.record_batch([pa.array(np.ones(hi - lo, np.int32)), pa.array(np.full(hi - lo, group)), pa.array(sig[lo:hi])], names=names)
+
+
+def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, under: int):
+    """Similar pairs that join the different labels of one group as far as any of its pairs do."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, label, count = np.unique(label, return_inverse=True, return_counts=True)
+    # those of the commonest label come last and are not compared with each other
+    order = np.argsort(count[label], kind="stable")
+    for a in range(0, len(order), TILE):
+        for b in range(a, len(order), TILE):
+            i, j = order[a : a + TILE], order[b : b + TILE]
+            cross = (label[i][:, None] != label[j][None, :]) & _sized(size, i[:, None], j[None, :], over, under)
+            i, j, cross = i[cross.any(1)], j[cross.any(0)], cross[cross.any(1)][:, cross.any(0)]
+            if not len(i):
+                continue
+            x, y = (np.concatenate([sets[k] for k in part]) for part in (i, j))
+            common = np.intersect1d(x, y)
+            rows = []
+            for part, members in ((i, x), (j, y)):
+                at = np.minimum(np.searchsorted(common, members), len(common) - 1) if len(common) else np.zeros(0, np.int64)
+                yes = common[at] == members if len(common) else np.zeros(0, bool)
+                rows.append((np.repeat(np.arange(len(part)), size[part])[: len(yes)][yes], at[yes]))
+            both = np.zeros(cross.shape, np.float64)
+            for lo in range(0, len(common), BLOCK):
+                left, right = (np.zeros((len(part), BLOCK), np.float32) for part in (i, j))
+                for out, (row, at) in zip((left, right), rows):
+                    yes = (at >= lo) & (at < lo + BLOCK)
+                    out[row[yes], at[yes] - lo] = 1
+                both += left @ right.T
+            good = cross & (both * under >= over * (size[i][:, None] + size[j][None, :] - both))
+            for r, c in zip(*(k.tolist() for k in np.nonzero(good))):
+                if label[i[r]] != label[j[c]]:
+                    label[label == label[j[c]]] = label[i[r]]
+                    yield int(sig[i[r]]), int(sig[j[c]])
 
 
 def _across(batches, over: int, under: int):
-    """Pairs within a group that are in different components."""
-    batches = list(batches)
-    if not batches:
-        return
-    t = pa.Table.from_batches(batches)
-    group, sig, n, label = (t.column(c).combine_chunks().to_numpy() for c in ("grp", "sig", "n", "label"))
-    order = np.lexsort((sig, group))
-    group, sig, n, label = group[order], sig[order], n[order].astype(np.int64), label[order]
-    edge = np.flatnonzero(np.diff(group, prepend=~group[:1]))
-    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(group)]):
-        if (label[lo:hi] == label[lo]).all():
-            continue
-        for a in range(lo, hi, TILE):
-            for b in range(a, hi, TILE):
-                i, j = np.arange(a, min(a + TILE, hi)), np.arange(b, min(b + TILE, hi))
-                i, j = np.nonzero((i[:, None] < j[None, :]) & (label[i][:, None] != label[j][None, :]))
-                i, j = i + a, j + b
-                keep = _sized(n, i, j, over, under)
-                e = _pairs(sig[i[keep]], sig[j[keep]])
-                yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, over: int, under: int, place: str) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets have similarity over / under or more."""
+    """Links (a, b) between different components within each group; rows (grp, sig, label, members) come in order of grp."""
+    def out(rows):
+        group, sig, label, sets = zip(*rows)
+        e = list(_group_links(np.array(sig), np.array(label), list(sets), over, under))
+        return pa.record_batch([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
+
+    held: list = []
+    for batch in batches:
+        members = [np.frombuffer(x.as_buffer(), U) for x in batch.column(3)]
+        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), members):
+            if held and held[0][0] != row[0]:
+                yield out(held)
+                held = []
+            held.append(row)
+    if held:
+        yield out(held)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, uri: str) -> DataFrame:
+    """(sig, members) of the wanted signatures."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     marks = wanted.select((F.col("sig").bitwiseAND((1 << MARKS) - 1)).alias("slot"))
     words = marks.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
     table = np.zeros(1 << (MARKS - 6), np.int64)
@@ -170,7 +201,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, over: int, under:
     # a bounded side: 8 MB whatever the input
     shared = spark.sparkContext.broadcast(table.view(U))
 
-    def sets(batches):
+    def run(batches):
         bits, seen = shared.value, set()
         for b in batches:
             for _, _, value, cuts, sig in shingle_sets(b.column(0), shingle):
@@ -178,8 +209,12 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, over: int, under:
                 rows = np.flatnonzero(_unseen(sig, (bits[slot >> U(6)] >> (slot & U(63))) & U(1) > 0, seen))
                 yield pa.record_batch([pa.array(sig[rows].view(np.int64)), pa.array([value[cuts[r] : cuts[r + 1]].tobytes() for r in rows.tolist()], pa.binary())], names=["sig", "members"])
 
-    held = docs.select("text").mapInArrow(sets, "sig long, members binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
-    held = materialise(held, f"{place}-sets")
+    held = docs.select("text").mapInArrow(run, "sig long, members binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+    return materialise(held, uri)
+
+
+def _verified(pairs: DataFrame, held: DataFrame, over: int, under: int, uri: str) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets have similarity over / under or more."""
 
     def verify(batches):
         for b in batches:
@@ -192,7 +227,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, over: int, under:
             yield pa.record_batch([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
 
     both = pairs.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"{place}-links")
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), uri)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) -> DataFrame:
@@ -236,17 +271,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int
                 yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes])], names=["key", "sig", "n"])
 
     keyed = docs.mapInArrow(keys, "key long, sig long, n int").repartition(n, "key")
-    shared = materialise(keyed.mapInArrow(lambda x: _share(x, over, under), "kind int, a long, b long, n int"), f"{place}/shared")
+    shared = materialise(keyed.mapInArrow(lambda x: _share(x, over, under), "kind int, a long, b long"), f"{place}/shared")
     pairs = materialise(shared.where("kind = 0").select("a", "b").distinct(), f"{place}/pairs")
-    links = _similar(docs, pairs, shingle, over, under, f"{place}/first")
-    crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"), "n")
+    crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(crowded.select("sig")).distinct()
+    held = _sets(docs, wanted, shingle, f"{place}/sets")
+    links = _verified(pairs, held, over, under, f"{place}/links")
     if not crowded.isEmpty():
         labels = components(links).withColumnRenamed("node", "sig")
-        members = crowded.dropDuplicates(["grp", "sig"]).join(labels, "sig", "left").select("grp", "sig", "n", F.coalesce("component", "sig").alias("label"))
-        more = members.repartition(n, "grp").mapInArrow(lambda x: _across(x, over, under), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, f"{place}/more")
-        if not more.isEmpty():
-            links = links.unionByName(_similar(docs, more, shingle, over, under, f"{place}/second"))
+        members = crowded.distinct().join(labels, "sig", "left").select("grp", "sig", F.coalesce("component", "sig").alias("label"))
+        members = materialise(members, f"{place}/members")
+        apart = members.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+        rows = members.join(apart, "grp", "left_semi").join(held, "sig").select("grp", "sig", "label", "members")
+        more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lambda x: _across(x, over, under), "a long, b long")
+        links = links.unionByName(materialise(more.distinct(), f"{place}/more"))
     # rows of one doc_id belong together
     least = marks.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
     same = marks.join(least, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b")
