@@ -48,9 +48,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Lines (least length, edits) that count as repeated: 2 edits, 3 and a fortieth of the length.
+LINE_BANDS = [(24, 2), (72, 3), *((40 * e, e) for e in range(4, line_dedup.MOST_EDITS + 1))]
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines of 24 or more characters that repeat an earlier one within 2 edits."""
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), edits=2, min_chars=24)
+    """Documents without lines that repeat an earlier one within the edits of LINE_BANDS."""
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), bands=LINE_BANDS)
     return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "class_docs", "class_lines")
 
 

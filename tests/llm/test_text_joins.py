@@ -306,3 +306,13 @@ def test_pipeline_drops_documents_of_similarity_080(spark, tmp_path):
         rows.append((2 * i + 1, " ".join(w)))
     left = corpus_pipeline.near_deduped(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted(x.doc_id for x in left.collect()) == list(range(0, 60, 2))
+
+
+def test_long_line_within_three_edits_is_repeated(spark):
+    """Of 138 characters three differ."""
+    from corpuslake.llm.queries import LINE_BANDS
+
+    line = " ".join(f"word{i:02d}" for i in range(20))[:138]
+    rows = [(1, line), (2, line.replace("07", "99").replace("12", "18"))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=LINE_BANDS).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in got) == [(1, 0), (2, 1)]
