@@ -316,3 +316,43 @@ def test_long_line_within_three_edits_is_repeated(spark):
     rows = [(1, line), (2, line.replace("07", "99").replace("12", "18"))]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=LINE_BANDS).collect()
     assert sorted((x.doc_id, x.n_removed) for x in got) == [(1, 0), (2, 1)]
+
+
+def test_line_bands_match_brute_force(spark):
+    """Short lines repeat exactly or within 1 edit; of long lines more edits count, with few words or many."""
+    from corpuslake.llm.queries import LINE_BANDS
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    base = [word(n) for n in (1, 3, 11, 12, 20, 23, 24, 70, 75, 130, 170)] + [" ".join(word(5) for _ in range(n)) for n in (12, 20, 28, 29, 40)]
+    base += ["All rights reserved."]
+    lines = []
+    for x in base * 5:
+        y = list(x)
+        for _ in range(r.choice([0, 0, 1, 2, 3, 4, 5])):
+            k = r.randint(0, len(y))
+            y[k : k + r.randint(0, 1)] = r.choice(["", "z", " "])
+        lines.append("".join(y))
+    lines += ["", " ", " ", "\r"]
+    r.shuffle(lines)
+    known = sorted({x for x in lines if x.strip()})
+    most = lambda n: max(e for least, e in LINE_BANDS if least <= n)
+    up = {x: x for x in known}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, a in enumerate(known):
+        for b in known[:k]:
+            e = most(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= e and edit(a, b) <= e:
+                up[find(a)] = find(b)
+    seen, want = set(), []
+    for i, x in enumerate(lines):
+        again = x.strip() and find(x) in seen
+        want.append((i, 1 if again else 0))
+        seen.add(find(x) if x.strip() else None)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), bands=LINE_BANDS).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in got) == want
