@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpuslake.llm.lean import at_end
+
 U = np.uint64
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=U)
@@ -34,6 +36,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+@at_end
+def _forget_powers() -> None:
+    _pow.update(p=np.ones(1, U), i=np.ones(1, U))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow["p"]) < n:
         size = 1 << int(n - 1).bit_length()

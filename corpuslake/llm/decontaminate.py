@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuslake.llm import bytewords as bw
+from corpuslake.llm.lean import lean
 
 SHINGLE = 3
 SLICE = 4 << 20
@@ -111,7 +112,7 @@ def _frequencies(texts: DataFrame, block: Block) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(probe.keys[some].view(np.int64)), pa.array(total[some])], names=["k", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # bounded by the block's shingles
+    rows = texts.select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # bounded by the block's shingles
     return {r.k & (2**64 - 1): r.n for r in rows}
 
 
@@ -192,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_byt
     # later blocks see the same rows with the answers so far: a narrow plan, no shuffle
     for block in blocks[1:]:
         kept = frame.withColumnsRenamed({k: f"__{k}" for k in added})
-        again = kept.mapInArrow(scan(block), _with(kept, kinds))
+        again = kept.mapInArrow(lean(scan(block)), _with(kept, kinds))
         both = F.concat(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["end"] - 1))), F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
         hit = F.array_sort(F.array_distinct(both))
         starts = F.filter(hit, lambda x: ~F.array_contains(hit, x - 1))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.llm.lean import lean
+
 BLOCK = 2048
 QUERIES = 4096
 TILE = 256
@@ -145,7 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rescore: int = 64)
                     best = _best(*(np.concatenate(z) for z in zip(*found)), k)
             yield pa.record_batch([pa.array(qid[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
 
-        return vectors.mapInArrow(search, "query_id long, vec_id long, score long")
+        return vectors.mapInArrow(lean(search), "query_id long, vec_id long, score long")
 
     for row in queries.select("vec_id", "x").dropDuplicates(["vec_id"]).toLocalIterator():
         chunk.append(row)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from corpuslake.llm.lean import lean
+
 DIM = 1024
 #: Places of letters in the table: code points below 1024 as they are, the rest folded.
 _LETTERS = 2048
@@ -132,7 +134,7 @@ def learn(labelled: DataFrame, most_rows: int = 50_000) -> tuple[list[str], np.n
             yield pa.record_batch([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.rint(v).astype(np.int64))], names=["lang", "i", "v"])
 
     found: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.mapInArrow(lean(run), "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
         found.setdefault(r.lang, np.zeros(DIM))[r.i] = r.v
     langs = sorted(found)
     if not langs:
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 dots[row], squares[row] = v @ prototypes.T, (v * v).sum(axis=1)
             yield _answer(b, langs, dots, squares, letters)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 def _answer(b: pa.RecordBatch, langs: list[str], dots: np.ndarray, squares: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.llm.lean import lean
 from corpuslake.llm.tokens import encoder
 from corpuslake.llm.workspace import materialise, new_workspace
 
@@ -177,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long")
+    return texts.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
@@ -208,4 +209,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
             bin_, slot = np.divmod(rank - p["rank"][row], p["each"][row])
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(p["sequence"][row] + bin_), pa.array(p["offset"][row] + slot * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import bytewords as bw
 from corpuslake.llm.components import components
+from corpuslake.llm.lean import lean
 from corpuslake.llm.workspace import materialise, new_workspace
 
 SEGMENTS, BITS = 4, 16
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = fingerprints_of(b.column(1), shingle).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class Forest:
@@ -196,7 +197,7 @@ def links(prints: DataFrame, distance: int = 3, dense: int = 1024) -> DataFrame:
             e = np.array(forest.kept, np.int64)
             yield pa.record_batch([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], names=["a", "b"])
 
-    return rows.repartition(parts, "key").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "key").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import bytewords as bw
 from corpuslake.llm import exchange as ex
+from corpuslake.llm.lean import lean
 from corpuslake.llm.workspace import filesystem, new_workspace, partitions_for, publish
 
 SHINGLE = 5
@@ -221,11 +222,11 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
                 gone[order] = smaller[group] | (docs_at[order] > low[group])
                 yield _kept(b, c, starts[gone], window)
 
-    seeds = texts.mapInArrow(seed, ex.SCHEMA)
-    shared = ex.route(seeds, n).mapInArrow(share, ex.SCHEMA)
-    windows = ex.route(shared, n).mapInArrow(extend, ex.SCHEMA)
-    repeats = ex.route(windows, n).mapInArrow(first, ex.SCHEMA)
-    return ex.route(repeats, n).mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>")
+    seeds = texts.mapInArrow(lean(seed), ex.SCHEMA)
+    shared = ex.route(seeds, n).mapInArrow(lean(share), ex.SCHEMA)
+    windows = ex.route(shared, n).mapInArrow(lean(extend), ex.SCHEMA)
+    repeats = ex.route(windows, n).mapInArrow(lean(first), ex.SCHEMA)
+    return ex.route(repeats, n).mapInArrow(lean(keep), "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>")
 
 
 def _kept(batch: pa.RecordBatch, c: Chunk, starts: np.ndarray, window: int) -> pa.RecordBatch:

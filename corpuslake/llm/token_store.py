@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.lean import lean
 from corpuslake.llm.tokens import encoder
 from corpuslake.llm.workspace import filesystem, materialise, new_workspace, partitions_for, publish
 
@@ -149,7 +150,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataF
         publish(path, lambda sink: [sink.write(x) for x in _shard(nameless, np.concatenate(keys), np.array(lengths), b"".join(parts), width)])
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(lengths)]), pa.array([sum(lengths)])], names=["shard", "path", "n_docs", "n_ids"])
 
-    return materialise(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), f"{uri}/manifest")
+    return materialise(ordered.mapInArrow(lean(run), "shard int, path string, n_docs long, n_ids long"), f"{uri}/manifest")
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
                         part = slice(lo, lo + 1024)
                         yield pa.record_batch([ids[part], pa.array(starts[part] + base), pa.array(ends[part] - starts[part]), pa.array(body, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return jobs.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return jobs.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def store(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -5,7 +5,8 @@ space, so a text's ids are those of its space-separated pieces in a row; nor
 does one span the border of a run of Latin letters and a run of plain ASCII
 others, so a piece's ids are those of its runs. Each distinct run is encoded by
 the library once while the memo holds it. Pieces and texts that the argument
-does not cover, and any other tokenizer, are encoded whole.
+does not cover, texts that hold an added token's spelling, and any other
+tokenizer, are encoded whole.
 
 Pieces are looked up a slice of a column at a time, in sorted arrays of their
 64-bit hashes; a memo holds a few million of them, so that two of its pieces
@@ -22,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 
 from corpuslake.llm import bytewords as bw
+from corpuslake.llm.lean import at_end
 
 #: Entries that the memos of one worker may hold, ids of its pieces, and characters of the longest runs that stay.
-MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 1_500_000, 6_000_000, 350_000, 64
+MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 1_000_000, 4_000_000, 250_000, 64
 #: UTF-8 bytes that are looked up at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 U = np.uint64
 _HEAD = U(0xA0761D6478BD642F)
 _RUNS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -43,11 +45,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             layout = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.mode = self._mode(layout)
-        self._forget()
+        added = layout.get("added_tokens") or []
+        self.added = [x["content"].encode() for x in added if x["content"]]
+        # an added token that is looked for in normalised text has no one spelling in bytes
+        self.mode = "whole" if layout.get("normalizer") and any(x.get("normalized") for x in added) else self._mode(layout)
         self.runs: dict[str, bytes | None] = {}  # None: a run that does not stand for itself
+        self.forget()
 
     @staticmethod
     def _mode(layout: dict) -> str:
@@ -101,7 +105,9 @@ class Encoder:
                 del runs[x]
         return out
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the memos."""
+        self.runs.clear()
         self.keys, self.at, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -139,7 +145,7 @@ class Encoder:
         for lo, hi in bw.slices(off, SLICE):
             raw, edges = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             if len(self.keys) > MOST_PIECES or self.used > MOST_IDS:
-                self._forget()
+                self.forget()
             yield lo, hi, *self._slice(raw, edges, end_id)
 
     def _slice(self, raw: np.ndarray, edges: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +172,15 @@ class Encoder:
                 used = self.used
             place, _ = self._find(unique)
             at, count = self.at[place][inverse], self.count[place][inverse]
+            odd = self._special(raw, edges)
             if self.mode == "leading":
-                odd = np.add.reduceat(count < 0, first[:-1]) > 0 if docs else np.zeros(0, bool)
-                odd &= edges[1:] > edges[:-1]
-                count = np.maximum(count, 0)
-                whole = np.flatnonzero(odd)
-                if len(whole):
-                    count[np.repeat(odd, np.diff(first))] = 0
-                    at[first[whole]], count[first[whole]] = self._store(self._ids([raw[edges[d] : edges[d + 1]].tobytes().decode() for d in whole]))
+                odd |= np.add.reduceat(count < 0, first[:-1]) > 0 if docs else odd
+            odd &= edges[1:] > edges[:-1]
+            count = np.maximum(count, 0)
+            whole = np.flatnonzero(odd)
+            if len(whole):
+                count[np.repeat(odd, np.diff(first))] = 0
+                at[first[whole]], count[first[whole]] = self._store(self._ids([raw[edges[d] : edges[d + 1]].tobytes().decode() for d in whole]))
         if end_id is not None:
             e, _ = self._store([array("I", [end_id]).tobytes()])
             at, count = np.insert(at, first[1:], e[0]), np.insert(count, first[1:], 1)
@@ -183,6 +190,17 @@ class Encoder:
         self.used = used  # what was stored for whole texts and ends is not kept
         return ids, through[first]
 
+    def _special(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The texts that hold an added token's spelling, which the library takes out of a text before it cuts it into pieces."""
+        out, flat = np.zeros(len(edges) - 1, bool), raw.tobytes()
+        for token in self.added:
+            at = flat.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(edges, at, "right")) - 1
+                out[doc] = True
+                at = flat.find(token, int(edges[doc + 1]))
+        return out
+
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys in the memo, and which are not there."""
         place = np.searchsorted(self.keys, keys)
@@ -203,6 +221,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+@at_end
+def _forget_all() -> None:
+    for x in _encoders.values():
+        x.forget()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
     import os

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.lean import lean
 from corpuslake.llm.workspace import filesystem, materialise, new_workspace, partitions_for, publish
 
 FAN_IN = 128
@@ -226,7 +227,7 @@ def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
         if n:
             yield _manifest(f"{uri}/run-{part:06d}.parquet", n, keys)
 
-    return materialise(sorted_runs.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
+    return materialise(sorted_runs.mapInArrow(lean(run), _MANIFEST), f"{uri}/manifest")
 
 
 def merge_runs(manifest: DataFrame, uri: str, ranges: int, fan_in: int = FAN_IN) -> DataFrame:
@@ -245,7 +246,7 @@ def merge_runs(manifest: DataFrame, uri: str, ranges: int, fan_in: int = FAN_IN)
                     yield _manifest(out, *_write_run(out, iter(LoserTree([_rows(x, None, None) for x in names]))))
 
         jobs = spark.createDataFrame(groups, "i int, names array<string>").repartition(len(groups))
-        runs = [r.asDict(recursive=True) for r in materialise(jobs.mapInArrow(merge, _MANIFEST), f"{uri}/level-{level}/manifest").collect()]
+        runs = [r.asDict(recursive=True) for r in materialise(jobs.mapInArrow(lean(merge), _MANIFEST), f"{uri}/level-{level}/manifest").collect()]
     names = [r["run"] for r in runs]
     weighed = sorted(((k["url_key"], k["ts"], k["id"]), r["n"] / len(r["keys"])) for r in runs for k in r["keys"])
     total, cuts, sums = sum(w for _, w in weighed), [], []
@@ -273,7 +274,7 @@ def merge_runs(manifest: DataFrame, uri: str, ranges: int, fan_in: int = FAN_IN)
                     yield _history(block)
 
     jobs = spark.range(len(cuts) + 1).select(F.col("id").cast("int").alias("bucket"))
-    return jobs.repartitionById(len(cuts) + 1, "bucket").mapInArrow(last, HISTORY)
+    return jobs.repartitionById(len(cuts) + 1, "bucket").mapInArrow(lean(last), HISTORY)
 
 
 def _history(block: list[tuple]) -> pa.RecordBatch:
@@ -310,7 +311,7 @@ def read_archives(history: DataFrame, with_payload: bool = False) -> DataFrame:
             handle.close()
 
     grouped = history.repartition(n, "file", F.floor(F.col("offset") / (32 << 20))).sortWithinPartitions("file", "offset")
-    return grouped.mapInArrow(run, HISTORY + ", payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return grouped.mapInArrow(lean(run), HISTORY + ", payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def capture_history(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
