@@ -23,7 +23,8 @@ from corpuslake.llm.lean import lean
 DIM = 1024
 #: Places of letters in the table: code points below 1024 as they are, the rest folded.
 _LETTERS = 2048
-SLICE = 1 << 20
+#: Characters of texts that are bundled at once, the least that a text counts for, and trigrams multiplied at once.
+SLICE, LEAST, CODES = 1 << 19, 256, 2048
 UND = "und"
 
 
@@ -45,14 +46,16 @@ _tables: list = []
 
 
 def _tables_once():
+    """The letter table, and the letters' vectors for the first, second and last place of a trigram."""
     if not _tables:
-        _tables.extend(_letter_table())
+        table, v = _letter_table()
+        _tables.extend((table, np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v))
     return _tables
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Counts of the trigrams of each text: (text number, trigram code, count), sorted, and letters in each text."""
-    table, _ = _tables_once()
+    table = _tables_once()[0]
     joined = "".join(f"\n{t}\n" for t in texts)
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = table[cps].astype(np.int64)
@@ -74,9 +77,11 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def vectors_of(codes: np.ndarray) -> np.ndarray:
     """The bound vector of each trigram code."""
-    _, v = _tables_once()
-    a, b, c = codes >> 22, (codes >> 11) & 2047, codes & 2047
-    return np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
+    _, first, second, last = _tables_once()
+    out = first[codes >> 22]
+    out *= second[(codes >> 11) & 2047]
+    out *= last[codes & 2047]
+    return out
 
 
 def _parts(texts: list[str | None]):
@@ -91,7 +96,7 @@ def _parts(texts: list[str | None]):
                 end = max(t.rfind(" ", at + 1, end), t.rfind("\n", at + 1, end))
                 end = at + SLICE if end <= at else end
             group.append((row, t[at:end]))
-            size += min(len(t), end) - at
+            size += max(LEAST, min(len(t), end) - at)
             at = end
             if size >= SLICE:
                 yield group
@@ -106,22 +111,31 @@ def _bundles(texts: list[str | None]):
     """(rows, vectors, letters) of groups of texts; a row may come in several groups."""
     for group in _parts(texts):
         number, code, count, letters = ngrams([t for _, t in group])
-        codes, column = np.unique(code, return_inverse=True)
-        counts = np.zeros((len(group), len(codes)), np.float32)
-        counts[number, column] = count
-        yield np.array([r for r, _ in group]), counts @ vectors_of(codes), letters
+        order = np.argsort(code, kind="stable")
+        number, code, count = number[order], code[order], count[order]
+        new = np.diff(code, prepend=-1) != 0
+        codes, column = code[new], np.cumsum(new) - 1
+        # sums of +-1 up to SLICE are exact in float32
+        vectors = np.zeros((len(group), DIM), np.float32)
+        for lo in range(0, len(codes), CODES):
+            a, z = np.searchsorted(column, [lo, lo + CODES])
+            counts = np.zeros((len(group), min(CODES, len(codes) - lo)), np.float32)
+            counts[number[a:z], column[a:z] - lo] = count[a:z]
+            vectors += counts @ vectors_of(codes[lo : lo + CODES])
+        yield np.array([r for r, _ in group]), vectors, letters
 
 
 def learn(labelled: DataFrame, most_rows: int = 50_000) -> tuple[list[str], np.ndarray]:
     """Languages and their unit prototypes from labelled (text, lang) rows; null texts and langs teach nothing.
 
-    At most about ``most_rows`` rows are read for it: beyond that every row is
-    taken with equal probability, by a hash of its text and place.
+    At most about ``most_rows`` rows teach: of more, those whose text has a low
+    hash, so the choice does not depend on how the rows are stored. Rows of
+    equal text are taken or left together.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     n = rows.count()
     if n > most_rows:
-        rows = rows.where(F.rand(11) < most_rows / n)
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

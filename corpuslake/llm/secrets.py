@@ -10,8 +10,10 @@ Truly random runs have uniform p-values, words and paths have small ones. In
 each stratum (encoding and length band; short runs are harder to tell apart, so
 each length has its own) the upper half of the p-values gives the number of
 random runs, and the lowest threshold is taken above which the estimated share
-of others stays below ``fdr``. The strata's histograms are counted over all
-documents; what reaches the driver is one threshold for each stratum.
+of others stays below ``fdr``. A stratum of fewer than LEAST_RUNS runs takes the
+threshold of its encoding over all lengths, and an encoding with as few that of
+all runs together. The strata's histograms are counted over all documents; what
+reaches the driver is one threshold for each stratum.
 """
 
 from __future__ import annotations
@@ -25,13 +27,18 @@ from corpuslake.llm.workspace import materialise, new_workspace
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"[A-Za-z0-9+/_-]{20,}"
+#: What every match of a pattern holds, in small letters; it spares most texts the pattern.
+HOLDS = {ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"), ACCESS: ("akia",)}
+
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 RUN_LEAST = 20
 BANDS = 8
 BINS = 100
+#: Runs that a stratum needs for a threshold of its own.
+LEAST_RUNS = 40
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Name, test and alphabet of each encoding, narrowest first.
 ENCODINGS = (
@@ -48,28 +55,42 @@ ENCODINGS = (
 )
 
 
-def _matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """Spans (start, kind number, end, kind, value) of leftmost non-overlapping matches: what lies between them gives their places."""
-    number = KINDS.index(kind)
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches: characters before each since the one before it, its own, and its value. Null if there are none."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    both = F.arrays_zip(between.alias("between"), found.alias("found"), value.alias("value"))
-    span = "struct<start:int,number:int,end:int,kind:string,value:string>"
-    step = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans")),
-        lambda acc, x: F.when(x["found"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["between"]) + F.length(x["found"])).alias("at"),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + F.length(x["between"])).alias("start"), F.lit(number).alias("number"), (acc["at"] + F.length(x["between"]) + F.length(x["found"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))),
-                ).alias("spans"),
-            )
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), step).otherwise(F.array().cast(f"array<{span}>"))
+    # split gives one part more than there are matches
+    both = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("between"), found.alias("found"), value.alias("value"))
+    lengths = F.transform(both, lambda x: F.struct(F.length(x["between"]).alias("gap"), F.length(x["found"]).alias("n"), x["value"].alias("value")))
+    likely = text.rlike(pattern)
+    if pattern in HOLDS:
+        some = F.lit(False)
+        for word in HOLDS[pattern]:
+            some = some | F.contains(F.lower(text), F.lit(word))
+        likely = some & likely
+    return F.when(likely, lengths)
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(r, start, number, end, kind, value, encoding of random ones) of every match: a running sum of lengths in each text."""
+    rows = None
+    for number, kind in enumerate(KINDS):
+        one = found.where(F.col(kind).isNotNull()).select("r", F.lit(number).alias("number"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("i", "x")).select("r", "number", "kind", "i", "x.*")
+        one = one.withColumn("encoding", _encoding(F.col("value")) if kind == "random" else F.lit(None).cast("int"))
+        rows = one if rows is None else rows.unionByName(one)
+    before = Window.partitionBy("r", "number").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("n")).over(before).cast("int")
+    return rows.select("r", (end - F.col("n")).alias("start"), "number", end.alias("end"), "kind", "value", "encoding").where((F.col("kind") != "assign") | (F.length("value") >= ASSIGN_LEAST))
+
+
+def _clear(spans: DataFrame) -> DataFrame:
+    """Random runs that overlap no base span: none before reaches into one, and the next one begins behind it."""
+    base = F.col("kind") != "random"
+    ordered = Window.partitionBy("r").orderBy("start", "number")
+    reach = F.max(F.when(base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(base, F.col("start"))).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    marked = spans.select("*", F.coalesce(reach > F.col("start"), F.lit(False)).alias("inside"), F.coalesce(following < F.col("end"), F.lit(False)).alias("covers"))
+    return marked.where(base | ~(F.col("inside") | F.col("covers"))).drop("inside", "covers")
 
 
 def _phi(z: Column) -> Column:
@@ -78,27 +99,78 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
-def _battery(run: Column) -> Column:
-    """(encoding number, length, p) of a run of characters."""
-    encoding, alphabet = F.lit(len(ENCODINGS) - 1), F.lit(ENCODINGS[-1][2])
-    for i, (_, test, letters) in reversed(list(enumerate(ENCODINGS[:-1]))):
-        encoding, alphabet = F.when(run.rlike(test), i).otherwise(encoding), F.when(run.rlike(test), letters).otherwise(alphabet)
-    n, k = F.length(run).cast("double"), F.length(alphabet).cast("double")
-    # an index of -1 (a base64 run that mixes both variants' signs) counts as the letter before the first
-    chars = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.instr(alphabet, F.substring(run, i, F.lit(1))) - 1)
-    same = F.aggregate(F.sequence(F.lit(1), F.length(run)), F.lit(0.0), lambda acc, i: acc + (F.length(run) - F.length(F.replace(run, F.substring(run, i, F.lit(1)), F.lit("")))))
-    chi = same * k / n - n
-    p_chi = 1 - _phi((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
-    neighbours = F.arrays_zip(F.slice(chars, F.lit(1), F.length(run) - 1).alias("a"), F.slice(chars, F.lit(2), F.length(run) - 1).alias("b"))
+def _encoding(run: Column) -> Column:
+    """The number of the narrowest encoding that a run fits."""
+    encoding = F.lit(len(ENCODINGS) - 1)
+    for i, (_, test, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+        encoding = F.when(run.rlike(test), i).otherwise(encoding)
+    return encoding
+
+
+def _battery(run: Column, encoding: Column) -> Column:
+    """(length, p) of a run of characters; encoding must be a column at hand, as it is looked up for each character."""
+    alphabet = F.element_at(F.array(*[F.lit(letters) for _, _, letters in ENCODINGS]), encoding + 1)
+    k = F.element_at(F.array(*[F.lit(float(len(letters))) for _, _, letters in ENCODINGS]), encoding + 1)
+    n = F.length(run).cast("double")
     half, middle, spread = k / 2, (k - 1) / 2, (k * k - 1) / 12
-    turns = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + F.when((x["a"] >= half) != (x["b"] >= half), 1.0).otherwise(0.0))
-    z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + (x["a"] - middle) * (x["b"] - middle))
-    z_serial = serial / spread / F.sqrt(n - 1)
+    each = F.filter(F.split(run, ""), lambda c: c != "")
+    # the sum of squared counts, as the sum of odd numbers along the sorted characters
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c, k: F.struct(c.alias("last"), k.alias("k"), (acc["sum"] + 2 * k - 1).alias("sum"))
+    same = F.aggregate(F.array_sort(each), start, lambda acc, c: step(acc, c, F.when(acc["last"] == c, acc["k"] + 1).otherwise(1)), lambda acc: acc["sum"])
+    # changes of side and products of neighbours; an index of -1 (a base64 run that mixes both variants' signs) counts as the letter before the first
+    first = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("serial"))
+    turned = lambda acc, i: F.when((acc["last"] >= half) != (i >= half), 1.0).otherwise(0.0)
+    product = lambda acc, i: F.coalesce((acc["last"] - middle) * (i - middle), F.lit(0.0))
+    pairs = F.aggregate(
+        F.transform(each, lambda c: (F.instr(alphabet, c) - 1).cast("double")), first,
+        lambda acc, i: F.struct(i.alias("last"), (acc["turns"] + turned(acc, i)).alias("turns"), (acc["serial"] + product(acc, i)).alias("serial")),
+    )
     least = F.lit(1e-12)
     both_tails = lambda z: F.greatest(2 * (1 - _phi(F.abs(z))), least)
-    x = -(F.log(F.greatest(p_chi, least)) + F.log(both_tails(z_runs)) + F.log(both_tails(z_serial)))
-    return F.struct(encoding.alias("encoding"), F.length(run).alias("n"), (F.exp(-x) * (1 + x + x * x / 2)).alias("p"))
+
+    def logs(v: Column) -> Column:
+        chi = v["same"] * k / n - n
+        p_chi = 1 - _phi((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
+        z_runs = (v["pairs"]["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        z_serial = v["pairs"]["serial"] / spread / F.sqrt(n - 1)
+        return -(F.log(F.greatest(p_chi, least)) + F.log(both_tails(z_runs)) + F.log(both_tails(z_serial)))
+
+    x = _once(F.struct(same.alias("same"), pairs.alias("pairs")), logs)
+    return F.struct(F.length(run).alias("n"), _once(x, lambda x: F.exp(-x) * (1 + x + x * x / 2)).alias("p"))
+
+
+def _once(value: Column, function) -> Column:
+    """function(value), for which ``value`` is computed once however often it is used there."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def _limits(histogram: DataFrame, by: list[str], fdr: float) -> DataFrame:
+    """For each stratum of ``by`` with LEAST_RUNS runs or more the lowest bin that passes (BINS if none does)."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    counts = histogram.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(w.orderBy(F.desc("bin")))
+    total = F.sum("n").over(w)
+    random = 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(w) * (1 - F.col("bin") / BINS)
+    found = counts.select(*by, "bin", above.alias("above"), random.alias("random"), total.alias("total")).where(F.col("total") >= LEAST_RUNS)
+    passing = F.when((F.col("above") - F.least("above", "random")) <= fdr * F.col("above"), F.col("bin")).otherwise(BINS)
+    return found.groupBy(*by).agg(F.min(passing).alias("limit"))
+
+
+def _threshold(histogram: DataFrame, fdr: float) -> Column:
+    """The least bin of a run (columns encoding, band) that passes; null without control."""
+    levels = (["encoding", "band"], ["encoding"], [])
+    key = lambda by: sum((F.col(c) * BANDS ** (1 - i) for i, c in enumerate(by)), F.lit(0)).cast("int")
+    rows = None
+    for level, by in enumerate(levels):
+        one = _limits(histogram, by, fdr).select(F.lit(level).alias("level"), key(by).alias("key"), "limit")
+        rows = one if rows is None else rows.unionByName(one)
+    found = sorted(rows.collect())  # a row for each stratum of a level: len(ENCODINGS) * BANDS at most, and a few
+    out = []
+    for level, by in enumerate(levels):
+        if own := [x for r in found if r.level == level for x in (r.key, r.limit)]:
+            out.append(F.element_at(F.create_map(*map(F.lit, own)), key(by)))
+    return F.coalesce(*out) if out else F.lit(None).cast("int")
 
 
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
@@ -106,30 +178,25 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
 
     Places are in code points, the end is exclusive. Kinds assign, access and hex
     are the fixed patterns; random are runs that pass the battery and overlap
-    none of those. Null text is empty. Repeated rows, null doc_ids and texts of any length are
-    scanned alike, other columns are ignored, no rows give no rows.
+    none of those. With fewer than LEAST_RUNS runs in all documents nothing can
+    be said on the share of false discoveries, so no run is random. Null text is
+    empty. Repeated rows and null doc_ids are scanned alike; cost is linear in a
+    text's length, the length of its runs and the number of its matches. Other
+    columns are ignored, no rows give no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = F.concat(F.filter(_matches(F.col("t"), ASSIGN, "assign", 2), lambda s: F.length(s["value"]) >= ASSIGN_LEAST), _matches(F.col("t"), ACCESS, "access"), _matches(F.col("t"), HEX, "hex"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    found = docs.select("doc_id", text.alias("t")).select("doc_id", base.alias("base"), _matches(F.col("t"), RUN, "random").alias("runs"))
-    tested = found.select("doc_id", "base", F.transform(F.filter("runs", clear), lambda s: F.struct(s.alias("span"), _battery(s["value"]).alias("test"))).alias("runs"))
-    kept = materialise(tested, f"{new_workspace(docs.sparkSession, 'secrets')}/tested")
-
-    band = lambda n: F.least(F.floor(2 * F.log2(n / F.lit(float(RUN_LEAST)))), F.lit(BANDS - 1))
-    stratum = lambda t: (t["encoding"] * BANDS + band(t["n"])).cast("int")
-    bin_ = lambda t: F.least(F.floor(t["p"] * BINS), F.lit(BINS - 1)).cast("int")
-    histogram = kept.select(F.explode("runs").alias("r")).groupBy(stratum(F.col("r.test")).alias("stratum"), bin_(F.col("r.test")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("stratum")
-    above = F.sum("n").over(w.orderBy(F.desc("bin")))
-    random = 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(w) * (1 - F.col("bin") / BINS)
-    lowest = histogram.select("stratum", "bin", above.alias("above"), random.alias("random")).where((F.col("above") - F.least("above", "random")) <= fdr * F.col("above")).groupBy("stratum").agg(F.min("bin").alias("bin"))
-    limits = {r.stratum: r.bin for r in lowest.collect()}  # one for each of at most len(ENCODINGS) * BANDS strata
-    if limits:
-        table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-        passes = lambda r: F.coalesce(bin_(r["test"]) >= F.element_at(table, stratum(r["test"])), F.lit(False))
-        extra = F.transform(F.filter("runs", passes), lambda r: r["span"])
-        spans = F.concat("base", extra)
-    else:
-        spans = F.col("base")
-    return kept.select("doc_id", F.array_sort(spans).alias("spans"))
+    place = new_workspace(docs.sparkSession, "secrets")
+    patterns = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "random": (RUN, 0)}
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("r"), text.alias("t"))
+    found = materialise(texts.select("doc_id", "r", *[_matches(F.col("t"), *patterns[k]).alias(k) for k in KINDS]), f"{place}/found")
+    tested = _clear(_spans(found)).select("*", F.when(F.col("kind") == "random", _battery(F.col("value"), F.col("encoding"))).alias("test"))
+    kept = materialise(tested, f"{place}/tested")
+
+    band = F.least(F.floor(2 * F.log2(F.col("test.n") / F.lit(float(RUN_LEAST)))), F.lit(BANDS - 1)).cast("int")
+    bin_ = F.least(F.floor(F.col("test.p") * BINS), F.lit(BINS - 1)).cast("int")
+    placed = kept.withColumns({"band": band, "bin": bin_})
+    histogram = placed.where("kind = 'random'").groupBy("encoding", "band", "bin").agg(F.count(F.lit(1)).alias("n"))
+    passing = placed.where((F.col("kind") != "random") | (F.col("bin") >= _threshold(histogram, fdr)))
+    spans = passing.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("start", "number", "end", "kind", "value"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string,value:string>>")
+    return found.select("doc_id", "r").join(spans, "r", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
