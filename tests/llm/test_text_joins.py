@@ -178,7 +178,11 @@ def test_edit_distances_are_exact_up_to_the_limit():
         assert line_dedup.edit_distances(a, b, limit).tolist() == [min(edit(x, y), limit + 1) for x, y in zip(a, b)]
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, crowded):
+    """With crowded keys in tiles of three lines, too: classes and numbers of links."""
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "TILE", 3)
     r = random.Random(3)
     base = ["".join(r.choice("abcde é") for _ in range(r.randint(5, 14))) for _ in range(40)]
 
