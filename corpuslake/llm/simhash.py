@@ -5,7 +5,8 @@ differ in at most ``distance`` bits, some segment starts a chain all of whose
 prefixes stay within the proportional budget: the first l segments of the chain
 differ in at most floor(l * distance / SEGMENTS) bits. With more segments than
 allowed differences that budget is 0 for l = 1, so equal segments are join
-keys; longer chains prune candidates before the full Hamming check. A key with
+keys. A candidate's chain is followed from its key, one segment after the other,
+and only candidates that keep to every budget come to the full Hamming check. A key with
 more than ``dense`` distinct fingerprints is split by the chain's second
 segment: its budget is met by the segment itself and its one-bit variants.
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.llm import bytewords as bw
+from corpuslake.llm import simhash_sets
 from corpuslake.llm.components import components
 from corpuslake.llm.lean import lean
 from corpuslake.llm.workspace import materialise, new_workspace
@@ -102,18 +104,22 @@ class Forest:
                 kept.append((x, y))
 
 
-def _chain(a: np.ndarray, b: np.ndarray, segment: np.ndarray, distance: int) -> np.ndarray:
-    """Whether the chain that starts at ``segment`` stays within every proportional budget."""
-    x = a ^ b
-    ok = np.ones(len(x), bool)
-    total = np.zeros(len(x), np.int64)
+def chained(a: np.ndarray, b: np.ndarray, segment: np.ndarray, distance: int, counts: list | None = None) -> np.ndarray:
+    """Places of the pairs within ``distance`` whose chain from ``segment`` on keeps to every proportional budget.
+
+    Each prefix is looked at only where the one before it holds, the whole ring
+    last; ``counts`` gets how many pairs came to each.
+    """
+    left = np.arange(len(a))
+    total = np.zeros(len(a), np.int64)
     for l in range(1, SEGMENTS + 1):
-        s = ((segment + l - 1) % SEGMENTS * BITS).astype(U)
-        total += np.bitwise_count((x >> s) & U(0xFFFF))
-        ok &= total <= l * distance // SEGMENTS
-        if not ok.any():
-            break
-    return ok
+        if counts is not None:
+            counts.append(len(left))
+        at = ((segment[left] + l - 1) % SEGMENTS * BITS).astype(U)
+        total = total + np.bitwise_count((a[left] ^ b[left]) >> at & U(0xFFFF))
+        keep = total <= l * distance // SEGMENTS  # for the last prefix the full Hamming check
+        left, total = left[keep], total[keep]
+    return left
 
 
 def _links(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, segment: np.ndarray, distance: int, forest: Forest) -> None:
@@ -127,9 +133,8 @@ def _links(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, segment: np.ndarr
     def check(i: np.ndarray, j: np.ndarray) -> None:
         keep = exact[i] | exact[j]
         i, j = i[keep], j[keep]
-        if len(i):
-            keep = _chain(fp[i], fp[j], segment[i], distance) & (np.bitwise_count(fp[i] ^ fp[j]) <= distance)
-            forest.add(i[keep].tolist(), j[keep].tolist())
+        keep = chained(fp[i], fp[j], segment[i], distance)
+        forest.add(i[keep].tolist(), j[keep].tolist())
 
     small = np.repeat(size <= 64, size)
     for d in range(1, min(64, int(size.max(initial=0)))):
@@ -139,14 +144,12 @@ def _links(key: np.ndarray, exact: np.ndarray, fp: np.ndarray, segment: np.ndarr
         for a in range(0, len(i), 1 << 20):
             check(i[a : a + (1 << 20)], i[a : a + (1 << 20)] + d)
     for at, count in zip(edge[size > 64].tolist(), size[size > 64].tolist()):
-        tile = 1024
+        tile = 512
         for a in range(at, at + count, tile):
             rows = np.arange(a, min(a + tile, at + count))
             for b in range(a, at + count, tile):
                 cols = np.arange(b, min(b + tile, at + count))
-                near = np.bitwise_count(fp[rows][:, None] ^ fp[cols][None, :]) <= distance
-                i, j = np.nonzero(near)
-                i, j = rows[i], cols[j]
+                i, j = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
                 keep = i < j
                 check(i[keep], j[keep])
 
@@ -159,7 +162,8 @@ def links(prints: DataFrame, distance: int = 3, dense: int = 1024) -> DataFrame:
     if not 0 <= distance < SEGMENTS:
         raise ValueError(f"distance must be from 0 to {SEGMENTS - 1}")
     spark = prints.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # some 100,000 rows to a task, however many there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-SEGMENTS * prints.count() // 100_000))
     seg = lambda i: F.shiftrightunsigned("fp", BITS * i).bitwiseAND(F.lit(0xFFFF))
     keyed = prints.where("node is not null").select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), seg(i).alias("k"), seg((i + 1) % SEGMENTS).alias("k2")) for i in range(SEGMENTS)])).alias("x")).select("fp", "node", "x.*")
     heavy = keyed.groupBy("segment", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("segment", "k", F.lit(True).alias("heavy"))
@@ -200,7 +204,7 @@ def links(prints: DataFrame, distance: int = 3, dense: int = 1024) -> DataFrame:
     return rows.repartition(parts, "key").mapInArrow(lean(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, similarity: tuple[int, int] | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text, ...): doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of at most ``distance`` bits
@@ -208,7 +212,14 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     link like any other. Rows that repeat a doc_id are all returned. A row
     without doc_id gets the component of its fingerprint, null if no row with a
     doc_id has it. Extra columns are ignored; no rows give no rows.
+
+    With a ``similarity`` (over, under) fingerprints only prune, within a wide
+    radius that takes the place of ``distance``, and texts are linked if the sets of
+    their shingles have a Jaccard similarity of over / under or more; the result
+    is then (doc_id, component_id) of the rows with a doc_id: ``simhash_sets``.
     """
+    if similarity:
+        return simhash_sets.similar(docs, shingle, *similarity)
     spark = docs.sparkSession
     place = new_workspace(spark, "simhash")
     marks = materialise(fingerprints(docs, shingle), f"{place}/prints")

@@ -1,15 +1,21 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
-
-Two sets of similarity t or more share one of the first n - ceil(t * n) + 1
-members of each in any one order of all shingles (n: the set's size). These
-prefixes are the join keys, so no similar pair is missed. In the order used,
-shingles that a sample of documents repeats come last, which spares crowded
-keys; what the sample holds changes the cost and never the result.
-
-Every candidate is checked on the whole sets. Of a crowded key first only chains
-through its sets are checked; then one task compares its sets, in tiles, as far
-as the links found so far leave them in different components. So the components
-are those of all similar pairs, but a pair within one need not be listed.
+"""SimHash near-duplicates at radii too wide for equal segments, decided by Jaccard similarity.
+
+Sets of word shingles of similarity 0.8 differ in some ten of 64 fingerprint
+bits, too many for any segment to be equal reliably. So candidates meet another
+way: two sets of similarity t or more share one of the first
+n - ceil(t * n) + 1 members of each in any one order of all shingles (n: the
+set's size), and these are the join keys. What travels under a key is the
+fingerprint; the pigeonring chain of segments prunes the candidates, then the
+full Hamming check, and only what is left is compared by whole sets. ``RADIUS``
+lies over four standard deviations above the distance expected at similarity
+0.8, so that the filter loses less than one such pair in ten thousand.
+
+In the order used, shingles that a sample of documents repeats come last, which
+spares crowded keys; what the sample holds changes the cost and never the result.
+Of a crowded key first only chains through its sets are checked; then one task
+compares its sets, in tiles, as far as the links found so far leave them in
+different components. So the components are those of all similar pairs, but a
+pair within one need not be listed.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import bytewords as bw
 from corpuslake.llm.components import components
+from corpuslake.llm.lean import lean
 from corpuslake.llm.workspace import materialise, new_workspace, partitions_for
 
 SLICE = 2 << 20
@@ -32,11 +39,13 @@ CROWDED = 8
 MARKS = 26
 #: Sets, and shingles that they share, which are compared at once.
 TILE, BLOCK = 256, 1 << 14
+#: Bits that fingerprints of similar sets may differ in, of 64 in RING segments.
+RADIUS, RING = 24, 8
 U = np.uint64
 
 
 def shingle_sets(column: pa.Array, shingle: int):
-    """(first row, last row, sets, offsets, signatures) of slices of a string column.
+    """(first row, last row, sets, offsets, signatures, fingerprints) of slices of a string column.
 
     A set holds the ascending hashes of a text's distinct shingles, of all its
     words if they are fewer. Equal sets have equal signatures.
@@ -59,7 +68,35 @@ def shingle_sets(column: pa.Array, shingle: int):
         value, owner = value[new], owner[new]
         cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
         total = np.concatenate((np.zeros(1, U), np.cumsum(bw.mix(value ^ U(0x5851F42D4C957F2D)), dtype=U)))
-        yield lo, hi, value, cuts, bw.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ bw.mix(np.diff(cuts).astype(U)))
+        yield lo, hi, value, cuts, bw.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ bw.mix(np.diff(cuts).astype(U))), majority(value, cuts)
+
+
+def majority(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set: a bit is 1 if over half of its members' hashes have it."""
+    size = np.diff(cuts)
+    owner, sums = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
+    for lo in range(0, len(value), 1 << 17):
+        bits, own = np.unpackbits(value[lo : lo + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), owner[lo : lo + (1 << 17)]
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(U)[:, 0]
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are within RADIUS bits: a chain of segments within budget from some start, then the full check on what has one."""
+    apart = np.bitwise_count((a ^ b).view(np.uint8).reshape(-1, RING))
+    left, ok = np.arange(len(a)), np.zeros(len(a), bool)
+    for start in range(RING):
+        rows, total = left, np.zeros(len(left), np.int64)
+        for l in range(RING):
+            total = total + apart[rows, (start + l) % RING]
+            stay = total <= (l + 1) * RADIUS // RING
+            rows, total = rows[stay], total[stay]
+        ok[rows] = True
+        left = left[~ok[left]]
+    some = np.flatnonzero(ok)
+    ok[some] = np.bitwise_count(a[some] ^ b[some]) <= RADIUS
+    return ok
 
 
 def _unseen(sig: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
@@ -102,26 +139,29 @@ def _share(batches, over: int, under: int):
         return
     t = pa.Table.from_batches(batches)
     del batches
-    key, sig, n = (t.column(c).combine_chunks().to_numpy() for c in ("key", "sig", "n"))
+    key, sig, n, fp = (t.column(c).combine_chunks().to_numpy() for c in ("key", "sig", "n", "fp"))
     order = np.lexsort((sig, key))
-    key, sig, n = key[order], sig[order], n[order].astype(np.int64)
+    key, sig, n, fp = key[order], sig[order], n[order].astype(np.int64), fp[order].view(U)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-    key, sig, n = key[new], sig[new], n[new]
+    key, sig, n, fp = key[new], sig[new], n[new], fp[new]
     edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     size = np.diff(np.append(edge, len(key)))
     wide = np.repeat(size, size)
-    key, sig, n, wide = key[wide > 1], sig[wide > 1], n[wide > 1], wide[wide > 1]
+    key, sig, n, fp, wide = key[wide > 1], sig[wide > 1], n[wide > 1], fp[wide > 1], wide[wide > 1]
     found = []
     for d in range(1, CROWDED):
         i = np.flatnonzero((key[:-d] == key[d:]) & (wide[:-d] <= CROWDED))
         i = i[_sized(n, i, i + d, over, under)]
+        i = i[close(fp[i], fp[i + d])]
         found.append(_pairs(sig[i], sig[i + d]))
-    key, sig, n = key[wide > CROWDED], sig[wide > CROWDED], n[wide > CROWDED]
+    key, sig, n, fp = key[wide > CROWDED], sig[wide > CROWDED], n[wide > CROWDED], fp[wide > CROWDED]
     for o in range(3):
         order = np.lexsort((bw.mix(sig.view(U) ^ U(0x9E3779B97F4A7C15 * (o + 1) & (1 << 64) - 1)), key))
         i, j = order[:-1], order[1:]
         keep = (key[i] == key[j]) & _sized(n, i, j, over, under)
+        i, j = i[keep], j[keep]
+        keep = close(fp[i], fp[j])
         found.append(_pairs(sig[i[keep]], sig[j[keep]]))
     e = np.unique(np.concatenate(found), axis=0)
     names = ["kind", "a", "b"]
@@ -141,6 +181,7 @@ def _share(batches, over: int, under: int):
 def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, under: int):
     """Similar pairs that join the different labels of one group as far as any of its pairs do."""
     size = np.array([len(x) for x in sets], np.int64)
+    fp = majority(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
     _, label, count = np.unique(label, return_inverse=True, return_counts=True)
     # those of the commonest label come last and are not compared with each other
     order = np.argsort(count[label], kind="stable")
@@ -148,6 +189,8 @@ def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, unde
         for b in range(a, len(order), TILE):
             i, j = order[a : a + TILE], order[b : b + TILE]
             cross = (label[i][:, None] != label[j][None, :]) & _sized(size, i[:, None], j[None, :], over, under)
+            r, c = np.nonzero(cross)
+            cross[r, c] = close(fp[i[r]], fp[j[c]])
             i, j, cross = i[cross.any(1)], j[cross.any(0)], cross[cross.any(1)][:, cross.any(0)]
             if not len(i):
                 continue
@@ -204,12 +247,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, uri: str) -> DataFra
     def run(batches):
         bits, seen = shared.value, set()
         for b in batches:
-            for _, _, value, cuts, sig in shingle_sets(b.column(0), shingle):
+            for _, _, value, cuts, sig, _ in shingle_sets(b.column(0), shingle):
                 slot = sig & U((1 << MARKS) - 1)
                 rows = np.flatnonzero(_unseen(sig, (bits[slot >> U(6)] >> (slot & U(63))) & U(1) > 0, seen))
                 yield pa.record_batch([pa.array(sig[rows].view(np.int64)), pa.array([value[cuts[r] : cuts[r + 1]].tobytes() for r in rows.tolist()], pa.binary())], names=["sig", "members"])
 
-    held = docs.select("text").mapInArrow(run, "sig long, members binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+    held = docs.select("text").mapInArrow(lean(run), "sig long, members binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
     return materialise(held, uri)
 
 
@@ -227,10 +270,10 @@ def _verified(pairs: DataFrame, held: DataFrame, over: int, under: int, uri: str
             yield pa.record_batch([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
 
     both = pairs.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), uri)
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long"), uri)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) -> DataFrame:
     """(doc_id, component_id) of each row of docs (doc_id, text, ...) with a doc_id.
 
     component_id is the smallest doc_id that links reach, itself included. Texts
@@ -250,13 +293,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int
 
     def scan(batches):
         for b in batches:
-            for lo, hi, value, cuts, sig in shingle_sets(b.column(1), shingle):
+            for lo, hi, value, cuts, sig, _ in shingle_sets(b.column(1), shingle):
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(sig.view(np.int64)), pa.nulls(hi - lo, pa.int64())], names=["doc_id", "sig", "shingle"])
                 taken = np.repeat(sig % U(every) == 0, np.diff(cuts))
                 if k := int(taken.sum()):
                     yield pa.record_batch([pa.nulls(k, pa.int64()), pa.array(sig.view(np.int64).repeat(np.diff(cuts))[taken]), pa.array(value[taken].view(np.int64))], names=["doc_id", "sig", "shingle"])
 
-    scanned = materialise(docs.mapInArrow(scan, "doc_id long, sig long, shingle long"), f"{place}/scanned")
+    scanned = materialise(docs.mapInArrow(lean(scan), "doc_id long, sig long, shingle long"), f"{place}/scanned")
     marks = scanned.where("shingle is null").select("doc_id", "sig")
     counted = scanned.where("shingle is not null").distinct().groupBy("shingle").count().where(F.col("count") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(counted.select("shingle").toArrow().column(0).to_numpy().view(U)))
@@ -264,14 +307,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int
     def keys(batches):
         seen: set = set()
         for b in batches:
-            for _, _, value, cuts, sig in shingle_sets(b.column(1), shingle):
+            for _, _, value, cuts, sig, fp in shingle_sets(b.column(1), shingle):
                 yes = prefixes(value, cuts, frequent.value, over, under)
                 size = np.diff(cuts)
                 yes &= np.repeat(_unseen(sig, size > 0, seen), size)
-                yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes])], names=["key", "sig", "n"])
+                yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes]), pa.array(fp.view(np.int64).repeat(size)[yes])], names=["key", "sig", "n", "fp"])
 
-    keyed = docs.mapInArrow(keys, "key long, sig long, n int").repartition(n, "key")
-    shared = materialise(keyed.mapInArrow(lambda x: _share(x, over, under), "kind int, a long, b long"), f"{place}/shared")
+    keyed = docs.mapInArrow(lean(keys), "key long, sig long, n int, fp long").repartition(n, "key")
+    shared = materialise(keyed.mapInArrow(lean(lambda x: _share(x, over, under)), "kind int, a long, b long"), f"{place}/shared")
     pairs = materialise(shared.where("kind = 0").select("a", "b").distinct(), f"{place}/pairs")
     crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(crowded.select("sig")).distinct()
@@ -283,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, over: int = 4, under: int
         members = materialise(members, f"{place}/members")
         apart = members.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
         rows = members.join(apart, "grp", "left_semi").join(held, "sig").select("grp", "sig", "label", "members")
-        more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lambda x: _across(x, over, under), "a long, b long")
+        more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lean(lambda x: _across(x, over, under)), "a long, b long")
         links = links.unionByName(materialise(more.distinct(), f"{place}/more"))
     # rows of one doc_id belong together
     least = marks.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")

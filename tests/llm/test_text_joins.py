@@ -1,13 +1,12 @@
 """SimHash, substring dedup, decontamination and line dedup against brute force."""
 
-import hashlib
 import random
 import re
 
 import pytest
 import xxhash
 
-from corpuslake.llm import bytewords, decontaminate, line_dedup, simhash, substring_dedup
+from corpuslake.llm import bytewords, decontaminate, line_dedup, simhash, simhash_sets, substring_dedup
 
 SPACED, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -244,7 +243,36 @@ def test_empty_tables(spark):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in clean) == [(1, 2, 0, []), (2, 0, 0, [])]
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(none, 5, 6)
-    assert hashlib.sha256(b"").hexdigest()
+
+
+def test_chains_prune_before_the_hamming_check():
+    """Of pairs with an equal segment few come to the later prefixes, and none within the distance is lost that some chain has."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2**63, 20000).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, 20000).astype(np.uint64)
+    b = r.integers(0, 2**63, 20000).astype(np.uint64)
+    b[:500] = a[:500] ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64))
+    distance, found = np.bitwise_count(a ^ b), set()
+    for segment in range(simhash.SEGMENTS):
+        counts = []
+        found |= set(simhash.chained(a, b, np.full(len(a), segment), 3, counts).tolist())
+        assert counts[0] == 20000 and counts[1] < 1000 and counts[2] <= counts[1]
+    assert found == set(np.flatnonzero(distance <= 3).tolist())
+
+
+def test_wide_radius_keeps_pairs_of_similarity_080():
+    """20,000 pairs of sets at or just over similarity 0.8, small and large: fingerprints lose at most two."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    lost = 0
+    for size, extra in ((4, 1), (8, 2), (36, 9), (180, 45)):
+        for _ in range(5000):
+            v = r.integers(0, 2**63, size + extra).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, size + extra).astype(np.uint64)
+            fp = simhash_sets.majority(np.concatenate((v, v[:size])), np.array([0, size + extra, 2 * size + extra]))
+            lost += not simhash_sets.close(fp[:1], fp[1:])[0]
+    assert lost <= 2
 
 
 def similar_by_brute_force(rows):
@@ -270,8 +298,6 @@ def similar_by_brute_force(rows):
 
 def test_similar_documents_match_brute_force(spark, corpus, monkeypatch):
     """Edits about the threshold, a crowded group of near copies, a passage in many documents, exact copies, short texts."""
-    from corpuslake.llm import similar
-
     r = random.Random(11)
     fresh = lambda n: [f"v{r.randrange(100000)}" for _ in range(n)]
     rows = [x for x in corpus if x[0] is not None]
@@ -290,11 +316,11 @@ def test_similar_documents_match_brute_force(spark, corpus, monkeypatch):
         rows.append((3000 + i, " ".join(fresh(40) + passage + fresh(40))))
     want = similar_by_brute_force(rows)
     for sample in (4096, 20):
-        monkeypatch.setattr(similar, "SAMPLE", sample)
-        got = similar.near_duplicates(frame(spark, rows)).collect()
+        monkeypatch.setattr(simhash_sets, "SAMPLE", sample)
+        got = simhash.near_duplicates(frame(spark, rows), shingle=5, similarity=(4, 5)).collect()
         assert len(got) == len(rows)
         assert {x.doc_id: x.component_id for x in got} == want
-    assert similar.near_duplicates(frame(spark, [])).count() == 0
+    assert simhash.near_duplicates(frame(spark, []), shingle=5, similarity=(4, 5)).count() == 0
 
 
 def test_pipeline_drops_documents_of_similarity_080(spark, tmp_path):
