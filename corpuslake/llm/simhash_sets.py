@@ -1,19 +1,21 @@
 """SimHash near-duplicates at radii too wide for equal segments, decided by Jaccard similarity.
 
-Sets of word shingles of similarity 0.8 differ in some ten of 64 fingerprint
+Sets of word shingles of similarity 0.8 differ in some twenty of 128 fingerprint
 bits, too many for any segment to be equal reliably. So candidates meet another
 way: two sets of similarity t or more share one of the first
 n - ceil(t * n) + 1 members of each in any one order of all shingles (n: the
 set's size), and these are the join keys. What travels under a key is the
 fingerprint; the pigeonring chain of segments prunes the candidates, then the
 full Hamming check, and only what is left is compared by whole sets. ``RADIUS``
-lies over four standard deviations above the distance expected at similarity
-0.8, so that the filter loses less than one such pair in ten thousand.
+lies some four standard deviations above the distance expected at similarity
+0.8 (of sets of five members; over five for large ones), and as many below that
+of unlike sets, so that the filter loses less than one such pair in ten thousand.
 
 In the order used, shingles that a sample of documents repeats come last, which
 spares crowded keys; what the sample holds changes the cost and never the result.
-Of a crowded key first only chains through its sets are checked; then one task
-compares its sets, in tiles, as far as the links found so far leave them in
+Of a crowded key first only chains through its sets are checked, and sets that
+no fingerprint there is close to drop out; then one task
+compares the others, in tiles, as far as the links found so far leave them in
 different components. So the components are those of all similar pairs, but a
 pair within one need not be listed.
 """
@@ -39,8 +41,8 @@ CROWDED = 8
 MARKS = 26
 #: Sets, and shingles that they share, which are compared at once.
 TILE, BLOCK = 256, 1 << 14
-#: Bits that fingerprints of similar sets may differ in, of 64 in RING segments.
-RADIUS, RING = 24, 8
+#: Bits that fingerprints of similar sets may differ in, of 128 in RING segments.
+RADIUS, RING = 42, 8
 U = np.uint64
 
 
@@ -72,19 +74,20 @@ def shingle_sets(column: pa.Array, shingle: int):
 
 
 def majority(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The fingerprint of each set: a bit is 1 if over half of its members' hashes have it."""
+    """The fingerprint of each set, two words: a bit is 1 if over half of its members' hashes have it."""
     size = np.diff(cuts)
-    owner, sums = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
-    for lo in range(0, len(value), 1 << 17):
-        bits, own = np.unpackbits(value[lo : lo + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), owner[lo : lo + (1 << 17)]
-        at = np.flatnonzero(np.diff(own, prepend=-1))
+    owner, sums = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 128), np.int64)
+    for lo in range(0, len(value), 1 << 16):
+        part, own = value[lo : lo + (1 << 16)], owner[lo : lo + (1 << 16)]
+        both = np.stack([part, bw.mix(part ^ U(0x8CB92BA72F3D8DD7))], 1)
+        bits, at = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little"), np.flatnonzero(np.diff(own, prepend=-1))
         sums[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(U)[:, 0]
+    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(U)
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether fingerprints are within RADIUS bits: a chain of segments within budget from some start, then the full check on what has one."""
-    apart = np.bitwise_count((a ^ b).view(np.uint8).reshape(-1, RING))
+    apart = np.bitwise_count((a ^ b).view(np.uint16))
     left, ok = np.arange(len(a)), np.zeros(len(a), bool)
     for start in range(RING):
         rows, total = left, np.zeros(len(left), np.int64)
@@ -95,10 +98,27 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok[rows] = True
         left = left[~ok[left]]
     some = np.flatnonzero(ok)
-    ok[some] = np.bitwise_count(a[some] ^ b[some]) <= RADIUS
+    ok[some] = apart[some].sum(axis=1) <= RADIUS
     return ok
 
 
+def _accompanied(n: np.ndarray, fp: np.ndarray, over: int, under: int) -> np.ndarray:
+    """Whether each set of a crowded key has another one near it by size and fingerprint."""
+    order = np.argsort(n, kind="stable")
+    out = np.zeros(len(n), bool)
+    for lo in range(0, len(order), TILE):
+        a = order[lo : lo + TILE]
+        last = int(np.searchsorted(n[order] * over, int(n[a[-1]]) * under, "right"))  # longer ones are too long for all of a
+        for at in range(lo, last, 4 * TILE):
+            i, j = (x.ravel() for x in np.meshgrid(a, order[at : min(last, at + 4 * TILE)], indexing="ij"))
+            keep = (i != j) & ~(out[i] & out[j])
+            i, j = i[keep], j[keep]
+            i, j = i[(keep := _sized(n, i, j, over, under))], j[keep]
+            keep = close(fp[i], fp[j])
+            out[i[keep]] = out[j[keep]] = True
+    return out
+
+
 def _unseen(sig: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
     """Whether each row is ``ok`` and the first of its signature in this task."""
     out = np.zeros(len(sig), bool)
@@ -139,9 +159,10 @@ def _share(batches, over: int, under: int):
         return
     t = pa.Table.from_batches(batches)
     del batches
-    key, sig, n, fp = (t.column(c).combine_chunks().to_numpy() for c in ("key", "sig", "n", "fp"))
+    key, sig, n, one, two = (t.column(c).combine_chunks().to_numpy() for c in ("key", "sig", "n", "one", "two"))
+    del t
     order = np.lexsort((sig, key))
-    key, sig, n, fp = key[order], sig[order], n[order].astype(np.int64), fp[order].view(U)
+    key, sig, n, fp = key[order], sig[order], n[order].astype(np.int64), np.stack([one[order], two[order]], 1).view(U)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
     key, sig, n, fp = key[new], sig[new], n[new], fp[new]
@@ -171,11 +192,14 @@ def _share(batches, over: int, under: int):
         yield pa.record_batch([zero, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=names)
     seen = set()
     edge = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
-    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-        group = int(bw.mix(np.add.reduce(bw.mix(sig[lo:hi].view(U)), keepdims=True)).view(np.int64)[0])
+    for first, end in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
+        near = sig[first:end][_accompanied(n[first:end], fp[first:end], over, under)]
+        if not len(near):
+            continue
+        group = int(bw.mix(np.add.reduce(bw.mix(near.view(U)), keepdims=True)).view(np.int64)[0])
         if group not in seen:
             seen.add(group)
-            yield pa.record_batch([pa.array(np.ones(hi - lo, np.int32)), pa.array(np.full(hi - lo, group)), pa.array(sig[lo:hi])], names=names)
+            yield pa.record_batch([pa.array(np.ones(len(near), np.int32)), pa.array(np.full(len(near), group)), pa.array(near)], names=names)
 
 
 def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, under: int):
@@ -311,9 +335,9 @@ def similar(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) ->
                 yes = prefixes(value, cuts, frequent.value, over, under)
                 size = np.diff(cuts)
                 yes &= np.repeat(_unseen(sig, size > 0, seen), size)
-                yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes]), pa.array(fp.view(np.int64).repeat(size)[yes])], names=["key", "sig", "n", "fp"])
+                yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes]), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64).repeat(size)[yes]) for k in (0, 1))], names=["key", "sig", "n", "one", "two"])
 
-    keyed = docs.mapInArrow(lean(keys), "key long, sig long, n int, fp long").repartition(n, "key")
+    keyed = docs.mapInArrow(lean(keys), "key long, sig long, n int, one long, two long").repartition(n, "key")
     shared = materialise(keyed.mapInArrow(lean(lambda x: _share(x, over, under)), "kind int, a long, b long"), f"{place}/shared")
     pairs = materialise(shared.where("kind = 0").select("a", "b").distinct(), f"{place}/pairs")
     crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"))
