@@ -13,11 +13,12 @@ of unlike sets, so that the filter loses less than one such pair in ten thousand
 
 In the order used, shingles that a sample of documents repeats come last, which
 spares crowded keys; what the sample holds changes the cost and never the result.
-Of a crowded key first only chains through its sets are checked, and sets that
-no fingerprint there is close to drop out; then one task
-compares the others, in tiles, as far as the links found so far leave them in
-different components. So the components are those of all similar pairs, but a
-pair within one need not be listed.
+
+Under each key a spanning forest of the close fingerprints is kept. The
+components of all forests hold every similar pair, so each set travels once, to
+its component's task, where sets are compared exactly as far as links found
+before leave them apart. A large component is dealt as pairs of blocks, a task
+each. The result is components: pairs within one need not be listed.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from corpuslake.llm.workspace import materialise, new_workspace, partitions_for
 SLICE = 2 << 20
 #: Documents whose shingles are counted to find frequent ones, and the count from which one is frequent.
 SAMPLE, FREQUENT = 4096, 3
-#: Keys with more sets than this are crowded.
-CROWDED = 8
+#: Sets of a component that one task compares with each other, or with as many others.
+BLOCKED = 1024
 #: Sets wanted by a pass are marked in so many bits.
 MARKS = 26
 #: Sets, and shingles that they share, which are compared at once.
@@ -102,23 +103,6 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _accompanied(n: np.ndarray, fp: np.ndarray, over: int, under: int) -> np.ndarray:
-    """Whether each set of a crowded key has another one near it by size and fingerprint."""
-    order = np.argsort(n, kind="stable")
-    out = np.zeros(len(n), bool)
-    for lo in range(0, len(order), TILE):
-        a = order[lo : lo + TILE]
-        last = int(np.searchsorted(n[order] * over, int(n[a[-1]]) * under, "right"))  # longer ones are too long for all of a
-        for at in range(lo, last, 4 * TILE):
-            i, j = (x.ravel() for x in np.meshgrid(a, order[at : min(last, at + 4 * TILE)], indexing="ij"))
-            keep = (i != j) & ~(out[i] & out[j])
-            i, j = i[keep], j[keep]
-            i, j = i[(keep := _sized(n, i, j, over, under))], j[keep]
-            keep = close(fp[i], fp[j])
-            out[i[keep]] = out[j[keep]] = True
-    return out
-
-
 def _unseen(sig: np.ndarray, ok: np.ndarray, seen: set) -> np.ndarray:
     """Whether each row is ``ok`` and the first of its signature in this task."""
     out = np.zeros(len(sig), bool)
@@ -148,12 +132,48 @@ def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, over: int, under: int) -
     return np.minimum(n[i], n[j]) * under >= np.maximum(n[i], n[j]) * over
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the pairs i, j are joined: the least that each reaches."""
+    while len(i):
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _forest(sig: np.ndarray, n: np.ndarray, fp: np.ndarray, over: int, under: int) -> np.ndarray:
+    """The least place that each set of one key reaches over pairs of like size and close fingerprints."""
+    order = np.argsort(n, kind="stable")
+    n, fp = n[order], fp[order]
+
+    def near(i, j):
+        keep = _sized(n, i, j, over, under)
+        i, j = i[keep], j[keep]
+        keep = close(fp[i], fp[j])
+        return i[keep], j[keep]
+
+    label = np.arange(len(n))
+    if len(n) > 8:  # chains first: what they join need not be compared
+        for k in range(3):
+            chain = np.argsort(bw.mix(sig[order].view(U) ^ U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), kind="stable")
+            label = _spread(label, *near(chain[:-1], chain[1:]))
+    for lo in range(0, len(n), TILE):
+        hi = min(lo + TILE, len(n))
+        last = int(np.searchsorted(n * over, int(n[hi - 1]) * under, "right"))  # longer ones are too long for all of them
+        for at in range(lo, last, 4 * TILE):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, hi), np.arange(at, min(last, at + 4 * TILE)), indexing="ij"))
+            keep = (i < j) & (label[i] != label[j])
+            label = _spread(label, *near(i[keep], j[keep]))
+    out = np.empty(len(n), np.int64)
+    out[order] = order[label]
+    return out
 
 
 def _share(batches, over: int, under: int):
-    """Pairs (kind 0: a, b) of sets that share a key; of crowded keys chains, and their members (kind 1: group, set)."""
+    """Edges (a, b) of a spanning forest of the close sets under each key."""
     batches = list(batches)
     if not batches:
         return
@@ -168,38 +188,18 @@ def _share(batches, over: int, under: int):
     key, sig, n, fp = key[new], sig[new], n[new], fp[new]
     edge = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     size = np.diff(np.append(edge, len(key)))
-    wide = np.repeat(size, size)
-    key, sig, n, fp, wide = key[wide > 1], sig[wide > 1], n[wide > 1], fp[wide > 1], wide[wide > 1]
-    found = []
-    for d in range(1, CROWDED):
-        i = np.flatnonzero((key[:-d] == key[d:]) & (wide[:-d] <= CROWDED))
-        i = i[_sized(n, i, i + d, over, under)]
-        i = i[close(fp[i], fp[i + d])]
-        found.append(_pairs(sig[i], sig[i + d]))
-    key, sig, n, fp = key[wide > CROWDED], sig[wide > CROWDED], n[wide > CROWDED], fp[wide > CROWDED]
-    for o in range(3):
-        order = np.lexsort((bw.mix(sig.view(U) ^ U(0x9E3779B97F4A7C15 * (o + 1) & (1 << 64) - 1)), key))
-        i, j = order[:-1], order[1:]
-        keep = (key[i] == key[j]) & _sized(n, i, j, over, under)
-        i, j = i[keep], j[keep]
-        keep = close(fp[i], fp[j])
-        found.append(_pairs(sig[i[keep]], sig[j[keep]]))
-    e = np.unique(np.concatenate(found), axis=0)
-    names = ["kind", "a", "b"]
+    twos = edge[size == 2]
+    twos = twos[_sized(n, twos, twos + 1, over, under)]
+    twos = twos[close(fp[twos], fp[twos + 1])]
+    found = [np.stack([sig[twos], sig[twos + 1]], 1)]
+    for lo, m in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+        label = _forest(sig[lo : lo + m], n[lo : lo + m], fp[lo : lo + m], over, under)
+        child = np.flatnonzero(label != np.arange(m))
+        if len(child):
+            found.append(np.stack([sig[lo + child], sig[lo + label[child]]], 1))
+    e = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
     for lo in range(0, len(e), 1 << 16):
-        part = e[lo : lo + (1 << 16)]
-        zero = pa.array(np.zeros(len(part), np.int32))
-        yield pa.record_batch([zero, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=names)
-    seen = set()
-    edge = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.zeros(0, np.int64)
-    for first, end in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
-        near = sig[first:end][_accompanied(n[first:end], fp[first:end], over, under)]
-        if not len(near):
-            continue
-        group = int(bw.mix(np.add.reduce(bw.mix(near.view(U)), keepdims=True)).view(np.int64)[0])
-        if group not in seen:
-            seen.add(group)
-            yield pa.record_batch([pa.array(np.ones(len(near), np.int32)), pa.array(np.full(len(near), group)), pa.array(near)], names=names)
+        yield pa.record_batch([pa.array(e[lo : lo + (1 << 16), k].copy()) for k in (0, 1)], names=["a", "b"])
 
 
 def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, under: int):
@@ -240,20 +240,21 @@ def _group_links(sig: np.ndarray, label: np.ndarray, sets: list, over: int, unde
 
 
 def _across(batches, over: int, under: int):
-    """Links (a, b) between different components within each group; rows (grp, sig, label, members) come in order of grp."""
+    """Links (a, b) within each tile; rows (comp, i, j, sig, members) come in order of comp, i, j."""
     def out(rows):
-        group, sig, label, sets = zip(*rows)
-        e = list(_group_links(np.array(sig), np.array(label), list(sets), over, under))
+        sets = [x[1] for x in rows]
+        e = list(_group_links(np.array([x[0] for x in rows]), np.arange(len(rows)), sets, over, under))
         return pa.record_batch([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
 
-    held: list = []
+    held, last = [], None
     for batch in batches:
-        members = [np.frombuffer(x.as_buffer(), U) for x in batch.column(3)]
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), members):
-            if held and held[0][0] != row[0]:
+        marks = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        for mark, sig, x in zip(marks, batch.column(3).to_pylist(), batch.column(4)):
+            if held and mark != last:
                 yield out(held)
                 held = []
-            held.append(row)
+            last = mark
+            held.append((sig, np.frombuffer(x.as_buffer(), U)))
     if held:
         yield out(held)
 
@@ -280,23 +281,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, uri: str) -> DataFra
     return materialise(held, uri)
 
 
-def _verified(pairs: DataFrame, held: DataFrame, over: int, under: int, uri: str) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets have similarity over / under or more."""
-
-    def verify(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * under >= over * (len(x) + len(y) - both))
-            good = pa.array(good, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
-
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long"), uri)
-
-
 def similar(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) -> DataFrame:
     """(doc_id, component_id) of each row of docs (doc_id, text, ...) with a doc_id.
 
@@ -338,20 +322,16 @@ def similar(docs: DataFrame, shingle: int = 5, over: int = 4, under: int = 5) ->
                 yield pa.record_batch([pa.array(value[yes].view(np.int64)), pa.array(sig.view(np.int64).repeat(size)[yes]), pa.array(size.astype(np.int32).repeat(size)[yes]), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64).repeat(size)[yes]) for k in (0, 1))], names=["key", "sig", "n", "one", "two"])
 
     keyed = docs.mapInArrow(lean(keys), "key long, sig long, n int, one long, two long").repartition(n, "key")
-    shared = materialise(keyed.mapInArrow(lean(lambda x: _share(x, over, under)), "kind int, a long, b long"), f"{place}/shared")
-    pairs = materialise(shared.where("kind = 0").select("a", "b").distinct(), f"{place}/pairs")
-    crowded = shared.where("kind = 1").select(F.col("a").alias("grp"), F.col("b").alias("sig"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(crowded.select("sig")).distinct()
-    held = _sets(docs, wanted, shingle, f"{place}/sets")
-    links = _verified(pairs, held, over, under, f"{place}/links")
-    if not crowded.isEmpty():
-        labels = components(links).withColumnRenamed("node", "sig")
-        members = crowded.distinct().join(labels, "sig", "left").select("grp", "sig", F.coalesce("component", "sig").alias("label"))
-        members = materialise(members, f"{place}/members")
-        apart = members.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
-        rows = members.join(apart, "grp", "left_semi").join(held, "sig").select("grp", "sig", "label", "members")
-        more = rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lean(lambda x: _across(x, over, under)), "a long, b long")
-        links = links.unionByName(materialise(more.distinct(), f"{place}/more"))
+    near = materialise(keyed.mapInArrow(lean(lambda x: _share(x, over, under)), "a long, b long").distinct(), f"{place}/near")
+    near = components(near)
+    # the component's least node is not listed: it stands for itself
+    near = materialise(near.select(F.col("node").alias("sig"), F.col("component").alias("comp")).unionByName(near.select(F.col("component").alias("sig"), F.col("component").alias("comp")).distinct()), f"{place}/components")
+    held = _sets(docs, near.select("sig"), shingle, f"{place}/sets")
+    blocks = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCKED).alias("blocks"))
+    rows = near.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("sig"), "blocks")).select("comp", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig").join(held, "sig").select("comp", "i", "j", "sig", "members")
+    links = rows.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(lambda x: _across(x, over, under)), "a long, b long")
+    links = materialise(links, f"{place}/links")
     # rows of one doc_id belong together
     least = marks.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("doc_id", "a")
     same = marks.join(least, "doc_id").select("a", F.col("sig").alias("b")).where("a <> b")

@@ -315,8 +315,9 @@ def test_similar_documents_match_brute_force(spark, corpus, monkeypatch):
         rows.append((2000 + i, " ".join(w)))
         rows.append((3000 + i, " ".join(fresh(40) + passage + fresh(40))))
     want = similar_by_brute_force(rows)
-    for sample in (4096, 20):
+    for sample, blocked in ((4096, 1024), (20, 7)):
         monkeypatch.setattr(simhash_sets, "SAMPLE", sample)
+        monkeypatch.setattr(simhash_sets, "BLOCKED", blocked)
         got = simhash.near_duplicates(frame(spark, rows), shingle=5, similarity=(4, 5)).collect()
         assert len(got) == len(rows)
         assert {x.doc_id: x.component_id for x in got} == want
