@@ -1,7 +1,6 @@
 """Language identification, secrets, exact top-k and the pipeline."""
 
 import base64
-import hashlib
 import random
 import re
 import zlib
@@ -148,4 +147,3 @@ def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     assert {d.doc_id for d in before} - {d.doc_id for d in after} == dirty
     before, after = seen["packing"]
     assert {p.doc_id for p in after} == {d.doc_id for d in before}
-    assert hashlib.sha256(str(corpus_pipeline.ORACLE_SQL).encode())
