@@ -48,8 +48,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Lines (least length, edits) that count as repeated: equal ones, then 1 edit, 2, 3 and up to 8, a fortieth of the length: about a word, number or date.
-LINE_BANDS = [(1, 0), (12, 1), (24, 2), (72, 3), (160, 4), (200, 5), (240, 6), (280, 7), (320, 8)]
+#: Lines (least length, edits) that count as repeated: equal ones, then 1 edit, 2, 3 and a fortieth of the length, as far as one word can band them.
+LINE_BANDS = [(1, 0), (12, 1), (24, 2), (72, 3), *((40 * e, e) for e in range(4, line_dedup.MOST_EDITS + 1))]
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

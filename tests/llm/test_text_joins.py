@@ -339,6 +339,22 @@ def test_pipeline_drops_documents_of_similarity_080(spark, tmp_path):
     assert sorted(x.doc_id for x in left.collect()) == list(range(0, 60, 2))
 
 
+def test_long_lines_link_up_to_a_fortieth_of_their_length(spark):
+    """The registered bands, by figures that do not come from them: as many edits link, one more does not."""
+    from corpuslake.llm.queries import LINE_BANDS
+
+    r, rows, want = random.Random(9), [], []
+    for k, (length, edits) in enumerate([(320, 8), (360, 9), (680, 17), (1240, 31), (3000, 31)]):
+        for n, removed in ((edits, 1), (edits + 1, 0)):
+            line = "".join(r.choice("abcdefgh ") for _ in range(length))
+            at = {int((i + 0.5) * length / n) for i in range(n)}
+            first = 100 * k + 10 * removed
+            rows += [(first, line), (first + 1, "".join("#" if i in at else c for i, c in enumerate(line)))]
+            want += [(first, 0), (first + 1, removed)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=LINE_BANDS).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in got) == sorted(want)
+
+
 def test_long_line_within_three_edits_is_repeated(spark):
     """Of 138 characters three differ."""
     from corpuslake.llm.queries import LINE_BANDS
