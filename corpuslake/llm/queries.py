@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, language_id, line_dedup, packing, secrets, simhash, substring_dedup, token_store, warc
+from corpuslake.llm import decontaminate, impact_topk, language_id, line_dedup, packing, quality, resample, secrets, simhash, substring_dedup, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -98,6 +98,18 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of documents, drawn towards the word pairs of benchmark."""
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the likelihood ratio of labelled good documents against all documents."""
+    found = quality.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "weight", "limit")
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
