@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import decontaminate, impact_topk, language_id, line_dedup, packing, quality, resample, secrets, simhash, substring_dedup, token_store, warc
+from corpuslake.llm import conversations, decontaminate, impact_topk, language_id, line_dedup, packing, quality, resample, secrets, simhash, substring_dedup, token_store, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -98,6 +98,18 @@ def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by rule and repaired by the cheapest edits; one row for each, also where no row is left."""
+    given = _table(spark, sf_dir, "conversations")
+    report, rows = conversations.repair(conversations.damage(given))
+    # keyed by conv_id as text behind a mark, so that a null one meets itself
+    key = F.concat(F.when(F.col("conv_id").isNull(), "n").otherwise("v"), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("key")
+    ids = given.select("conv_id").distinct().select("conv_id", key)
+    found = ids.join(report.select(key, *(c for c in report.columns if c != "conv_id")), "key", "left").join(conversations.digests(rows).select(key, "sha256"), "key", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select("conv_id", *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of documents, drawn towards the word pairs of benchmark."""
     drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
