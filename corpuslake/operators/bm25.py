@@ -1,46 +1,67 @@
 """BM25 with the odds-ratio weight (N - df + .5) / (df + .5), without a logarithm by default.
 
-The index is four tables. Postings are clustered by term when they are stored,
-so that a query's ``term IN (...)`` filter reaches the Parquet scan and skips
-row groups; nothing is ever gathered by a hot term.
+The index is a block-max index. Chunks are numbered in one pass over the notes and
+512 of them make a cell; a block holds the postings of one term in one cell and the
+greatest gain that a posting of it can bring, without the term's weight. Blocks are
+stored clustered by term, so that a query's terms prune row groups, and the bounds
+are a column of their own, which is read without the postings.
+
+A search adds up bounds for each cell, scores the most promising cell of each query
+and takes its k-th best score as a threshold. Cells whose bounds stay below it are
+never read. In the others the terms of least bound that together stay below it are
+not essential (MaxScore): no chunk that only has those can be among the best, so
+candidates come from the essential terms, and the others' blocks are read only
+where a candidate is left. No hot term is ever gathered, and all queries run in one plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
 from corpuslake.functions import text as X
+from corpuslake.session import cut_lineage, scratch
 from corpuslake.sources.tables import Store
 
+#: Chunks of a cell, as a power of two.
+CELL_BITS = 11
+#: Bits of the count and of the length in a posting; both stop at what they can hold, far over any chunk's.
+TF_BITS = 22
+TF_MOST = (1 << TF_BITS) - 1
+#: Scores are ranked by six decimals, so bounds may fall short of a threshold by that much.
+SLACK = 1e-6
+TABLES = ("bm25_chunks", "bm25_blocks", "bm25_terms", "bm25_corpus")
+
 
 def weight(n: Column, df: Column, form: str = "odds") -> Column:
     odds = F.greatest(F.lit(0.0), (n - df + 0.5) / (df + 0.5))
     return odds if form == "odds" else F.log1p(odds)
 
 
-def gain(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """A posting's gain without its term's weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(path, chunk_index, term, tf, dl), term_stats(term, df, idf), corpus_stats(n, avgdl) of one row."""
+    """chunks(doc, path, chunk_index, dl, tokens), blocks(block, term, cell, first, n, bound, postings), term_stats(term, df, idf), corpus_stats(n, avgdl) of one row."""
 
-    postings: DataFrame
+    chunks: DataFrame
+    blocks: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
     config: EngineConfig = EngineConfig()
 
-    def save(self, store: Store) -> Index:
-        return Index(store.write("bm25_postings", self.postings, ["term"]), store.write("bm25_terms", self.term_stats, ["term"]), store.write("bm25_corpus", self.corpus_stats), self.config)
-
     @staticmethod
     def load(store: Store, config: EngineConfig = EngineConfig()) -> Index:
-        return Index(store.read("bm25_postings"), store.read("bm25_terms"), store.read("bm25_corpus"), config)
+        return Index(*(store.read(t) for t in TABLES), config)
 
 
 def tokens_of(chunks: DataFrame) -> DataFrame:
@@ -52,45 +73,142 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str = "odds") -> Index:
-    tokens = tokens_of(chunks)
-    stats = corpus_stats(tokens)
-    postings = tokens.select("path", "chunk_index", "dl", F.explode("tokens").alias("term")).groupBy("path", "chunk_index", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("n")), how="inner", on=F.lit(True)).select("term", "df", weight(F.col("n"), F.col("df"), form).alias("idf"))
-    return Index(postings, terms, stats, config)
+def _unpacked(posting: Column) -> tuple[Column, Column]:
+    """The term's count and the chunk's length."""
+    return F.shiftright(posting, TF_BITS).bitwiseAND(TF_MOST), posting.bitwiseAND(TF_MOST)
 
 
-def search(index: Index, query: str, k: int = 10, keep: Column | None = None, dedupe: bool = False) -> DataFrame:
-    """(path, chunk_index, score) of the k best chunks with a positive score. Repeated query words count once, unknown ones not at all.
+def _blocks(batches, cell_bits: int):
+    """Arrow batches (doc, dl, tokens), ascending by doc, as blocks term, cell, n, postings; a cell's chunks at a time.
 
-    ``keep`` filters paths before the limit; ``dedupe`` leaves each path its best chunk.
+    A posting is one number: the chunk's place in the cell, the term's count, the chunk's length.
     """
-    spark = index.postings.sparkSession
-    words = [r.t for r in spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(X.tokenize(F.col("q")))).alias("t")).collect()]
-    hits = index.postings.where(F.col("term").isin(words))
+
+    def blocks(rows: pa.Table, cell: int) -> pa.RecordBatch:
+        tokens = rows.column("tokens").combine_chunks()
+        doc, dl = (rows.column(c).to_numpy() for c in ("doc", "dl"))
+        codes = tokens.flatten().dictionary_encode()
+        place = np.repeat(np.arange(len(doc)), np.diff(np.asarray(tokens.offsets)))
+        found, tf = np.unique(codes.indices.to_numpy().astype(np.int64) * len(doc) + place, return_counts=True)
+        term, at = found // len(doc), found % len(doc)
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        packed = (doc[at] & ((1 << cell_bits) - 1)) << 2 * TF_BITS | np.minimum(tf, TF_MOST) << TF_BITS | np.minimum(dl[at], TF_MOST)
+        ends = np.append(first, len(found)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))
+        return pa.record_batch([codes.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), cell)), pa.array(np.diff(ends)), lists], names=["term", "cell", "n", "postings"])
+
+    held, cell = [], None
+    for b in batches:
+        cells = np.asarray(b.column(0)) >> cell_bits
+        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if cell is not None and cells[lo] != cell:
+                yield blocks(pa.Table.from_batches(held), cell)
+                held = []
+            cell = int(cells[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield blocks(pa.Table.from_batches(held), cell)
+
+
+def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str = "odds", store: Store | None = None, cell_bits: int = CELL_BITS) -> Index:
+    """The index of chunks (path, chunk_index, chunk_text), in a store or below the shared folder. Notes are read once; all four tables appear in one commit."""
+    store = store or Store(chunks.sparkSession, scratch(chunks.sparkSession, "bm25"))
+    read = chunks.sparkSession.read.parquet
+    # numbered where they lie, so a cell's chunks follow each other in one file; the numbers are written before anything uses them
+    numbered = tokens_of(chunks).select(F.monotonically_increasing_id().alias("doc"), "path", "chunk_index", "dl", "tokens")
+    places = {"bm25_chunks": store.stage("bm25_chunks", numbered)}
+    docs = read(places["bm25_chunks"])
+    places["bm25_corpus"] = store.stage("bm25_corpus", corpus_stats(docs))
+    stats = read(places["bm25_corpus"]).first()
+    made = docs.select("doc", "dl", "tokens").mapInArrow(lambda batches: _blocks(batches, cell_bits), "term string, cell long, n int, postings array<long>")
+    # written as they come, since a sort by range reads its input twice; a cell that a scan divides has two blocks for a term
+    loose = read(store.stage("bm25_blocks.loose", made.withColumn("block", F.monotonically_increasing_id())))
+    gain = F.array_max(F.transform("postings", lambda p: impact(*_unpacked(p), F.lit(stats.avgdl), config.k1, config.b)))
+    places["bm25_blocks"] = store.stage("bm25_blocks", loose.withColumns({"bound": gain, "first": F.shiftleft("cell", cell_bits)}), ["term", "cell", "block"])
+    terms = read(places["bm25_blocks"]).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", weight(F.lit(stats.n), F.col("df"), form))
+    places["bm25_terms"] = store.stage("bm25_terms", terms, ["term"])
+    store.commit({name: [place] for name, place in places.items()})
+    return Index.load(store, config)
+
+
+# ------------------------------------------------------------ search
+
+
+def _contributions(asked: DataFrame, index: Index) -> DataFrame:
+    """asked (query_id, term, block, idf) -> query_id, cell, doc, gain of each posting of its blocks."""
+    c, avgdl = index.config, index.corpus_stats.first().avgdl
+    hit = asked.drop("cell").join(index.blocks.select("term", "block", "cell", "first", "postings"), ["term", "block"]).select("query_id", "cell", "first", "idf", F.explode("postings").alias("p"))
+    doc = F.col("first") + F.shiftright("p", 2 * TF_BITS)
+    return hit.select("query_id", "cell", doc.alias("doc"), (F.col("idf") * impact(*_unpacked(F.col("p")), F.lit(avgdl), c.k1, c.b)).alias("gain"))
+
+
+def _found(scored: DataFrame, index: Index, keep: Column | None, dedupe: bool) -> DataFrame:
+    """scored (query_id, doc, score) as query_id, path, chunk_index, score; with dedupe each path's best chunk."""
+    out = scored.where("score > 0").join(index.chunks.select("doc", "path", "chunk_index"), "doc").select("query_id", "path", "chunk_index", "score")
     if keep is not None:
-        hits = hits.where(keep)
-    terms = F.broadcast(index.term_stats.where(F.col("term").isin(words)).select("term", "idf"))  # at most the query's words
-    c = index.config
-    scored = (
-        hits.join(terms, "term").join(F.broadcast(index.corpus_stats), on=F.lit(True))
-        .groupBy("path", "chunk_index").agg(F.sum(gain(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), c.k1, c.b)).alias("score"))
-        .where("score > 0")
-    )
-    if dedupe:
-        scored = scored.groupBy("path").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("minus"))).alias("best")).select("path", (-F.col("best.minus")).alias("chunk_index"), "best.score")
-    return scored.orderBy(F.desc(F.round("score", 6)), "path", "chunk_index").limit(k)
+        out = out.where(keep)
+    return _best_of_path(out) if dedupe else out
+
+
+def _best_of_path(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("query_id", "path").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("minus"))).alias("best"))
+    return best.select("query_id", "path", (-F.col("best.minus")).alias("chunk_index"), "best.score")
 
 
-def search_many(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
-    """queries (query_id, text) -> (query_id, rank, path, chunk_index, score): all queries in one plan, joined on term."""
+def search_many(
+    index: Index, queries: DataFrame, k: int = 3, keep: Column | None = None, dedupe: bool = False, only: list[str] | None = None, count: Callable[[str, DataFrame], None] | None = None
+) -> DataFrame:
+    """queries (query_id, text) -> (query_id, rank, path, chunk_index, score) of the k best chunks with a positive score.
+
+    Repeated words of a query count once, unknown ones not at all. ``keep`` filters
+    paths before ranks are given, ``dedupe`` leaves each path its best chunk. ``only``
+    are the words that the queries can have, if they are few. ``count`` is called with
+    a name and the blocks (query_id, term, block): "asked" all of the queries' terms,
+    "seeds" those read for the threshold, "essential" and "completed" those read after it.
+    """
     words = queries.select("query_id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term"))
-    c = index.config
-    weighed = words.join(index.term_stats.select("term", "idf"), "term")
-    scored = (
-        index.postings.join(weighed, "term").join(F.broadcast(index.corpus_stats), on=F.lit(True))
-        .groupBy("query_id", "path", "chunk_index").agg(F.sum(gain(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), c.k1, c.b)).alias("score"))
-        .where("score > 0")
-    )
+    terms, blocks = index.term_stats, index.blocks
+    if only is not None:
+        terms, blocks = terms.where(F.col("term").isin(only)), blocks.where(F.col("term").isin(only))
+    asked = words.join(terms.where("idf > 0").select("term", "idf"), "term").join(blocks.select("term", "block", "cell", "bound"), "term")
+    asked = cut_lineage(asked.select("query_id", "term", "block", "idf", "cell", (F.col("idf") * F.col("bound")).alias("most")))
+    index = Index(index.chunks, blocks, terms, index.corpus_stats, index.config)
+
+    seeds = asked.groupBy("query_id", "cell").agg(F.sum("most").alias("all")).groupBy("query_id").agg(F.max_by("cell", F.struct("all", "cell")).alias("cell"))
+    first = asked.join(seeds, ["query_id", "cell"], "left_semi")
+    begun = cut_lineage(_found(_contributions(first, index).groupBy("query_id", "doc").agg(F.sum("gain").alias("score")), index, keep, dedupe))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))  # one cell's chunks at most
+    at = begun.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
+
+    # terms of a query in a cell, by rising bound: the essential ones are those from which on the sum reaches the threshold
+    open_ = asked.join(seeds, ["query_id", "cell"], "left_anti").join(at, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    rising = Window.partitionBy("query_id", "cell").orderBy("most", "term", "block")  # a query's words, but where a scan has divided a cell
+    placed = open_.withColumn("essential", F.sum("most").over(rising) >= F.col("least")).withColumn("some", F.max("essential").over(Window.partitionBy("query_id", "cell")))
+    placed = cut_lineage(placed.where("some"))
+    essential, others = placed.where("essential"), placed.where("not essential")
+    left = others.groupBy("query_id", "cell").agg(F.sum("most").alias("rest"))
+    partial = _contributions(essential, index).groupBy("query_id", "cell", "doc").agg(F.sum("gain").alias("score"))
+    partial = partial.join(left, ["query_id", "cell"], "left").join(at, "query_id", "left")
+    partial = cut_lineage(partial.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0))))
+    completing = others.join(partial.where("rest is not null").select("query_id", "cell").distinct(), ["query_id", "cell"], "left_semi")
+    more = _contributions(completing, index).join(partial.select("query_id", "cell", "doc"), ["query_id", "cell", "doc"], "left_semi")
+    total = partial.select("query_id", "doc", F.col("score").alias("gain")).unionByName(more.select("query_id", "doc", "gain")).groupBy("query_id", "doc").agg(F.sum("gain").alias("score"))
+    if count is not None:
+        for name, rows in (("asked", asked), ("seeds", first), ("essential", essential), ("completed", completing)):
+            count(name, rows)
+    found = begun.unionByName(_found(total, index, keep, dedupe))
+    if dedupe:
+        found = _best_of_path(found)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "path", "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "path", "chunk_index", "score")
+
+
+def search(index: Index, query: str, k: int = 10, keep: Column | None = None, dedupe: bool = False) -> DataFrame:
+    """(path, chunk_index, score) of the k best chunks with a positive score, in order: ``search_many`` with one query, whose words reach the scans."""
+    asked = index.blocks.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    words = [r.t for r in asked.select(F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("t")).collect()]
+    found = search_many(index, asked, k, keep, dedupe, words)
+    return found.orderBy("rank").select("path", "chunk_index", "score")

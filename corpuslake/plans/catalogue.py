@@ -98,8 +98,19 @@ def sem_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.nodes(v, sem_edges(spark, sf), SEM)
 
 
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, sf: str, name: str, make):
+    """What ``make()`` returns, made once in a session for the tables in ``sf``: stored tables that several queries read."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def index(spark: SparkSession, sf: str) -> bm25.Index:
-    return bm25.build(chunk_table(docs(spark, sf), CONFIG), CONFIG)
+    return kept(spark, sf, "index", lambda: bm25.build(chunk_table(docs(spark, sf), CONFIG), CONFIG))
 
 
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
@@ -132,6 +143,12 @@ def bm25_term_stats(spark, sf):
     return index(spark, sf).term_stats.where(F.col("term").isin(*TERMS)).select("term", "df", round6("idf").alias("idf"))
 
 
+@query
+def bm25_vocabulary(spark, sf):
+    """Every term of the index."""
+    return index(spark, sf).term_stats.select("term", "df", round6("idf").alias("idf"))
+
+
 @query
 def bm25_search(spark, sf):
     return bm25.search(index(spark, sf), QUERY, 10).select("path", "chunk_index", round6().alias("score"))
@@ -139,7 +156,7 @@ def bm25_search(spark, sf):
 
 @query
 def bm25_search_scoped(spark, sf):
-    n = bm25.build(chunk_table(notes(spark, sf), CONFIG), CONFIG)
+    n = kept(spark, sf, "note index", lambda: bm25.build(chunk_table(notes(spark, sf), CONFIG), CONFIG))
     return bm25.search(n, QUERY, 10, P.in_scope(F.col("path"), "notes", CONFIG.memory_prefix), dedupe=True).select("path", round6().alias("score"))
 
 

@@ -72,6 +72,7 @@ SQL: dict[str, str] = {
     "token_stats": f"WITH {DOCS}, t AS (SELECT doc_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS x FROM docs) SELECT doc_id, CAST(len(x) AS INTEGER) AS n_tokens, CAST(len(list_distinct(x)) AS INTEGER) AS n_distinct FROM t",
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_term_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms WHERE term IN {TERMS!r}",
+    "bm25_vocabulary": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_search": f"WITH {BM25} SELECT path, chunk_index, round(score, 6) AS score FROM ({_gain(_words(repr(QUERY)))}) ORDER BY 3 DESC, 1, 2 LIMIT 10",
     "bm25_search_scoped": f"WITH {NOTES}, {chunks('notes')} SELECT path, round(max(score), 6) AS score FROM ({_gain(_words(repr(QUERY)))}) WHERE path NOT LIKE 'memory/%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "bm25_search_many": f"WITH {BM25}, words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), s AS ({_gain('SELECT * FROM words', 'query_id, path, chunk_index')}) SELECT query_id, CAST(r AS INTEGER) AS rank, path, chunk_index, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path, chunk_index) AS r FROM s) WHERE r <= 3",

@@ -23,7 +23,7 @@ class MaintenancePlan:
         changes = store.write("changes", lifecycle.rename_plan(old, N.describe(scanned, config)))
         notes = store.write("notes", N.describe(scanned, config))
         chunks = store.write("chunks", N.chunk_table(notes, config))
-        bm25.build(chunks, config).save(store)
+        bm25.build(chunks, config, store=store)
         gates = lifecycle.gate(notes.select("path", "size_bytes"), policy, config)
         related = None
         if self.embedder is not None:

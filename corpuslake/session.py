@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +26,41 @@ def session(app: str = "corpuslake", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder of this machine serves a local session
+    (tests, the benchmark); on a cluster it is an error, as executors would not see it.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="corpuslake-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one; the folder goes when the driver ends."""
+    where = f"{shared_dir(spark).rstrip('/')}/corpuslake/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, where)
+    return where
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has gone: whoever owns the shared folder cleans it
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder that the session names; one of our own only where it names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuslake-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    """``df`` written below the shared folder and read back, once; what is lost with an executor is read again, not made again."""
+    where = scratch(df.sparkSession, "cut")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
