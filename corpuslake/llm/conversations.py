@@ -182,9 +182,11 @@ def walk(codes, copies, ahead, beyond, optimum: int, nodes: int, last: bool):
 # ------------------------------------------------------------ rows to blocks
 
 
-def _key(role: Column, text: Column) -> Column:
-    """16 bytes of the SHA-256 of role and text."""
-    return F.unhex(F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 2 * KEY))
+def _key() -> Column:
+    """16 bytes of the SHA-256 of a row's conversation, role and text: what only rows of one conversation that are alike share."""
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-"))
+    named = F.concat_ws(":", F.length(conv).cast("string"), F.length("role").cast("string"), F.concat(conv, "role", "text"))
+    return F.unhex(F.substring(F.sha2(named, 256), 1, 2 * KEY))
 
 
 def _plain(conversations: DataFrame) -> DataFrame:
@@ -198,14 +200,14 @@ def _reduced(rows: DataFrame) -> DataFrame:
     fault = F.when(bare == "", BLANK).when(F.right(bare, F.lit(1)).isin(".", "!", "?"), CLEAN).otherwise(CUT)
     first = F.left(F.col("role"), F.lit(1))
     initial = F.when(first == "s", 0).when(first == "u", 1).when(first == "a", 2).otherwise(3)
-    return rows.groupBy("conv_id", "turn", F.left("role", F.lit(HEAD)).alias("role_head"), F.left("text", F.lit(HEAD)).alias("text_head"), _key(F.col("role"), F.col("text")).alias("key"), initial.alias("initial"), fault.alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("conv_id", "turn", F.left("role", F.lit(HEAD)).alias("role_head"), F.left("text", F.lit(HEAD)).alias("text_head"), _key().alias("key"), initial.alias("initial"), fault.alias("fault")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _marked(reduced: DataFrame) -> DataFrame:
     """reduced with the code of the initial and the fault: what an earlier turn has too is a duplicate."""
     order = F.struct(F.col("turn").isNotNull().alias("some"), "turn")
-    first = reduced.groupBy("conv_id", "key").agg(F.min(order).alias("o")).select(F.col("conv_id").alias("c"), F.col("key").alias("k"), F.col("o.turn").alias("t"), F.lit(True).alias("first"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & F.col("turn").eqNullSafe(F.col("t"))
+    first = reduced.groupBy("key").agg(F.min(order).alias("o")).select(F.col("key").alias("k"), F.col("o.turn").alias("t"), F.lit(True).alias("first"))
+    same = (F.col("key") == F.col("k")) & F.col("turn").eqNullSafe(F.col("t"))
     fault = F.when((F.col("fault") != BLANK) & F.col("first").isNull(), DUPLICATE).otherwise(F.col("fault"))
     return reduced.join(first, same, "left").select("conv_id", "turn", "role_head", "text_head", "key", (F.col("initial") + 4 * fault).cast("int").alias("code"), "n")
 
@@ -410,8 +412,8 @@ def repair(conversations: DataFrame, bytes_each: int = 8 << 20) -> tuple[DataFra
     answers = materialise(_answers(_same(blocks.select("conv_id", "part", "codes", "copies", "keys"), enter, "left", "part")), f"{place}/answers")
 
     kept = answers.select("conv_id", "part", F.explode("kept").alias("x")).select("conv_id", (F.shiftleft(F.col("part").cast("long"), 33) + F.col("x.seq")).alias("place"), "x.edit", "x.initial", "x.key")
-    texts = rows.select("conv_id", "role", "text", _key(F.col("role"), F.col("text")).alias("key")).dropDuplicates(["conv_id", "key"])
-    found = _same(kept, texts, "left", "key")
+    texts = rows.select("conv_id", "role", "text", _key().alias("key")).drop("conv_id").dropDuplicates(["key"])
+    found = kept.join(texts, "key", "left")
     role = F.when(F.col("edit") == "K", F.col("role")).when(F.col("initial") == "u", "user").otherwise("assistant")
     return _report(blocks, answers), found.select("conv_id", "place", "edit", role.alias("role"), F.when(F.col("edit") == "I", "").otherwise(F.col("text")).alias("text"))
 

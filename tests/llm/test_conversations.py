@@ -59,9 +59,10 @@ def plain_repair(rows):
     return gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest
 
 
-def in_order(rows):
+def in_order(rows, conv):
     def key(r):
-        code = hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()[:16]
+        name = "-" if conv is None else f"={conv}"
+        code = hashlib.sha256(f"{len(name)}:{len(r[1])}:{name}{r[1]}{r[2]}".encode()).digest()[:16]
         return r[0] is not None, r[0] or 0, r[1][:32].encode(), r[2][:32].encode(), code
 
     return sorted(rows, key=key)
@@ -95,7 +96,7 @@ def random_rows(r, n, conv):
 def test_walks_of_any_division_equal_the_exhaustive_search():
     r = random.Random(5)
     for _ in range(300):
-        rows = in_order([(t, role or " ", text if text is not None else " ") for _, t, role, text in random_rows(r, r.randint(1, 12), 1)])
+        rows = in_order([(t, role or " ", text if text is not None else " ") for _, t, role, text in random_rows(r, r.randint(1, 12), 1)], 1)
         wanted = plain_repair(rows)
         codes, copies, seen = [], [], set()
         for i, (t, role, text) in enumerate(rows):
@@ -137,7 +138,7 @@ def test_repair_equals_the_exhaustive_search(spark, bytes_each):
     of = {}
     for conv, turn, role, text in rows:
         of.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
-    wanted = {conv: plain_repair(in_order(v)) for conv, v in of.items()}
+    wanted = {conv: plain_repair(in_order(v, conv)) for conv, v in of.items()}
     wanted[103] = (min(wanted[103][0], 2**63 - 1), *wanted[103][1:])
     assert got == wanted
     roles = {}
@@ -158,11 +159,11 @@ def test_op11_on_hard_rows(spark, tmp_path):
     rows = list({(c, t): (c, t, a, b) for c, t, a, b in rows}.values())
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.conv_id: tuple(x[c] for c in NAMES) for x in queries.op11_conversation_repair(spark, str(tmp_path)).collect()}
-    assert got == {conv: plain_repair(in_order(v)) for conv, v in plain_damage(rows).items()}
+    assert got == {conv: plain_repair(in_order(v, conv)) for conv, v in plain_damage(rows).items()}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
 def test_op11_equals_the_exhaustive_search(spark):
     rows = [tuple(x) for x in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {x.conv_id: tuple(x[c] for c in NAMES) for x in queries.op11_conversation_repair(spark, str(DATA)).collect()}
-    assert got == {conv: plain_repair(in_order(v)) for conv, v in plain_damage(rows).items()}
+    assert got == {conv: plain_repair(in_order(v, conv)) for conv, v in plain_damage(rows).items()}
