@@ -44,14 +44,14 @@ def weight(n: Column, df: Column, form: str = "odds") -> Column:
     return odds if form == "odds" else F.log1p(odds)
 
 
-def impact(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
-    """A posting's gain without its term's weight."""
+def impact(tf, dl, avgdl: float, k1: float, b: float):
+    """A posting's gain without its term's weight; numbers, arrays or columns."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks(doc, path, chunk_index, dl, tokens), blocks(block, term, cell, first, n, bound, postings), term_stats(term, df, idf), corpus_stats(n, avgdl) of one row."""
+    """chunks(doc, path, chunk_index, dl, tokens), blocks(term, cell, bound, postings), term_stats(term, df, idf), corpus_stats(n, avgdl) of one row."""
 
     chunks: DataFrame
     blocks: DataFrame
@@ -73,18 +73,15 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def _unpacked(posting: Column) -> tuple[Column, Column]:
-    """The term's count and the chunk's length."""
-    return F.shiftright(posting, TF_BITS).bitwiseAND(TF_MOST), posting.bitwiseAND(TF_MOST)
+def _blocks(batches, cell_bits: int, avgdl: float, config: EngineConfig):
+    """Arrow batches (doc, dl, tokens), ascending by doc, as blocks term, cell, bound, postings; a cell's chunks at a time.
 
+    A cell is named by its first chunk, so that one which a scan divides is two.
 
-def _blocks(batches, cell_bits: int):
-    """Arrow batches (doc, dl, tokens), ascending by doc, as blocks term, cell, n, postings; a cell's chunks at a time.
-
-    A posting is one number: the chunk's place in the cell, the term's count, the chunk's length.
+    A posting is one number: the chunk's place behind that one, the term's count, the chunk's length.
     """
 
-    def blocks(rows: pa.Table, cell: int) -> pa.RecordBatch:
+    def blocks(rows: pa.Table) -> pa.RecordBatch:
         tokens = rows.column("tokens").combine_chunks()
         doc, dl = (rows.column(c).to_numpy() for c in ("doc", "dl"))
         codes = tokens.flatten().dictionary_encode()
@@ -92,10 +89,11 @@ def _blocks(batches, cell_bits: int):
         found, tf = np.unique(codes.indices.to_numpy().astype(np.int64) * len(doc) + place, return_counts=True)
         term, at = found // len(doc), found % len(doc)
         first = np.flatnonzero(np.diff(term, prepend=-1))
-        packed = (doc[at] & ((1 << cell_bits) - 1)) << 2 * TF_BITS | np.minimum(tf, TF_MOST) << TF_BITS | np.minimum(dl[at], TF_MOST)
+        packed = doc[at] - doc[0] << 2 * TF_BITS | np.minimum(tf, TF_MOST) << TF_BITS | np.minimum(dl[at], TF_MOST)
         ends = np.append(first, len(found)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))
-        return pa.record_batch([codes.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), cell)), pa.array(np.diff(ends)), lists], names=["term", "cell", "n", "postings"])
+        bound = np.maximum.reduceat(impact(tf, dl[at], avgdl, config.k1, config.b), first) if len(first) else np.zeros(0)
+        return pa.record_batch([codes.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), doc[0], np.int64)), pa.array(bound), lists], names=["term", "cell", "bound", "postings"])
 
     held, cell = [], None
     for b in batches:
@@ -105,12 +103,12 @@ def _blocks(batches, cell_bits: int):
             if lo == hi:
                 continue
             if cell is not None and cells[lo] != cell:
-                yield blocks(pa.Table.from_batches(held), cell)
+                yield blocks(pa.Table.from_batches(held))
                 held = []
             cell = int(cells[lo])
             held.append(b.slice(lo, hi - lo))
     if held:
-        yield blocks(pa.Table.from_batches(held), cell)
+        yield blocks(pa.Table.from_batches(held))
 
 
 def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str = "odds", store: Store | None = None, cell_bits: int = CELL_BITS) -> Index:
@@ -119,16 +117,16 @@ def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str =
     read = chunks.sparkSession.read.parquet
     # numbered where they lie, so a cell's chunks follow each other in one file; the numbers are written before anything uses them
     numbered = tokens_of(chunks).select(F.monotonically_increasing_id().alias("doc"), "path", "chunk_index", "dl", "tokens")
-    places = {"bm25_chunks": store.stage("bm25_chunks", numbered)}
-    docs = read(places["bm25_chunks"])
-    places["bm25_corpus"] = store.stage("bm25_corpus", corpus_stats(docs))
-    stats = read(places["bm25_corpus"]).first()
-    made = docs.select("doc", "dl", "tokens").mapInArrow(lambda batches: _blocks(batches, cell_bits), "term string, cell long, n int, postings array<long>")
-    # written as they come, since a sort by range reads its input twice; a cell that a scan divides has two blocks for a term
-    loose = read(store.stage("bm25_blocks.loose", made.withColumn("block", F.monotonically_increasing_id())))
-    gain = F.array_max(F.transform("postings", lambda p: impact(*_unpacked(p), F.lit(stats.avgdl), config.k1, config.b)))
-    places["bm25_blocks"] = store.stage("bm25_blocks", loose.withColumns({"bound": gain, "first": F.shiftleft("cell", cell_bits)}), ["term", "cell", "block"])
-    terms = read(places["bm25_blocks"]).groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", weight(F.lit(stats.n), F.col("df"), form))
+    tokens = store.stage("bm25_chunks", numbered)
+    stats = corpus_stats(read(tokens)).first()
+    places = {"bm25_chunks": store.stage("bm25_chunks", read(tokens).drop("tokens")), "bm25_corpus": store.stage("bm25_corpus", chunks.sparkSession.createDataFrame([stats], "n long, avgdl double"))}
+    made = read(tokens).select("doc", "dl", "tokens").mapInArrow(lambda batches: _blocks(batches, cell_bits, stats.avgdl, config), "term string, cell long, bound double, postings array<long>")
+    # written as they come, since a sort by range reads its input twice
+    loose = store.stage("bm25_blocks", made)
+    store.discard(tokens)
+    places["bm25_blocks"] = store.stage("bm25_blocks", read(loose), ["term", "cell"])
+    store.discard(loose)
+    terms = read(places["bm25_blocks"]).groupBy("term").agg(F.sum(F.size("postings").cast("long")).alias("df")).withColumn("idf", weight(F.lit(stats.n), F.col("df"), form))
     places["bm25_terms"] = store.stage("bm25_terms", terms, ["term"])
     store.commit({name: [place] for name, place in places.items()})
     return Index.load(store, config)
@@ -136,13 +134,64 @@ def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str =
 
 # ------------------------------------------------------------ search
 
+#: Queries that share one reading of a cell's blocks.
+BATCH = 1024
+
+
+def _scores(asked: DataFrame, index: Index) -> DataFrame:
+    """asked (query_id, batch, term, cell, idf, most, least) -> query_id, doc, score of the chunks whose score reaches ``least``.
 
-def _contributions(asked: DataFrame, index: Index) -> DataFrame:
-    """asked (query_id, term, block, idf) -> query_id, cell, doc, gain of each posting of its blocks."""
+    A cell's blocks meet the queries of a batch in one task: at most 2 ** cell_bits
+    chunks and BATCH queries. For each query terms go by rising bound; those whose
+    bounds together stay below ``least`` are not essential and are looked up for the
+    candidates only that the others leave.
+    """
     c, avgdl = index.config, index.corpus_stats.first().avgdl
-    hit = asked.drop("cell").join(index.blocks.select("term", "block", "cell", "first", "postings"), ["term", "block"]).select("query_id", "cell", "first", "idf", F.explode("postings").alias("p"))
-    doc = F.col("first") + F.shiftright("p", 2 * TF_BITS)
-    return hit.select("query_id", "cell", doc.alias("doc"), (F.col("idf") * impact(*_unpacked(F.col("p")), F.lit(avgdl), c.k1, c.b)).alias("gain"))
+    wanted = asked.select("term", "cell", "batch").distinct()
+    blocks = index.blocks.select("term", "cell", "postings").join(wanted, ["term", "cell"]).select(F.col("cell").alias("of_cell"), F.col("batch").alias("of_batch"), "term", "postings")
+    rows = asked.select("cell", "batch", "query_id", "term", "idf", "most", "least")
+    kind = dict(asked.dtypes)["query_id"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        first, size = right.column("cell")[0].as_py(), 0
+        for term, postings in zip(left.column("term").to_pylist(), left.column("postings")):
+            p = np.asarray(postings.values)
+            tf, dl = p >> TF_BITS & TF_MOST, p & TF_MOST
+            of[term] = p >> 2 * TF_BITS, impact(tf, dl, avgdl, c.k1, c.b)
+            size = max(size, int(of[term][0].max()) + 1)
+        queries = right.column("query_id").combine_chunks().dictionary_encode()
+        each: dict[int, dict[str, list[float]]] = {}  # query -> term -> idf, most, least
+        for q, term, *rest in zip(queries.indices.to_pylist(), *(right.column(x).to_pylist() for x in ("term", "idf", "most", "least"))):
+            each.setdefault(q, {})[term] = rest
+        number, docs, scores = [], [], []
+        for q, terms in each.items():
+            order = sorted(terms, key=lambda t: (terms[t][1], t))
+            least = terms[order[0]][2]
+            bounds = np.cumsum([terms[t][1] for t in order])
+            essential = int(np.searchsorted(bounds, least))
+            if essential == len(order):
+                continue
+            total = np.zeros(size)
+            for t in order[essential:]:
+                at, gain = of[t]
+                total[at] += terms[t][0] * gain
+            rest = bounds[essential - 1] if essential else 0.0
+            open_ = (total > 0) & (total + rest >= least)
+            if essential and open_.any():
+                for t in order[:essential]:
+                    at, gain = of[t]
+                    some = open_[at]
+                    total[at[some]] += terms[t][0] * gain[some]
+            found = np.flatnonzero(open_ & (total >= least))
+            number.append(np.full(len(found), q))
+            docs.append(found + first)
+            scores.append(total[found])
+        join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+        ids = queries.dictionary.take(join(number, pa.int64()))
+        return pa.table({"query_id": ids, "doc": join(docs, pa.int64()), "score": join(scores, pa.float64())})
+
+    return blocks.groupBy("of_cell", "of_batch").cogroup(rows.groupBy("cell", "batch")).applyInArrow(score, f"query_id {kind}, doc long, score double")
 
 
 def _found(scored: DataFrame, index: Index, keep: Column | None, dedupe: bool) -> DataFrame:
@@ -166,39 +215,31 @@ def search_many(
     Repeated words of a query count once, unknown ones not at all. ``keep`` filters
     paths before ranks are given, ``dedupe`` leaves each path its best chunk. ``only``
     are the words that the queries can have, if they are few. ``count`` is called with
-    a name and the blocks (query_id, term, block): "asked" all of the queries' terms,
-    "seeds" those read for the threshold, "essential" and "completed" those read after it.
+    a name and the blocks (query_id, term, cell): "asked" all of the queries' terms,
+    "seeds" those read for the threshold, "later" those read after it.
     """
     words = queries.select("query_id", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term"))
     terms, blocks = index.term_stats, index.blocks
     if only is not None:
         terms, blocks = terms.where(F.col("term").isin(only)), blocks.where(F.col("term").isin(only))
-    asked = words.join(terms.where("idf > 0").select("term", "idf"), "term").join(blocks.select("term", "block", "cell", "bound"), "term")
-    asked = cut_lineage(asked.select("query_id", "term", "block", "idf", "cell", (F.col("idf") * F.col("bound")).alias("most")))
+    asked = words.join(terms.where("idf > 0").select("term", "idf"), "term").join(blocks.select("term", "cell", "bound"), "term")
+    batch = F.pmod(F.xxhash64("query_id"), F.lit(-(-queries.count() // BATCH) or 1)).cast("int").alias("batch")
+    asked = cut_lineage(asked.select("query_id", batch, "term", "idf", "cell", (F.col("idf") * F.col("bound")).alias("most")))
     index = Index(index.chunks, blocks, terms, index.corpus_stats, index.config)
 
     seeds = asked.groupBy("query_id", "cell").agg(F.sum("most").alias("all")).groupBy("query_id").agg(F.max_by("cell", F.struct("all", "cell")).alias("cell"))
     first = asked.join(seeds, ["query_id", "cell"], "left_semi")
-    begun = cut_lineage(_found(_contributions(first, index).groupBy("query_id", "doc").agg(F.sum("gain").alias("score")), index, keep, dedupe))
+    begun = cut_lineage(_found(_scores(first.withColumn("least", F.lit(0.0)), index), index, keep, dedupe))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))  # one cell's chunks at most
     at = begun.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
-
-    # terms of a query in a cell, by rising bound: the essential ones are those from which on the sum reaches the threshold
+    # cells whose bounds stay below the threshold are not read
     open_ = asked.join(seeds, ["query_id", "cell"], "left_anti").join(at, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    rising = Window.partitionBy("query_id", "cell").orderBy("most", "term", "block")  # a query's words, but where a scan has divided a cell
-    placed = open_.withColumn("essential", F.sum("most").over(rising) >= F.col("least")).withColumn("some", F.max("essential").over(Window.partitionBy("query_id", "cell")))
-    placed = cut_lineage(placed.where("some"))
-    essential, others = placed.where("essential"), placed.where("not essential")
-    left = others.groupBy("query_id", "cell").agg(F.sum("most").alias("rest"))
-    partial = _contributions(essential, index).groupBy("query_id", "cell", "doc").agg(F.sum("gain").alias("score"))
-    partial = partial.join(left, ["query_id", "cell"], "left").join(at, "query_id", "left")
-    partial = cut_lineage(partial.where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0))))
-    completing = others.join(partial.where("rest is not null").select("query_id", "cell").distinct(), ["query_id", "cell"], "left_semi")
-    more = _contributions(completing, index).join(partial.select("query_id", "cell", "doc"), ["query_id", "cell", "doc"], "left_semi")
-    total = partial.select("query_id", "doc", F.col("score").alias("gain")).unionByName(more.select("query_id", "doc", "gain")).groupBy("query_id", "doc").agg(F.sum("gain").alias("score"))
+    all_ = Window.partitionBy("query_id", "cell")  # a query's words
+    later = cut_lineage(open_.withColumn("all", F.sum("most").over(all_)).where("all >= least").drop("all"))
     if count is not None:
-        for name, rows in (("asked", asked), ("seeds", first), ("essential", essential), ("completed", completing)):
+        for name, rows in (("asked", asked), ("seeds", first), ("later", later)):
             count(name, rows)
+    total = _scores(later, index)
     found = begun.unionByName(_found(total, index, keep, dedupe))
     if dedupe:
         found = _best_of_path(found)

@@ -1,13 +1,17 @@
-"""Dense retrieval: brute-force cosine over vectors, mean vectors, related notes."""
+"""Dense retrieval: cosine over all vectors, mean vectors, related notes by cells."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import vectors as V
+from corpuslake.session import cut_lineage
 
 #: Rows over which a warning about scan time is due.
 WARN_ROWS = 40_000
@@ -27,40 +31,109 @@ def mean_vectors(vectors: DataFrame, group: str = "path") -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
-def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float = 0.70, block: int = 2048) -> DataFrame:
-    """(a, b, similarity): each row's ``top`` most similar others, those of at least ``least``.
+#: Centres of the cells that vectors are put into, at most.
+CENTRES = 1024
+
+
+def _units(column) -> np.ndarray:
+    """Rows of a list column as unit vectors; a zero vector stays zero."""
+    x = np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """n of some unit vectors, each the furthest from those taken before it; zero vectors only if there are no others."""
+    x = x[x.any(axis=1)] if x.any() else x[:1]
+    taken, nearest = [0], x @ x[0] if len(x) else np.zeros(0)
+    while len(taken) < min(n, len(x)):
+        taken.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[taken[-1]])
+    return x[taken[: len(x)]]
 
-    Vectors travel in blocks: every block meets every other one in a task of its
-    own, which multiplies matrices and keeps ``top`` rows for each row, so that
-    what is shuffled is blocks squared, not pairs.
+
+def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float = 0.70, block: int = 2048, centres: int = CENTRES, count: Callable[[str, int], None] | None = None) -> DataFrame:
+    """(a, b, similarity): each row's ``top`` most similar others, those of at least ``least``; ties go to the smaller b.
+
+    Vectors go to the nearest of a bounded number of centres (about one for each two
+    blocks, spread out over the vectors of least hash, eight times as many). A cell has an angle that covers it, so two cells
+    whose centres are further apart than both angles and the angle of ``least`` hold no
+    related pair. Cells are packed in blocks, one row each; the other pairs of blocks,
+    each once, meet in a task that multiplies them and sends the best of every row for
+    both sides. Zero vectors have cells of their own and are similar to nothing (0). Null vectors take no part; all
+    others must be of one length. ``count`` is called with "pairs" and "met".
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("k"), V.doubles(F.col("embedding")).alias("v"))
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = placed.select(F.col("block").alias("i"), F.explode(others).alias("j"), "k", "v")
-    right = placed.select(F.explode(others).alias("i2"), F.col("block").alias("j2"), F.col("k").alias("kb"), F.col("v").alias("vb"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("k"), V.doubles(F.col("embedding")).alias("v"))
     kind = dict(rows.dtypes)["k"]
+    n = rows.count()
+    wanted = max(1, min(centres, n // (2 * block)))
+    sample = rows.orderBy(F.xxhash64("k"), "k").limit(8 * wanted).select("v").collect()
+    c = _spread(_units(pa.array([r.v for r in sample], pa.list_(pa.float64()))), wanted)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": a["k"].head(0), "b": a["k"].head(0), "similarity": pd.Series([], dtype="float64")})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["vb"].to_numpy())
-        nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-        product = nx[:, None] * ny[None, :]
-        sim = np.divide(x @ y.T, product, out=np.zeros_like(product), where=product > 0)
-        ka, kb = a["k"].to_numpy(), b["kb"].to_numpy()
-        sim[ka[:, None] == kb[None, :]] = -np.inf
-        keep = sim >= max(least - 1e-9, -2)
+    def place(batches):
+        for b in batches:
+            x = _units(b.column(1))
+            cos = x @ c.T if len(x) else np.zeros((0, 1))
+            cell = cos.argmax(1) if len(x) else np.zeros(0, np.int64)
+            angle = _angles(cos[np.arange(len(x)), cell]) if len(x) else np.zeros(0)
+            cell[~x.any(axis=1)] = -1
+            yield pa.record_batch([b.column(0), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in x], pa.binary())], names=["k", "cell", "angle", "v"])
+
+    placed = cut_lineage(rows.mapInArrow(place, f"k {kind}, cell int, angle double, v binary"))
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).select("cell", "parts")
+    part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    # about ``block`` rows each: the hash of the key spreads a cell, alike vectors included
+    packed = placed.join(F.broadcast(sizes), "cell").groupBy("cell", part.alias("part")).agg(F.max("angle").alias("angle"), F.collect_list("k").alias("keys"), F.collect_list("v").alias("data"))
+    packed = cut_lineage(packed)
+    cells = packed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("parts")).orderBy("cell").collect()  # one for each centre
+    ids, reach = np.array([r.cell for r in cells], np.int64), np.array([r.angle for r in cells])
+    apart = _angles(c[ids] @ c[ids].T) if len(ids) else np.zeros((0, 0))
+    near = np.cos(np.clip(apart - reach[:, None] - reach[None, :], 0.0, np.pi)) >= least - 1e-5
+    near[ids == -1] = near[:, ids == -1] = least < 1e-5
+    np.fill_diagonal(near, True)
+    i, j = np.nonzero(np.triu(near))
+    if count is not None:
+        blocks = sum(r.parts for r in cells)
+        parts = np.array([r.parts for r in cells], np.int64)
+        met = int((parts[i] * parts[j])[i != j].sum() + (parts[i] * (parts[i] + 1) // 2)[i == j].sum())
+        count("pairs", blocks * (blocks + 1) // 2)
+        count("met", met)
+    pairs = spark.createDataFrame(pd.DataFrame({"cell": ids[i].astype(np.int32), "other": ids[j].astype(np.int32)}), "cell int, other int")
+    left = packed.select("cell", "part", F.col("keys").alias("ka"), F.col("data").alias("va"))
+    right = packed.select(F.col("cell").alias("other"), F.col("part").alias("with"), F.col("keys").alias("kb"), F.col("data").alias("vb"))
+    meeting = left.join(F.broadcast(pairs), "cell").join(right, "other").where((F.col("cell") < F.col("other")) | (F.col("part") <= F.col("with")))
+
+    def best(ka, kb, sim):
+        """The best ``top`` of each row, ties at the edge included."""
+        keep = sim >= max(least - 1e-6, -2)
         if sim.shape[1] > top:
-            # no row of the block's best ``top`` is lost, ties at the edge included
             edge = np.partition(sim, sim.shape[1] - top, axis=1)[:, sim.shape[1] - top]
             keep &= sim >= edge[:, None] - 1e-6
-        i, j = np.nonzero(keep)
-        return pd.DataFrame({"a": ka[i], "b": kb[j], "similarity": sim[i, j]})
+        x, y = np.nonzero(keep)
+        return ka[x], kb[y], sim[x, y]
+
+    def meet(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                one = b.slice(row, 1)
+                ka, kb = (np.asarray(one.column(x)[0].values.to_numpy(zero_copy_only=False)) for x in (0, 2))
+                va, vb = (np.stack([np.frombuffer(v) for v in one.column(x)[0].values.to_pylist()]) for x in (1, 3))
+                sim = va @ vb.T
+                same = one.column(4)[0].as_py()
+                if same:
+                    sim[ka[:, None] == kb[None, :]] = -np.inf
+                found = [best(ka, kb, sim)]
+                if not same:
+                    found.append(best(kb, ka, sim.T))
+                for x, y, s in found:
+                    yield pa.record_batch([pa.array(x, b.column(0).type.value_type), pa.array(y, b.column(0).type.value_type), pa.array(s)], names=["a", "b", "similarity"])
 
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(meet, f"a {kind}, b {kind}, similarity double")
+    itself = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("with"))
+    found = meeting.select("ka", "va", "kb", "vb", itself.alias("same")).mapInArrow(meet, f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 6)), "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & (F.round("similarity", 6) >= least)).drop("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & (F.round("similarity", 6) >= least)).drop("rank")

@@ -6,9 +6,8 @@ is a relation, and only its size reaches the driver.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import itertools
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,94 +222,94 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 64
 # ------------------------------------------------------------ communities
 
 
-def component_labels(pairs: DataFrame) -> DataFrame:
-    """(node, component) of undirected pairs (a, b): the smallest node of each, by minima that jump over labels already found."""
-    both = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node"), "c"))
-    while True:
-        least = both.join(labels.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
-        hooked = labels.join(least, "node").select("node", "c", F.least("c", "m").alias("n"))
-        jump = hooked.select(F.col("node").alias("n"), F.col("n").alias("nn"))
-        new = cut_lineage(hooked.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.least(F.coalesce("nn", "n"), "n").alias("c")))
-        changed = not new.where("old <> c").isEmpty()
-        labels = new.select("node", "c")
-        if not changed:
-            return labels.withColumnRenamed("c", "component")
-
-
-def louvain(pairs: list[tuple[str, str, float]], total: float, levels: int = 10, least: float = 1e-4) -> dict[str, str]:
-    """Communities of a connected graph as node -> smallest member. Nodes are visited in order, so equal inputs give equal results."""
-    members = {n: [n] for p in pairs for n in p[:2]}
-    graph: dict[str, dict[str, float]] = defaultdict(dict)
-    loops: dict[str, float] = defaultdict(float)
-    for a, b, w in pairs:
-        graph[a][b] = graph[a].get(b, 0.0) + w
-        graph[b][a] = graph[a][b]
-    for _ in range(levels):
-        degree = {n: sum(graph[n].values()) + 2 * loops[n] for n in members}
-        home = {n: n for n in members}
-        weight = dict(degree)
-        moved_any, gained = False, 1.0
-        while gained > least:
-            gained = 0.0
-            for n in sorted(members):
-                to: dict[str, float] = defaultdict(float)
-                for x, w in graph[n].items():
-                    to[home[x]] += w
-                here = home[n]
-                weight[here] -= degree[n]
-                worth = {c: w - weight[c] * degree[n] / (2 * total) for c, w in to.items()}
-                stay = to.get(here, 0.0) - weight[here] * degree[n] / (2 * total)
-                best = min(worth, key=lambda c: (-worth[c], c), default=here)
-                if best != here and worth[best] > stay + 1e-12:
-                    gained += (worth[best] - stay) / total
-                    home[n], moved_any = best, True
-                weight[home[n]] += degree[n]
-        if not moved_any:
+def _round(adjacent: DataFrame, state: DataFrame, twice: float, number: int) -> tuple[DataFrame, int, float]:
+    """One round of local moves: state, how many nodes moved, and their gain in modularity.
+
+    adjacent: src, dst, w in both directions; state: node, comm, k (weighted degree).
+    Every node looks for the neighbouring community of greatest gain; of those that
+    would move, the ones that gain more than all neighbours that would move too are
+    left, so neighbours never move at once. Many that are no neighbours may want the
+    same community, whose weight then grows: they are dealt to levels, each half as
+    full as the one before, and one moves if that still pays with all of its own and
+    the fuller ones' turn before it left out; the first of a community always does.
+    """
+    where = state.select(F.col("node").alias("dst"), F.col("comm").alias("c"))
+    to = adjacent.join(where, "dst").groupBy("src", "c").agg(F.sum("w").alias("w"))
+    weight = state.groupBy(F.col("comm").alias("c")).agg(F.sum("k").alias("all"))
+    own = state.select(F.col("node").alias("src"), F.col("comm").alias("own"), "k")
+    here = own.select("src", F.col("own").alias("c"), F.lit(0.0).alias("w"))
+    choices = to.unionByName(here).groupBy("src", "c").agg(F.sum("w").alias("w")).join(own, "src").join(weight, "c")
+    worth = F.col("w") - (F.col("all") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
+    valued = choices.select("src", "c", "own", "k", worth.alias("worth"))
+    best = valued.groupBy("src").agg(F.min_by("c", F.struct((-F.round("worth", 9)).alias("m"), "c")).alias("to"), F.max("worth").alias("most"), F.max(F.when(F.col("c") == F.col("own"), F.col("worth"))).alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"))
+    want = cut_lineage(best.where((F.col("most") - F.col("stay") > 1e-9) & (F.col("to") != F.col("own"))).select(F.col("src").alias("node"), "to", (F.col("most") - F.col("stay")).alias("gain"), "k"))
+    side = lambda c: want.select(F.col("node").alias(c), F.struct(F.round("gain", 9).alias("g"), F.xxhash64("node").alias("h"), "node").alias(f"o_{c}"))
+    kept_back = adjacent.join(side("src"), "src").join(side("dst"), "dst").where("o_dst > o_src").select(F.col("src").alias("node")).distinct()
+    # level i with a share of 2 ** -(i + 1), from the leading zeros of a hash; the emptiest go first
+    level = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("node", F.lit(number))), 64, "0"), "^0*", 0))
+    asking = cut_lineage(want.join(kept_back, "node", "left_anti").withColumn("level", level))
+    first = asking.groupBy("to").agg(F.max(F.struct(F.round("gain", 9).alias("g"), F.xxhash64("node").alias("h"), "node")).alias("x")).select(F.col("x.node").alias("node"), F.lit(True).alias("first"))
+    ahead = Window.partitionBy("to").orderBy(F.desc("level"))  # 65 levels at most
+    crowd = asking.groupBy("to", "level").agg(F.sum("k").alias("sum")).select("to", "level", F.sum("sum").over(ahead).alias("ahead"))
+    sure = asking.join(crowd, ["to", "level"]).join(first, "node", "left").withColumn("gain", F.col("gain") - F.when(F.col("first"), 0.0).otherwise((F.col("ahead") - F.col("k")) * F.col("k") / twice))
+    moves = sure.where("gain > 1e-9").select("node", "to", "gain")
+    new = cut_lineage(state.join(moves, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "k", F.coalesce("gain", F.lit(0.0)).alias("gain")))
+    moved = new.agg(F.count_if(F.col("gain") > 0).alias("n"), F.sum("gain").alias("gain")).first()
+    return new.drop("gain"), moved.n, (moved.gain or 0.0) * 2 / twice
+
+
+def modularity(pairs: DataFrame, labels: DataFrame) -> float:
+    """pairs (a, b, w), each once; labels (path, leader) of all their nodes."""
+    m = pairs.agg(F.sum("w")).first()[0]
+    if not m:
+        return 0.0
+    side = lambda c: labels.select(F.col("path").alias(c), F.col("leader").alias(f"l_{c}"))
+    placed = pairs.join(side("a"), "a").join(side("b"), "b")
+    inner = placed.where("l_a = l_b").agg(F.sum("w")).first()[0] or 0.0
+    ends = placed.select(F.col("l_a").alias("l"), "w").unionByName(placed.select(F.col("l_b").alias("l"), "w"))
+    return inner / m - ends.groupBy("l").agg(F.sum("w").alias("k")).agg(F.sum(F.pow(F.col("k") / (2 * m), 2))).first()[0]
+
+
+def louvain(pairs: DataFrame, least: float = 1e-5) -> DataFrame:
+    """pairs (a, b, w), each once -> (path, leader): communities of greatest modularity found by local moves, named by their smallest member.
+
+    Rounds of moves go on while a round gains ``least`` or more; then communities
+    become nodes, edges between them are added up, and it starts again until nothing
+    moves. Only the number of moves and their gain reach the driver.
+    """
+    adjacent = cut_lineage(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")))
+    state = cut_lineage(adjacent.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", F.col("node").alias("comm"), "k"))
+    twice = state.agg(F.sum("k")).first()[0] or 0.0
+    member = state.select(F.col("node").alias("path"), F.col("node").alias("leader"))
+    for number in itertools.count(0, 1 << 20):
+        state, moved, gain = _round(adjacent, state, twice, number) if twice else (state, 0, 0.0)
+        if not moved:
             break
-        merged: dict[str, list[str]] = defaultdict(list)
-        for n, c in home.items():
-            merged[c] += members[n]
-        new_graph: dict[str, dict[str, float]] = defaultdict(dict)
-        new_loops: dict[str, float] = defaultdict(float)
-        for n in members:
-            new_loops[home[n]] += loops[n]
-            for x, w in graph[n].items():
-                if home[x] == home[n]:
-                    new_loops[home[n]] += w / 2
-                else:
-                    new_graph[home[n]][home[x]] = new_graph[home[n]].get(home[x], 0.0) + w
-        members, graph, loops = dict(merged), new_graph, new_loops
-    return {x: min(group) for group in members.values() for x in group}
-
-
-def communities(nodes_: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+        while moved and gain >= least:
+            number += 1
+            state, moved, gain = _round(adjacent, state, twice, number)
+        names = state.groupBy("comm").agg(F.min("node").alias("name"))
+        named = cut_lineage(state.join(names, "comm").select("node", "name", "k"))
+        member = cut_lineage(member.join(named.select(F.col("node").alias("leader"), "name"), "leader").select("path", F.col("name").alias("leader")))
+        side = lambda c: named.select(F.col("node").alias(c), F.col("name").alias(f"n_{c}"))  # noqa: E731, B023
+        joined = adjacent.join(side("src"), "src").join(side("dst"), "dst").where("n_src <> n_dst")
+        adjacent = cut_lineage(joined.groupBy(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")).agg(F.sum("w").alias("w")))
+        state = cut_lineage(named.groupBy(F.col("name").alias("node")).agg(F.sum("k").alias("k")).select("node", F.col("node").alias("comm"), "k"))
+    return member
+
+
+def communities(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, community_id): -2 archived, -1 without edges, else numbers by falling size, ties by smallest member.
 
-    Louvain with node order in place of a random seed, in a task for each connected
-    component. A component of over ``most_edges`` edges does not fit a task; its
-    communities come from weighted label propagation over relations instead.
+    Louvain over relations, with rules in place of a random seed, so equal inputs give equal results.
     """
     live = nodes_.where(~F.col("archived")).select("path")
     order = F.col("edge_ord") if "edge_ord" in edges.columns else F.struct("src", "dst", "type")
     flat = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"), order.alias("o"))
     pairs = cut_lineage(flat.join(live.withColumnRenamed("path", "a"), "a", "left_semi").join(live.withColumnRenamed("path", "b"), "b", "left_semi").groupBy("a", "b").agg(F.max_by("w", "o").alias("w")))
-    total = pairs.agg(F.sum("w")).first()[0] or 0.0
-    labels = component_labels(pairs)
-    placed = pairs.join(labels.withColumnRenamed("node", "a"), "a")
-    large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("component")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(frame["a"], frame["b"], frame["w"])), total)
-        return pd.DataFrame({"path": list(found), "leader": list(found.values())})
-
-    small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "path string, leader string")
-    big = placed.join(large, "component", "left_semi")
-    if not large.isEmpty():
-        small = small.unionByName(_propagate(big))
-    sizes = small.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    ranked = _dense_rank(sizes)
-    found = small.join(ranked, "leader").select("path", "community_id")
+    placed = louvain(pairs)
+    ranked = _dense_rank(placed.groupBy("leader").agg(F.count(F.lit(1)).alias("size")))
+    found = placed.join(ranked, "leader").select("path", "community_id")
     return nodes_.select("path", "archived").join(found, "path", "left").select("path", F.when(F.col("archived"), -2).otherwise(F.coalesce("community_id", F.lit(-1))).cast("int").alias("community_id"))
 
 
@@ -322,15 +321,6 @@ def _dense_rank(sizes: DataFrame) -> DataFrame:
     return within.join(base, "size").select("leader", (F.col("base") + F.col("r")).alias("community_id"))
 
 
-def _propagate(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    labels = both.select(F.col("a").alias("path"), F.col("a").alias("leader")).distinct()
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnsRenamed({"path": "b", "leader": "l"}), "b").groupBy("a", "l").agg(F.sum("w").alias("w"))
-        labels = cut_lineage(votes.groupBy("a").agg(F.max_by("l", F.struct("w", "l")).alias("leader")).withColumnRenamed("a", "path"))
-    return labels
-
-
 def community_stats(members: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
     """(community_id, size, cohesion, categories, hubs) of the largest communities.
 

@@ -87,6 +87,11 @@ class Store:
         df.write.parquet(place)
         return place
 
+    def discard(self, place: str) -> None:
+        """Remove a staged folder that no commit names."""
+        fs, p = self._hadoop(place)
+        fs.delete(p, True)
+
     def write(self, name: str, df: DataFrame, cluster_by: Iterable[str] | None = None, key: Iterable[str] = ()) -> DataFrame:
         """Replace a table as a whole; it may be made from its own former rows. With a key, rows that repeat it are an error."""
         place = self.stage(name, df, cluster_by or ())

@@ -60,6 +60,6 @@ def test_a_search_reads_few_blocks(spark, corpus):
     queries = spark.createDataFrame([(0, "w250 w251 w252 w2 w3 w4 w5")], "query_id int, text string")
     read = {}
     assert bm25.search_many(index, queries, 2, count=lambda name, rows: read.update({name: rows.count()})).count() == 2
-    assert read["seeds"] + read["essential"] + read["completed"] < read["asked"] / 4
-    blocks = index.blocks.select("term", "cell", "n", F.size("postings").alias("m"), "bound").collect()
-    assert all(b.n == b.m <= 16 for b in blocks) and max(b.bound for b in blocks) < 2.5
+    assert read["seeds"] + read["later"] < read["asked"] / 4
+    blocks = index.blocks.select("term", "cell", F.size("postings").alias("n"), "bound").collect()
+    assert all(b.n <= 16 for b in blocks) and len({(b.term, b.cell) for b in blocks}) == len(blocks) and max(b.bound for b in blocks) < 2.5

@@ -104,11 +104,9 @@ def test_communities_have_the_promised_properties(spark):
     clique = lambda names: [(a, b, "user-wikilink", 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
     rows = clique("abcd") + clique("efg") + [("d", "e", "semantic", 0.1), ("y", "z", "semantic", 1.0), ("q", "a", "semantic", 1.0)]
     nodes = spark.createDataFrame([(n, n == "q") for n in "abcdefgyzqx"], "path string, archived boolean")
-    for most in (1000, 0):
-        got = {r.path: r.community_id for r in graph.communities(nodes, edges_frame(spark, rows), most).collect()}
-        assert got["q"] == -2 and got["x"] == -1
-        if most:
-            assert [got[n] for n in "abcd"] == [0] * 4 and [got[n] for n in "efg"] == [1] * 3 and got["y"] == got["z"] == 2
+    got = {r.path: r.community_id for r in graph.communities(nodes, edges_frame(spark, rows)).collect()}
+    assert got["q"] == -2 and got["x"] == -1
+    assert [got[n] for n in "abcd"] == [0] * 4 and [got[n] for n in "efg"] == [1] * 3 and got["y"] == got["z"] == 2
 
 
 def test_bm25_keeps_empty_chunks_and_ignores_unknown_words(spark):
