@@ -23,6 +23,12 @@ def directory(path: Column) -> Column:
     return F.array_join(directories(path), "/")
 
 
+def ancestors(path: Column) -> Column:
+    """The root (empty) and every directory that a path lies in, from the top down."""
+    parts = directories(path)
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(segments(path), -1)
 

@@ -33,10 +33,11 @@ def links(notes: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame, notes: DataFrame) -> DataFrame:
-    """found with target, or null and a reason: by path, then alias, then base name; several candidates are ranked by shared leading directories, then by name.
+    """found with target, or null and a reason: by path, then alias, then base name; of several candidates the one that shares most leading directories, then the least path.
 
-    notes: path, basename, aliases. Names that one path has are joined first; only
-    links to ambiguous names meet all their candidates.
+    notes: path, basename, aliases. Ambiguous names go up a ladder: each has its least
+    path below every directory, a link's source looks up its own directories, and
+    the deepest that is there decides. No link ever meets the list of candidates.
     """
     t = F.when(F.col("syntax") == "md", F.trim(F.regexp_extract(F.coalesce(F.try_url_decode(F.regexp_replace(F.trim("raw"), r"\+", "%2B")), F.trim("raw")), r"(?s)^([^#]*)", 1))).otherwise(F.trim("raw"))
     d = P.directory(F.col("source"))
@@ -57,9 +58,13 @@ def resolve(found: DataFrame, notes: DataFrame) -> DataFrame:
     )
     sure = F.coalesce("p1", "p2", "alias_path", F.when(F.col("n") == 1, F.col("only")))
     out = out.withColumn("target", sure)
-    unsure = out.where(F.col("target").isNull() & (F.col("n") > 1)).select("source", "by_name").distinct()
-    ranked = unsure.join(notes.select(F.col("basename").alias("by_name"), F.col("path").alias("cand")), "by_name").groupBy("source", "by_name").agg(F.min(F.struct((-P.common_directories(F.col("source"), F.col("cand"))).alias("s"), "cand")).alias("best")).select("source", "by_name", F.col("best.cand").alias("closest"))
-    out = out.join(ranked, ["source", "by_name"], "left").withColumn("target", F.coalesce("target", F.when(F.col("n") > 1, F.col("closest"))))
+    several = names.where("n > 1").select(F.col("basename").alias("by_name"))
+    rungs = notes.select(F.col("basename").alias("by_name"), "path").join(several, "by_name", "left_semi").select("by_name", "path", F.explode(P.ancestors(F.col("path"))).alias("above"))
+    ladder = rungs.groupBy("by_name", "above").agg(F.min("path").alias("cand"))
+    asked = out.where(F.col("target").isNull() & (F.col("n") > 1)).select(d.alias("dir"), "by_name").distinct()
+    steps = asked.select("dir", "by_name", F.explode(P.ancestors(F.concat("dir", F.when(F.col("dir") == "", "").otherwise("/"), F.lit("x")))).alias("above"))
+    closest = steps.join(ladder, ["by_name", "above"]).groupBy("dir", "by_name").agg(F.max_by("cand", F.length("above")).alias("closest"))
+    out = out.withColumn("dir", d).join(closest, ["dir", "by_name"], "left").withColumn("target", F.coalesce("target", F.when(F.col("n") > 1, F.col("closest"))))
     reason = F.when(F.col("target").isNotNull(), None).when(F.col("t") == "", "empty target").when(slash, F.concat(F.lit("path not found: "), "t")).otherwise(F.concat(F.lit("basename not found: "), "t"))
     return out.select(*found.columns, "target", reason.alias("reason"))
 

@@ -17,7 +17,7 @@ class MaintenancePlan:
     def __init__(self, store: Store, config: EngineConfig = EngineConfig(), embedder: models.Embedder | None = None):
         self.store, self.config, self.embedder = store, config, embedder
 
-    def run(self, scanned: DataFrame, policy: DataFrame | None = None, attachment_keys: DataFrame | None = None) -> dict[str, DataFrame]:
+    def run(self, scanned: DataFrame, policy: DataFrame | None = None, attachment_keys: DataFrame | None = None, docs: DataFrame | None = None) -> dict[str, DataFrame]:
         store, config = self.store, self.config
         old = store.read("notes", "path string, content_hash string").select("path", "content_hash")
         changes = store.write("changes", lifecycle.rename_plan(old, N.describe(scanned, config)))
@@ -34,7 +34,7 @@ class MaintenancePlan:
             gone = plan.where(F.col("action").isin("delete", "change"))
             vectors = store.write("embeddings", upsert(known.join(gone.select("path"), "path", "left_anti"), fresh, ["path", "chunk_index"]))
             related = store.write("related", dense.related(dense.mean_vectors(vectors), "path", config.related_top, config.related_least))
-        links = store.write("links", graph.resolve(graph.links(notes), notes))
+        links = store.write("links", graph.resolve(graph.links(notes), N.link_targets(notes, docs)))
         edges = graph.link_edges(links)
         if related is not None:
             edges = edges.unionByName(graph.semantic_edges(related, config))

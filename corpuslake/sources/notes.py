@@ -97,6 +97,20 @@ def scan_indexable(spark: SparkSession, root: str, scope: str = "all", config: E
     return out.dropDuplicates(["path"])
 
 
+def scan_docs(spark: SparkSession, root: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Markdown files below ``docs/``, whatever the exclude rules say: targets of links, though no notes."""
+    return files(spark, root).where(F.col("path").startswith("docs/"))
+
+
+def link_targets(notes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(path, basename, aliases) of all that a link can name: described notes, and docs (path, content); a path counts once, as a note."""
+    named = notes.select("path", "basename", "aliases")
+    if docs is None:
+        return named
+    more = docs.select("path", P.stem(F.col("path")).alias("basename"), X.aliases(F.coalesce("content", F.lit(""))).alias("aliases"))
+    return named.unionByName(more.join(notes.select("path"), "path", "left_anti"))
+
+
 def inbox(notes: DataFrame) -> DataFrame:
     """Notes at the root."""
     return notes.where(~F.col("path").contains("/"))
