@@ -21,11 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
 from corpuslake.functions import text as X
+from corpuslake.functions.arrow import release, tidy
 from corpuslake.session import cut_lineage, scratch
 from corpuslake.sources.tables import Store
 
@@ -74,7 +76,7 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 
 def _blocks(batches, cell_bits: int, avgdl: float, config: EngineConfig):
-    """Arrow batches (doc, dl, tokens), ascending by doc, as blocks term, cell, bound, postings; a cell's chunks at a time.
+    """Arrow batches (doc, dl, tokens joined by blanks), ascending by doc, as blocks term, cell, bound, postings; a cell's chunks at a time.
 
     A cell is named by its first chunk, so that one which a scan divides is two.
 
@@ -82,10 +84,9 @@ def _blocks(batches, cell_bits: int, avgdl: float, config: EngineConfig):
     """
 
     def blocks(rows: pa.Table) -> pa.RecordBatch:
-        tokens = rows.column("tokens").combine_chunks()
         doc, dl = (rows.column(c).to_numpy() for c in ("doc", "dl"))
-        codes = tokens.flatten().dictionary_encode()
-        place = np.repeat(np.arange(len(doc)), np.diff(np.asarray(tokens.offsets)))
+        codes = pc.split_pattern(rows.column("tokens").filter(pa.array(dl > 0)).combine_chunks(), " ").flatten().dictionary_encode()
+        place = np.repeat(np.arange(len(doc)), dl)
         found, tf = np.unique(codes.indices.to_numpy().astype(np.int64) * len(doc) + place, return_counts=True)
         term, at = found // len(doc), found % len(doc)
         first = np.flatnonzero(np.diff(term, prepend=-1))
@@ -116,11 +117,11 @@ def build(chunks: DataFrame, config: EngineConfig = EngineConfig(), form: str =
     store = store or Store(chunks.sparkSession, scratch(chunks.sparkSession, "bm25"))
     read = chunks.sparkSession.read.parquet
     # numbered where they lie, so a cell's chunks follow each other in one file; the numbers are written before anything uses them
-    numbered = tokens_of(chunks).select(F.monotonically_increasing_id().alias("doc"), "path", "chunk_index", "dl", "tokens")
+    numbered = tokens_of(chunks).select(F.monotonically_increasing_id().alias("doc"), "path", "chunk_index", "dl", F.array_join("tokens", " ").alias("tokens"))
     tokens = store.stage("bm25_chunks", numbered)
     stats = corpus_stats(read(tokens)).first()
     places = {"bm25_chunks": store.stage("bm25_chunks", read(tokens).drop("tokens")), "bm25_corpus": store.stage("bm25_corpus", chunks.sparkSession.createDataFrame([stats], "n long, avgdl double"))}
-    made = read(tokens).select("doc", "dl", "tokens").mapInArrow(lambda batches: _blocks(batches, cell_bits, stats.avgdl, config), "term string, cell long, bound double, postings array<long>")
+    made = read(tokens).select("doc", "dl", "tokens").mapInArrow(tidy(lambda batches: _blocks(batches, cell_bits, stats.avgdl, config)), "term string, cell long, bound double, postings array<long>")
     # written as they come, since a sort by range reads its input twice
     loose = store.stage("bm25_blocks", made)
     store.discard(tokens)
@@ -189,7 +190,10 @@ def _scores(asked: DataFrame, index: Index) -> DataFrame:
             scores.append(total[found])
         join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         ids = queries.dictionary.take(join(number, pa.int64()))
-        return pa.table({"query_id": ids, "doc": join(docs, pa.int64()), "score": join(scores, pa.float64())})
+        found = pa.table({"query_id": ids, "doc": join(docs, pa.int64()), "score": join(scores, pa.float64())})
+        of.clear()
+        release()
+        return found
 
     return blocks.groupBy("of_cell", "of_batch").cogroup(rows.groupBy("cell", "batch")).applyInArrow(score, f"query_id {kind}, doc long, score double")
 

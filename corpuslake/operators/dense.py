@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import vectors as V
+from corpuslake.functions.arrow import tidy
 from corpuslake.session import cut_lineage
 
 #: Rows over which a warning about scan time is due.
@@ -84,7 +85,7 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
             cell[~x.any(axis=1)] = -1
             yield pa.record_batch([b.column(0), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in x], pa.binary())], names=["k", "cell", "angle", "v"])
 
-    placed = cut_lineage(rows.mapInArrow(place, f"k {kind}, cell int, angle double, v binary"))
+    placed = cut_lineage(rows.mapInArrow(tidy(place), f"k {kind}, cell int, angle double, v binary"))
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).select("cell", "parts")
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     # about ``block`` rows each: the hash of the key spreads a cell, alike vectors included
@@ -134,6 +135,6 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
                     yield pa.record_batch([pa.array(x, b.column(0).type.value_type), pa.array(y, b.column(0).type.value_type), pa.array(s)], names=["a", "b", "similarity"])
 
     itself = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("with"))
-    found = meeting.select("ka", "va", "kb", "vb", itself.alias("same")).mapInArrow(meet, f"a {kind}, b {kind}, similarity double")
+    found = meeting.select("ka", "va", "kb", "vb", itself.alias("same")).mapInArrow(tidy(meet), f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 6)), "b")
     return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & (F.round("similarity", 6) >= least)).drop("rank")

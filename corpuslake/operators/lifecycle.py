@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
 from corpuslake.functions import text as X
+from corpuslake.session import cut_lineage
 
 #: Days and rates of the memory channels.
 WORKFLOW_DECAY_DAYS, WORKFLOW_DECAY, WORKFLOW_BORDERLINE = 180, 0.05, 0.03
@@ -14,11 +15,23 @@ FEEDBACK_DORMANT_DAYS, FEEDBACK_ARCHIVE_DAYS, FEEDBACK_STABLE = 180, 365, 3
 PROJECT_STALE_DAYS = 90
 
 
-def rename_plan(old: DataFrame, new: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+def rename_plan(old: DataFrame, new: DataFrame, renames: DataFrame | None = None, similar: float | None = None) -> DataFrame:
     """(action, old_path, new_path): known renames first, then one-to-one hash matches of vanished and new paths; other vanished paths are archived.
 
-    old and new: path, content_hash. A match must be the only one of both its sides.
+    old and new: path, content_hash, and content if ``similar`` is given: then vanished
+    files without a match go to the new one that is so similar. A match must be the
+    only one of both its sides. renames: (old, new), or (seq, old, new) of a history.
     """
+    if similar is not None:
+        exact = rename_plan(old, new, renames)
+        lost = exact.where("action = 'archive'").select(F.col("old_path").alias("path"))
+        taken = exact.where("action = 'rename'").select(F.col("new_path").alias("path"))
+        came = new.select("path", "content").join(old.select("path"), "path", "left_anti").join(taken, "path", "left_anti")
+        found = cut_lineage(similar_renames(old.select("path", "content").join(lost, "path", "left_semi"), came, similar))
+        changed = found.select(F.lit("rename").alias("action"), F.col("old").alias("old_path"), F.col("new").alias("new_path"))
+        return exact.join(changed.select("old_path"), "old_path", "left_anti").select("action", "old_path", "new_path").unionByName(changed)
+    if renames is not None and "seq" in renames.columns:
+        renames = close_renames(renames)
     o, n = old.select("path", "content_hash").distinct(), new.select("path", "content_hash").distinct()
     missing = o.join(n.select("path"), "path", "left_anti")
     added = n.join(o.select("path"), "path", "left_anti")
@@ -35,6 +48,66 @@ def rename_plan(old: DataFrame, new: DataFrame, renames: DataFrame | None = None
     return out if known is None else out.unionByName(known.select(F.lit("rename").alias("action"), "old_path", "new_path"))
 
 
+#: Words of a shingle and shingles of a window, of which the least hash is kept.
+SHINGLE, WINDOW = 5, 4
+
+
+def signature(content: Column) -> Column:
+    """Winnowed shingles of a text's words, distinct: the least hash of each window of WINDOW neighbours; a short text has one, an empty one none."""
+    words = F.filter(F.split(content, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    places = lambda n, width: F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
+    hashed = lambda w: F.transform(places(F.size(w), SHINGLE), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, SHINGLE), " ")), 1, 16))
+    least = lambda h: F.array_distinct(F.transform(places(F.size(h), WINDOW), lambda i: F.array_min(F.slice(h, i, WINDOW))))
+    return once(words, lambda w: F.when(F.size(w) > 0, once(hashed(w), least)).otherwise(F.array().cast("array<string>")))
+
+
+def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) -> DataFrame:
+    """missing, added (path, content) -> (old, new, similarity): paths whose contents are alike, though not equal; each is the other's most similar one.
+
+    Similarity is the number of shared signature hashes over the larger number of
+    both. Ties go to the smaller path. Files that share their whole signature with
+    another one of their side are ambiguous and match nothing; nor do empty files.
+    Hashes are ordered by how many files hold them and only those that a pair of
+    ``least`` cannot do without are joined, so a passage that all files share joins nothing.
+    """
+    sides = missing.select(F.lit(0).alias("side"), "path", "content").unionByName(added.select(F.lit(1).alias("side"), "path", "content"))
+    signed = sides.select("side", "path", signature(F.coalesce("content", F.lit(""))).alias("sig")).where(F.size("sig") > 0)
+    alone = signed.groupBy("side", F.sha2(F.array_join(F.array_sort("sig"), ""), 256)).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n = 1").select("side", "path")
+    files = cut_lineage(signed.join(alone, ["side", "path"]))
+    rows = files.select("side", "path", F.size("sig").alias("n"), F.explode("sig").alias("h"))
+    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    ranked = rows.join(held, "h").groupBy("side", "path", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "h"))), lambda x: x["h"]).alias("sig"))
+    prefix = ranked.select("side", "path", "n", F.explode(F.slice("sig", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("h"))
+    near = (F.col("n") >= F.ceil(F.col("m") * least)) & (F.col("m") >= F.ceil(F.col("n") * least))
+    right = prefix.where("side = 1").select(F.col("path").alias("new"), F.col("n").alias("m"), "h")
+    pairs = prefix.where("side = 0").select(F.col("path").alias("old"), "n", "h").join(right, "h").where(near).select("old", "new").distinct()
+    side = lambda i, name: files.where(F.col("side") == i).select(F.col("path").alias(name), F.col("sig").alias(f"sig_{name}"))
+    shared = F.size(F.array_intersect("sig_old", "sig_new")) / F.greatest(F.size("sig_old"), F.size("sig_new"))
+    scored = cut_lineage(pairs.join(side(0, "old"), "old").join(side(1, "new"), "new").select("old", "new", shared.alias("similarity")).where(F.col("similarity") >= least))
+    best = lambda of, other: scored.groupBy(of).agg(F.min(F.struct((-F.col("similarity")).alias("s"), other)).alias("b")).select(of, F.col(f"b.{other}").alias(other))
+    return scored.join(best("old", "new"), ["old", "new"], "left_semi").join(best("new", "old"), ["old", "new"], "left_semi")
+
+
+def close_renames(renames: DataFrame) -> DataFrame:
+    """renames (seq, old, new) -> (old, new): where each path that was there at first is after all renames.
+
+    A rename goes on with the next one that leaves its new path; chains are closed by
+    pointers that jump twice as far each round. Paths that end where they began are left out.
+    """
+    r = renames.select("seq", "old", "new").where("old <> new").distinct()
+    events = r.select(F.col("new").alias("path"), "seq", F.lit(1).alias("leaves"), F.struct("seq", "old", "new").alias("of")).unionByName(r.select(F.col("old").alias("path"), "seq", F.lit(0).alias("leaves"), F.struct("seq", "old", "new").alias("of")))
+    # along one path: the rename that left it next, if nothing else came to it before
+    w = Window.partitionBy("path").orderBy("seq", "leaves")
+    placed = events.withColumn("next", F.when(F.lead("leaves").over(w) == 0, F.lead("of").over(w)))
+    chain = cut_lineage(placed.where("leaves = 1").select("of", F.col("next").alias("next"), F.col("of.new").alias("end")))
+    heads = chain.select("of").join(chain.where("next is not null").select(F.col("next").alias("of")), "of", "left_anti")
+    while not chain.where("next is not null").isEmpty():
+        ahead = chain.select(F.col("of").alias("next"), F.col("next").alias("next2"), F.col("end").alias("end2"))
+        chain = cut_lineage(chain.join(ahead, "next", "left").select("of", F.col("next2").alias("next"), F.coalesce("end2", "end").alias("end")))
+    return chain.join(heads, "of", "left_semi").select(F.col("of.old").alias("old"), F.col("end").alias("new")).where("old <> new")
+
+
 def gate(files: DataFrame, policy: DataFrame | None, config: EngineConfig = EngineConfig()) -> DataFrame:
     """files (path, size_bytes, ...) with gate: pass for small or allowed ones, else llm_skip, skip or pending."""
     large = F.col("size_bytes") > config.large_bytes

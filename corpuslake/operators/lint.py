@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as X
+from corpuslake.functions.arrow import tidy
 from corpuslake.functions.globs import fnmatch_regex
 
 # Content patterns of credentials.
@@ -24,6 +29,9 @@ NAME_PATTERNS = (
     "*.pem", "*.key", "*.keystore", "*.p12", "*.pfx", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".env", ".env.*", "htpasswd", ".netrc",
 )
 
+# Places of credentials; those that end in a slash are directories.
+PLACES = (".aws/credentials", ".aws/config", ".gnupg/", ".ssh/")
+
 
 def broken_links(broken: DataFrame) -> DataFrame:
     """Unresolved links, one of each (source, raw target, syntax), at its first line."""
@@ -81,27 +89,96 @@ def stale_years(notes: DataFrame, current_year: int) -> DataFrame:
     return hit.select("path", F.substring("p.text", 1, 4).cast("int").alias("year"), F.trim(F.regexp_replace(F.substring(F.col("content"), start + 1, end - start), "\n", " ")).alias("context"))
 
 
+#: Terms of one automaton. Each block of as many is a pass over the notes of its own.
+TERMS_AT_ONCE = 50_000
+#: Characters around a term that are shown whatever they are, and marks that end a sentence.
+AROUND, ENDS = 80, ".。!！?？\n"
+_REST = re.compile(f"[^{ENDS}]*")
+
+
+def _context(text: str, at: int, n: int, most: int) -> str:
+    """The neighbourhood of n characters from ``at`` and its sentence, from the end mark before it on, on one line, cut to ``most`` characters."""
+    low, high = max(at - AROUND, 0), at + n + AROUND
+    lead = text[max(0, *(text.rfind(m, 0, low) for m in ENDS)) : low]
+    found = (lead + text[low:high] + _REST.match(text, high)[0]).replace("\n", " ").strip(" ")
+    return found[:most] + "..." if len(found) > most else found
+
+
+def term_hits(notes: DataFrame, terms: DataFrame, most: int = 200) -> DataFrame:
+    """notes (path, content), terms (term) -> (term, path, context): every note that holds a term, in any case, with the surroundings of its first place.
+
+    An automaton of all terms reads each note once, however many terms there are.
+    Null and empty terms and contents are left out; repeated terms count once.
+    """
+    rows = notes.where("content is not null").select("path", "content", F.lower("content").alias("low"))
+    kind = dict(rows.dtypes)["path"]
+    out = rows.sparkSession.createDataFrame([], f"term string, path {kind}, context string")
+
+    def reader(block: list[tuple[str, str]]):
+        by_low: dict[str, list[str]] = {}
+        for term, low in block:
+            by_low.setdefault(low, []).append(term)
+
+        def read(batches):
+            machine = ahocorasick.Automaton()
+            for low in by_low:
+                machine.add_word(low, low)
+            machine.make_automaton()
+            for b in batches:
+                found: list[tuple] = []
+                for path, content, low in zip(*(c.to_pylist() for c in b.columns)):
+                    first: dict[str, int] = {}
+                    for end, word in machine.iter(low):
+                        first.setdefault(word, end + 1 - len(word))
+                    for word, at in first.items():
+                        shown = _context(content, at, len(word), most)
+                        found += [(term, path, shown) for term in by_low[word]]
+                columns = list(zip(*found)) or [(), (), ()]
+                yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], b.column(0).type), pa.array(columns[2], pa.string())], names=["term", "path", "context"])
+
+        return read
+
+    block: list[tuple[str, str]] = []
+    wanted = terms.where("term <> ''").select("term", F.lower("term").alias("low")).distinct()
+    for r in wanted.toLocalIterator():
+        block.append((r.term, r.low))
+        if len(block) == TERMS_AT_ONCE:
+            out, block = out.unionByName(rows.mapInArrow(tidy(reader(block)), out.schema)), []
+    return out.unionByName(rows.mapInArrow(tidy(reader(block)), out.schema)) if block else out
+
+
+def term_contexts(hits: DataFrame, sources: int = 4) -> DataFrame:
+    """(term, notes, path, context): the first notes of each term by path, and how many hold it."""
+    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("notes"))
+    order = Window.partitionBy("term").orderBy("path")
+    first = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sources).drop("r")
+    return first.join(counts, "term").select("term", "notes", "path", "context")
+
+
 def concept_contexts(notes: DataFrame, term: str, most: int = 200, sources: int = 4) -> DataFrame:
     """(path, context) of the first notes that hold a term: its sentence and its neighbourhood, cut to ``most`` characters."""
-    hit = notes.where(F.lower("content").contains(term.lower()))
-    at = F.instr(F.lower("content"), F.lit(term.lower()))
-    end_mark = "[.。!！?？\n]"
-    before = F.substring(F.col("content"), F.lit(1), F.greatest(at - 1 - 80, F.lit(0)))
-    lead = F.regexp_extract(before, f"(?s)({end_mark}?[^.。!！?？\n]*)$", 1)
-    middle = F.substring(F.col("content"), F.greatest(at - 80, F.lit(1)), F.least(at - 1, F.lit(80)) + len(term) + 80)
-    rest = F.regexp_extract(F.substring(F.col("content"), at + len(term) + 80, F.lit(1_000_000_000)), f"(?s)^([^.。!！?？\n]*)", 1)
-    text = F.trim(F.regexp_replace(F.concat(lead, middle, rest), "\n", " "))
-    return hit.orderBy("path").limit(sources).select("path", F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text).alias("context"))
+    terms = notes.sparkSession.createDataFrame([(term,)], "term string")
+    return term_contexts(term_hits(notes, terms, most), sources).select("path", "context").orderBy("path")
+
+
+def contradiction_candidates(terms: DataFrame, top: int = 30, candidates: int = 8) -> DataFrame:
+    """(term, n): the concepts in most notes, those in two or more."""
+    return terms.groupBy("term").agg(F.countDistinct("path").alias("n")).where("n >= 2").orderBy(F.desc("n"), "term").limit(min(top, candidates))
 
 
 def contradictions(terms: DataFrame, notes: DataFrame, judge, top: int = 30, candidates: int = 8) -> list[dict]:
-    """Verdicts of a model on the contexts of the most frequent concepts; negative answers are dropped."""
+    """Verdicts of a model on the contexts of the most frequent concepts; negative answers are dropped. One pass over the notes serves all concepts."""
+    chosen = [(r.term, r.n) for r in contradiction_candidates(terms, top, candidates).collect()]  # ``candidates`` rows
+    found = term_contexts(term_hits(notes, notes.sparkSession.createDataFrame(chosen, "term string, n long"))) if chosen else None
+    of: dict[str, list[tuple[str, str]]] = {}
+    for r in found.orderBy("term", "path").collect() if chosen else []:  # a few rows for each
+        of.setdefault(r.term, []).append((r.path, r.context))
     out = []
-    for r in terms.groupBy("term").agg(F.countDistinct("path").alias("n")).where("n >= 2").orderBy(F.desc("n"), "term").limit(min(top, candidates)).collect():
-        contexts = [(c.path, c.context) for c in concept_contexts(notes, r.term).collect()]
-        answer = judge(r.term, contexts)
+    for term, _ in chosen:
+        contexts = of.get(term, [])
+        answer = judge(term, contexts)
         if answer and not answer.strip().lower().startswith(("no ", "none", "no.")):
-            out.append({"term": r.term, "verdict": answer, "sources": [p for p, _ in contexts]})
+            out.append({"term": term, "verdict": answer, "sources": [p for p, _ in contexts]})
     return out
 
 
@@ -118,3 +195,12 @@ def private_name(name: Column) -> Column:
     return out
 
 
+def private_path(path: Column) -> Column:
+    """Whether a path is private by its name, or lies at a place where credentials are kept."""
+    slashed = F.concat(F.lit("/"), F.lower(path))
+    out = private_name(F.element_at(F.split(path, "/"), -1))
+    for p in PLACES:
+        out = out | (slashed.contains(f"/{p}") if p.endswith("/") else slashed.endswith(f"/{p}"))
+    return out
+
+

@@ -248,6 +248,35 @@ def rename_diff(spark, sf):
     return lifecycle.rename_plan(old, new)
 
 
+@query
+def rename_changed(spark, sf):
+    """As rename_diff, but half of the files that moved have changed too."""
+    d = docs(spark, sf).withColumn("content_hash", X.content_hash(F.col("content")))
+    old = d.where("doc_id % 3 <> 0").select(F.concat(F.lit("old/"), "path").alias("path"), "content", "content_hash")
+    changed = F.concat("content", F.lit("\nadded to d"), "doc_id", F.lit(" in a later year"))
+    new = d.where("doc_id % 2 = 0").withColumn("content", F.when(F.col("doc_id") % 8 == 0, changed).otherwise(F.col("content"))).select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.concat(F.lit("old/"), "path")).alias("path"), "content", X.content_hash(F.col("content")).alias("content_hash"))
+    return lifecycle.rename_plan(old, new, similar=0.8)
+
+
+@query
+def rename_history(spark, sf):
+    """Renames of documents, one to five in a row, as one each."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int"))).alias("step"))
+    name = lambda k: F.concat(F.lit("d"), F.col("doc_id"), F.lit("_"), k)
+    back = (F.col("doc_id") % 7 == 0) & (F.col("step") == F.col("doc_id") % 5 + 1)
+    rows = d.select((F.col("step") * 10).alias("seq"), name(F.col("step") - 1).alias("old"), F.when(back, name(F.lit(0))).otherwise(name(F.col("step"))).alias("new"))
+    return lifecycle.close_renames(rows)
+
+
+@query
+def planted_secrets(spark, sf):
+    """Kinds of credentials in documents that some were appended to by rule."""
+    i, h = F.col("doc_id"), F.md5(F.col("doc_id").cast("string"))
+    parts = (F.concat(F.lit(" sk-"), h), F.concat(F.lit(" AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(F.lit(" ghp_"), h, F.lit("abcd")), F.concat(F.lit(" xoxb-"), h), F.concat(F.lit(" AIza"), h, F.lit("abc")), F.lit("\n-----BEGIN RSA PRIVATE KEY-----\n"), F.concat(F.lit(" sk-"), F.substring(h, 1, 19)))
+    tail = F.concat(*[F.when(i % (7 + k) == k, p).otherwise("") for k, p in enumerate(parts)])
+    return docs(spark, sf).select("path", F.explode(lint.secrets_in(F.concat("content", tail))).alias("kind"))
+
+
 @query
 def incremental_plan(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("path"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size_bytes"), X.content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
@@ -430,6 +459,33 @@ def orphan_concepts(spark, sf):
     return lint.orphan_concepts(lint.filter_terms(rows), names)
 
 
+def _long_words(spark, sf) -> DataFrame:
+    """Words of eight letters or more of the benchmark, as terms."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{8,}"), F.lit(0))
+    return table(spark, sf, "benchmark").select(F.explode(words).alias("term")).distinct()
+
+
+@query
+def term_contexts(spark, sf):
+    """The first four documents of each term and what stands around it there."""
+    hits = lint.term_hits(docs(spark, sf), _long_words(spark, sf))
+    return lint.term_contexts(hits).select("term", "notes", "path", "context")
+
+
+@query
+def contradiction_candidates(spark, sf):
+    hits = lint.term_hits(docs(spark, sf), _long_words(spark, sf)).select("term", "path")
+    return lint.contradiction_candidates(hits)
+
+
+@query
+def private_paths(spark, sf):
+    """Which of the paths made from documents are private."""
+    name = F.element_at(F.array(*map(F.lit, (".aws/credentials", "x.aws/config", "a.gnupg/k.txt", ".SSH/known", "my Password.md", "plain.md", "id_rsa", "token/plain.md"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("d"), F.col("doc_id"), F.lit("/"))), name).alias("path"))
+    return d.where(lint.private_path(F.col("path"))).select("path")
+
+
 @query
 def stale_years(spark, sf):
     o = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("path"), F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" is open.")).alias("content"))

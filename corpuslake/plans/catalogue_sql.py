@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpuslake.functions.links import LINK_SUFFIXES
+from corpuslake.operators.lint import CONTENT_PATTERNS, ENDS
 from corpuslake.plans.catalogue import QUERIES, QUERY, TERMS
 
 DOCS = "docs AS (SELECT doc_id, 'd' || doc_id AS path, coalesce(text, '') AS content FROM documents)"
@@ -64,10 +66,35 @@ def _best(words: str, k: int) -> str:
     return f"(SELECT path, max(score) AS score FROM ({_gain(words)}) GROUP BY 1 ORDER BY round(max(score), 6) DESC, path LIMIT {k})"
 
 
-_SECRETS = {"api_key": "sk-[a-zA-Z0-9]{20,}", "access_key": "AKIA[0-9A-Z]{16}", "hub_token": "gh[pousr]_[0-9A-Za-z]{36}", "chat_token": "xox[baprs]-[0-9A-Za-z-]{10,}", "search_key": "AIza[0-9A-Za-z_-]{35}", "private_key": "-----BEGIN .*PRIVATE KEY-----"}
 _TARGET = "trim(regexp_extract(url_decode(trim(target)), '^([^#?]*)', 1))"
 
+_ENDS = f"[^{ENDS}]"
+CONTEXTS = f"""{DOCS}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{8,}}')) AS term FROM benchmark),
+  hits AS (SELECT term, path, content, instr(lower(content), term) - 1 AS pos, length(term) AS n FROM words JOIN docs ON contains(lower(content), term)),
+  parts AS (SELECT term, path, regexp_extract(substr(content, 1, greatest(pos - 80, 0)), '(?s)((?:[{ENDS}])?{_ENDS}*)$', 1) || substr(content, greatest(pos - 80, 0) + 1, least(pos, 80) + n + 80) || regexp_extract(substr(content, pos + n + 81), '^({_ENDS}*)', 1) AS x FROM hits),
+  shown AS (SELECT term, path, trim(replace(x, chr(10), ' '), ' ') AS x FROM parts)"""
+
 SQL: dict[str, str] = {
+    "rename_changed": f"""WITH d AS (SELECT doc_id, 'd' || doc_id AS path, coalesce(text, '') AS content FROM documents),
+      o AS (SELECT 'old/' || path AS path, content, sha256(content) AS h FROM d WHERE doc_id % 3 <> 0),
+      n AS (SELECT path, content, sha256(content) AS h FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'new/' ELSE 'old/' END || path AS path, CASE WHEN doc_id % 8 = 0 THEN content || chr(10) || 'added to d' || doc_id || ' in a later year' ELSE content END AS content FROM d WHERE doc_id % 2 = 0)),
+      missing AS (SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)), added AS (SELECT * FROM n WHERE path NOT IN (SELECT path FROM o)),
+      exact AS (SELECT a.p AS old_path, b.p AS new_path FROM (SELECT h, min(path) AS p FROM missing GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT h, min(path) AS p FROM added GROUP BY 1 HAVING count(*) = 1) b USING (h)),
+      side AS (SELECT 0 AS side, path, content FROM missing WHERE path NOT IN (SELECT old_path FROM exact) UNION ALL SELECT 1, path, content FROM added WHERE path NOT IN (SELECT new_path FROM exact)),
+      words AS (SELECT side, path, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT side, path, list_filter(regexp_split_to_array(content, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM side)),
+      shingles AS (SELECT side, path, i, greatest(n - 4, 1) AS m, substr(md5(string_agg(word, ' ') OVER (PARTITION BY side, path ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), 1, 16) AS h FROM words),
+      sig AS (SELECT DISTINCT side, path, h FROM (SELECT side, path, i, m, min(h) OVER (PARTITION BY side, path ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS h FROM shingles WHERE i <= m) WHERE i <= greatest(m - 3, 1)),
+      whole AS (SELECT side, path, count(*) AS n, string_agg(h, '' ORDER BY h) AS x FROM sig GROUP BY 1, 2),
+      alone AS (SELECT side, path, n FROM whole QUALIFY count(*) OVER (PARTITION BY side, x) = 1),
+      scored AS (SELECT a.path AS old_path, b.path AS new_path, count(*) / greatest(min(a.n), min(b.n)) AS s FROM alone a JOIN sig p ON p.side = 0 AND p.path = a.path JOIN sig q ON q.side = 1 AND q.h = p.h JOIN alone b ON b.side = 1 AND b.path = q.path WHERE a.side = 0 GROUP BY 1, 2 HAVING s >= 0.8),
+      alike AS (SELECT old_path, new_path FROM scored QUALIFY row_number() OVER (PARTITION BY old_path ORDER BY s DESC, new_path) = 1 AND row_number() OVER (PARTITION BY new_path ORDER BY s DESC, old_path) = 1),
+      found AS (SELECT * FROM exact UNION ALL SELECT * FROM alike)
+      SELECT 'rename' AS action, old_path, new_path FROM found UNION ALL SELECT 'archive', path, NULL FROM missing WHERE path NOT IN (SELECT old_path FROM found)""",
+    "rename_history": "SELECT 'd' || doc_id || '_0' AS old, 'd' || doc_id || '_' || (doc_id % 5 + 1) AS new FROM documents WHERE doc_id % 7 <> 0",
+    "planted_secrets": "WITH f AS (SELECT 'd' || doc_id AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' sk-' || md5(doc_id::VARCHAR) ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) ELSE '' END || CASE WHEN doc_id % 9 = 2 THEN ' ghp_' || md5(doc_id::VARCHAR) || 'abcd' ELSE '' END || CASE WHEN doc_id % 10 = 3 THEN ' xoxb-' || md5(doc_id::VARCHAR) ELSE '' END || CASE WHEN doc_id % 11 = 4 THEN ' AIza' || md5(doc_id::VARCHAR) || 'abc' ELSE '' END || CASE WHEN doc_id % 12 = 5 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) ELSE '' END || CASE WHEN doc_id % 13 = 6 THEN ' sk-' || substr(md5(doc_id::VARCHAR), 1, 19) ELSE '' END AS c FROM documents) " + " UNION ALL ".join(f"SELECT path, '{k}' AS kind FROM f WHERE regexp_matches(c, '{p}')" for k, p in CONTENT_PATTERNS.items()),
+    "term_contexts": f"WITH {CONTEXTS} SELECT term, count(*) OVER (PARTITION BY term) AS notes, path, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '...' ELSE x END AS context FROM shown QUALIFY row_number() OVER (PARTITION BY term ORDER BY path) <= 4",
+    "contradiction_candidates": f"WITH {CONTEXTS} SELECT term, count(DISTINCT path) AS n FROM hits GROUP BY 1 HAVING n >= 2 ORDER BY n DESC, term LIMIT 8",
+    "private_paths": """WITH p AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'd' || doc_id || '/' END || ['.aws/credentials', 'x.aws/config', 'a.gnupg/k.txt', '.SSH/known', 'my Password.md', 'plain.md', 'id_rsa', 'token/plain.md'][doc_id % 8 + 1] AS path FROM documents) SELECT path FROM p WHERE doc_id % 8 IN (0, 3, 4, 6)""",
     "chunk_windows": f"WITH {DOCS}, c AS (SELECT doc_id, length(content) AS n, CASE WHEN length(content) <= 3000 THEN 1 ELSE 1 + CAST(ceil((length(content) - 3000) / 2700.0) AS INTEGER) END AS k FROM docs) SELECT doc_id, CAST(k AS INTEGER) AS n_chunks, CAST(least(n, 3000) AS INTEGER) AS first_len, CAST(n - (k - 1) * 2700 AS INTEGER) AS last_len FROM c",
     "token_stats": f"WITH {DOCS}, t AS (SELECT doc_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS x FROM docs) SELECT doc_id, CAST(len(x) AS INTEGER) AS n_tokens, CAST(len(list_distinct(x)) AS INTEGER) AS n_distinct FROM t",
     "bm25_corpus_stats": f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
@@ -143,11 +170,11 @@ SQL: dict[str, str] = {
       taken AS (SELECT DISTINCT term FROM q, nation WHERE lower(n_name) = lower(term) OR (length(n_name) > 2 AND length(term) > 2 AND (contains(lower(n_name), lower(term)) OR contains(lower(term), lower(n_name))) AND greatest(length(n_name), length(term)) / least(length(n_name), length(term)) <= 2))
       SELECT term, count FROM q WHERE term NOT IN (SELECT term FROM taken) ORDER BY 2 DESC, 1 LIMIT 20""",
     "stale_years": "SELECT 'o' || o_orderkey AS path, CAST(year(o_orderdate) AS INTEGER) AS year, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ' is open.' AS context FROM orders WHERE year(o_orderdate) BETWEEN 2000 AND 2024",
-    "secret_scan": "WITH f AS (SELECT 'd' || doc_id AS path, coalesce(text, '') AS c FROM documents UNION ALL SELECT 'p' || page_id, coalesce(html, '') FROM pages) " + " UNION ALL ".join(f"SELECT path, '{k}' AS kind FROM f WHERE regexp_matches(c, '{p}')" for k, p in _SECRETS.items()),
+    "secret_scan": "WITH f AS (SELECT 'd' || doc_id AS path, coalesce(text, '') AS c FROM documents UNION ALL SELECT 'p' || page_id, coalesce(html, '') FROM pages) " + " UNION ALL ".join(f"SELECT path, '{k}' AS kind FROM f WHERE regexp_matches(c, '{p}')" for k, p in CONTENT_PATTERNS.items()),
     "page_links": rf"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS target FROM pages), t AS (SELECT page_id, target, {_TARGET} AS t FROM h),
       x AS (SELECT *, lower(regexp_extract(regexp_replace(t, '/+$', ''), '[^/](\.[^./]+)$', 1)) AS ext FROM t)
       SELECT page_id, count(*) AS n, min(target) AS first_target FROM x WHERE t <> '' AND NOT contains(t, '@') AND NOT starts_with(lower(t), 'www.') AND NOT regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.-]*:')
-      AND CASE WHEN ext <> '' THEN ext IN ('.pdf', '.pptx', '.png', '.jpg', '.jpeg', '.gif', '.doc', '.docx', '.xlsx', '.csv', '.html', '.mp4', '.zip', '.py', '.md') WHEN regexp_matches(t, '^[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(/.*)?$') THEN false ELSE contains(t, '/') END GROUP BY 1""",
+      AND CASE WHEN ext <> '' THEN ext IN ({', '.join(map(repr, LINK_SUFFIXES))}) WHEN regexp_matches(t, '^[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(/.*)?$') THEN false ELSE contains(t, '/') END GROUP BY 1""",
     "repo_profile": """WITH f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'office' WHEN doc_id % 50 = 1 THEN 'legacy' ELSE 'md' END AS k FROM documents), c AS (SELECT count(*) FILTER (k = 'md') AS notes, count(*) FILTER (k = 'office') AS office, count(*) FILTER (k = 'legacy') AS legacy FROM f)
       SELECT notes, office, legacy, CAST(0 AS BIGINT) AS hosts, round(10 / notes, 6) AS orphan_ratio, CAST(CASE WHEN notes <= 500 THEN 5 ELSE 10 END AS INTEGER) AS inbox_threshold, CAST(CASE WHEN notes < 100 THEN 10 WHEN notes <= 500 THEN 20 ELSE 40 END AS INTEGER) AS orphan_threshold, CAST(CASE WHEN notes < 100 THEN 2 ELSE 3 END AS INTEGER) AS sparse_threshold,
       array_to_string(list_filter([CASE WHEN notes + office < 10 THEN 'tiny' END, CASE WHEN office > notes THEN 'office-heavy' END, CASE WHEN legacy > 0 THEN 'legacy-office' END, CASE WHEN 10 / notes > 0.3 THEN 'many-orphans' END], lambda x: x IS NOT NULL), ',') AS hints FROM c""",
