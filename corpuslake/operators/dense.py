@@ -32,6 +32,8 @@ def mean_vectors(vectors: DataFrame, group: str = "path") -> DataFrame:
     return sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
+#: Blocks that a block meets in one task.
+PARTNERS = 64
 #: Centres of the cells that vectors are put into, at most.
 CENTRES = 1024
 
@@ -63,9 +65,8 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
     Vectors go to the nearest of a bounded number of centres (about one for each two
     blocks, spread out over the vectors of least hash, eight times as many). A cell has an angle that covers it, so two cells
     whose centres are further apart than both angles and the angle of ``least`` hold no
-    related pair. Cells are packed in blocks, one row each; the other pairs of blocks,
-    each once, meet in a task that multiplies them and sends the best of every row for
-    both sides. Zero vectors have cells of their own and are similar to nothing (0). Null vectors take no part; all
+    related pair. Cells are packed in blocks, one row each; a block meets those of the
+    cells near it, PARTNERS of them in a task, which keeps the best of every row. Zero vectors have cells of their own and are similar to nothing (0). Null vectors take no part; all
     others must be of one length. ``count`` is called with "pairs" and "met".
     """
     spark = vectors.sparkSession
@@ -97,44 +98,59 @@ def related(vectors: DataFrame, key: str = "path", top: int = 8, least: float =
     near = np.cos(np.clip(apart - reach[:, None] - reach[None, :], 0.0, np.pi)) >= least - 1e-5
     near[ids == -1] = near[:, ids == -1] = least < 1e-5
     np.fill_diagonal(near, True)
-    i, j = np.nonzero(np.triu(near))
+    i, j = np.nonzero(near)
+    parts = np.array([r.parts for r in cells], np.int64)
+    blocks = int(parts.sum())
     if count is not None:
-        blocks = sum(r.parts for r in cells)
-        parts = np.array([r.parts for r in cells], np.int64)
-        met = int((parts[i] * parts[j])[i != j].sum() + (parts[i] * (parts[i] + 1) // 2)[i == j].sum())
-        count("pairs", blocks * (blocks + 1) // 2)
-        count("met", met)
+        count("pairs", blocks * blocks)
+        count("met", int((parts[i] * parts[j]).sum()))
     pairs = spark.createDataFrame(pd.DataFrame({"cell": ids[i].astype(np.int32), "other": ids[j].astype(np.int32)}), "cell int, other int")
-    left = packed.select("cell", "part", F.col("keys").alias("ka"), F.col("data").alias("va"))
-    right = packed.select(F.col("cell").alias("other"), F.col("part").alias("with"), F.col("keys").alias("kb"), F.col("data").alias("vb"))
-    meeting = left.join(F.broadcast(pairs), "cell").join(right, "other").where((F.col("cell") < F.col("other")) | (F.col("part") <= F.col("with")))
-
-    def best(ka, kb, sim):
-        """The best ``top`` of each row, ties at the edge included."""
-        keep = sim >= max(least - 1e-6, -2)
-        if sim.shape[1] > top:
-            edge = np.partition(sim, sim.shape[1] - top, axis=1)[:, sim.shape[1] - top]
-            keep &= sim >= edge[:, None] - 1e-6
-        x, y = np.nonzero(keep)
-        return ka[x], kb[y], sim[x, y]
+    # a block meets at most about PARTNERS others in one task, one after the other
+    chunks = -(-blocks // PARTNERS) or 1
+    hands = packed.select("cell", "part").join(F.broadcast(pairs), "cell")
+    others = packed.select(F.col("cell").alias("other"), F.pmod(F.xxhash64("cell", "part"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(1).alias("turn"), "keys", "data")
+    own = packed.select("cell", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(0).alias("turn"), "keys", "data")
+    meeting = own.unionByName(hands.join(others, "other").select("cell", "part", "chunk", "turn", "keys", "data"))
+    group = ["cell", "part", "chunk"]
+
+    def best(a, b, sim):
+        """The best ``top`` of each row number in a, ties by b."""
+        order = np.lexsort((np.unique(b, return_inverse=True)[1], -np.round(sim, 6), a))
+        a, b, sim = a[order], b[order], sim[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < top
+        return a[keep], b[keep], sim[keep]
 
     def meet(batches):
+        at, mine, x, found, types = None, None, None, None, None
+
+        def done():
+            return pa.record_batch([pa.array(mine[found[0]], types), pa.array(found[1], types), pa.array(found[2])], names=["a", "b", "similarity"])
+
         for b in batches:
+            types = b.column(4).type.value_type
             for row in range(b.num_rows):
                 one = b.slice(row, 1)
-                ka, kb = (np.asarray(one.column(x)[0].values.to_numpy(zero_copy_only=False)) for x in (0, 2))
-                va, vb = (np.stack([np.frombuffer(v) for v in one.column(x)[0].values.to_pylist()]) for x in (1, 3))
-                sim = va @ vb.T
-                same = one.column(4)[0].as_py()
-                if same:
-                    sim[ka[:, None] == kb[None, :]] = -np.inf
-                found = [best(ka, kb, sim)]
-                if not same:
-                    found.append(best(kb, ka, sim.T))
-                for x, y, s in found:
-                    yield pa.record_batch([pa.array(x, b.column(0).type.value_type), pa.array(y, b.column(0).type.value_type), pa.array(s)], names=["a", "b", "similarity"])
-
-    itself = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("with"))
-    found = meeting.select("ka", "va", "kb", "vb", itself.alias("same")).mapInArrow(tidy(meet), f"a {kind}, b {kind}, similarity double")
+                keys = np.asarray(one.column(4)[0].values.to_numpy(zero_copy_only=False))
+                y = np.stack([np.frombuffer(v) for v in one.column(5)[0].values.to_pylist()])
+                if one.column(3)[0].as_py() == 0:
+                    if at is not None and len(found[0]):
+                        yield done()
+                    at, mine, x = row, keys, y
+                    found = np.zeros(0, np.int64), keys[:0], np.zeros(0)
+                    continue
+                sim = x @ y.T
+                _, same, other = np.intersect1d(mine, keys, return_indices=True)
+                sim[same, other] = -np.inf
+                keep = sim >= max(least - 1e-6, -2)
+                if sim.shape[1] > top:  # with ties at the edge
+                    edge = np.partition(sim, sim.shape[1] - top, axis=1)[:, sim.shape[1] - top]
+                    keep &= sim >= edge[:, None] - 1e-6
+                r, c = np.nonzero(keep)
+                found = best(np.append(found[0], r), np.append(found[1], keys[c]), np.append(found[2], sim[r, c]))
+        if at is not None and len(found[0]):
+            yield done()
+
+    placed = meeting.repartition(*group).sortWithinPartitions(*group, "turn").select(*group, "turn", "keys", "data")
+    found = placed.mapInArrow(tidy(meet), f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 6)), "b")
     return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & (F.round("similarity", 6) >= least)).drop("rank")
