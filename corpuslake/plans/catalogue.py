@@ -18,7 +18,10 @@ from corpuslake.functions import paths as P
 from corpuslake.functions import text as X
 from corpuslake.functions import vectors as V
 from corpuslake.operators import bm25, dense, graph, lifecycle, lint, policy, ranking, report
+from corpuslake.session import scratch
 from corpuslake.sources.notes import chunk_table
+from corpuslake.sources.tables import Store
+from corpuslake.streaming.notes_stream import keep_states
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -429,6 +432,23 @@ def workflow_frequency(spark, sf):
     return f.select("path", "frequency", F.date_format("last_used", "yyyy-MM-dd").alias("last_day"))
 
 
+@query
+def note_states(spark, sf):
+    """The states of users' events, as a stream leaves them in a store."""
+
+    def make() -> DataFrame:
+        place = scratch(spark, "events")  # a stream reads a folder; all that lies there is one micro-batch, and timers make another
+        e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("content_hash"))
+        e.write.parquet(place)
+        rows = spark.readStream.schema(e.schema).parquet(place)
+        store = Store(spark, scratch(spark, "states"))
+        keep_states(rows, store, scratch(spark, "stream"), "1 hour", 7).awaitTermination()
+        return store.read("note_states")
+
+    rows = kept(spark, sf, "states", make)
+    return rows.select("path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "content_hash", "status", "woken")
+
+
 @query
 def lifecycle_channels(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")

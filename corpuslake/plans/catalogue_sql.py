@@ -158,6 +158,10 @@ SQL: dict[str, str] = {
     "confidence_mix": f"WITH {SIM} SELECT confidence, count(*) AS n, round_even(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM sedges GROUP BY 1",
     "trend_append": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
     "workflow_frequency": "SELECT 'u' || user_id AS path, round_even(least(count(*) FILTER (ts > TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 30 DAY) / 30.0, 1.0), 3) AS frequency, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events WHERE ts <= TIMESTAMP '2024-01-25 12:00:00' GROUP BY 1",
+    "note_states": """WITH e AS (SELECT 'u' || user_id AS path, ts, event_type AS h FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      l AS (SELECT path, max(ts) AS ts FROM e GROUP BY 1), b AS (SELECT e.path, max(e.ts) AS ts FROM e JOIN l USING (path) WHERE e.ts < l.ts GROUP BY 1)
+      SELECT path, strftime(l.ts, '%Y-%m-%d %H:%M:%S') AS ts, (SELECT max(h) FROM e WHERE e.path = l.path AND e.ts = l.ts) AS content_hash,
+        CASE WHEN l.ts + INTERVAL 7 DAY < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR THEN 'dormant' ELSE 'active' END AS status, coalesce(l.ts > b.ts + INTERVAL 7 DAY, false) AS woken FROM l LEFT JOIN b USING (path)""",
     "lifecycle_channels": """WITH m AS (SELECT doc_id AS i, 'm' || doc_id AS path, CASE doc_id % 4 WHEN 0 THEN 'workflow' WHEN 1 THEN 'feedback' WHEN 2 THEN 'project' ELSE 'reference' END AS type,
       CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 10) / 100 END AS f, (doc_id * 37) % 500 AS used, CASE WHEN doc_id % 3 = 0 THEN 'dormant' ELSE 'active' END AS live, CASE WHEN doc_id % 7 <> 0 THEN (doc_id * 53) % 500 END AS conf, doc_id % 6 AS cc,
       CASE WHEN doc_id % 2 = 0 AND doc_id % 8 = 2 THEN 'complete' ELSE 'active' END AS status, (doc_id * 11) % 200 AS comp FROM documents)
