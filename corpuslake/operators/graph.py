@@ -194,34 +194,79 @@ def neighbors(edges: DataFrame, start: str, max_hops: int = 2, types: tuple[str,
     return e.join(near.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("path"), F.col("type").alias("edge_type"), "weight", (F.col("hop") + 1).alias("hop")).orderBy("hop", F.desc("weight"), "path")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 64) -> list[dict[str, str]]:
+#: Hops that one job takes of the walk along a path that is found.
+HOPS = 8
+
+
+class _Reach:
+    """Distances from one end: levels of (node, prev, type, hop), as far as they have been asked for."""
+
+    def __init__(self, both: DataFrame, start: str):
+        first = both.sparkSession.createDataFrame([(start, None, "start", 0)], "node string, prev string, type string, hop int")
+        self.both, self.levels, self.size, self.ended = both, [first], 1, False
+
+    @property
+    def hops(self) -> int:
+        return len(self.levels) - 1
+
+    def grow(self) -> DataFrame:
+        """One level more; its nodes."""
+        last, hop = self.levels[-1], len(self.levels)
+        # a neighbour of the last level is in it, in the one before, or new
+        near = last.select("node").unionByName(self.levels[-2].select("node")) if hop > 1 else last.select("node")
+        at = self.both.join(last.select(F.col("node").alias("src")), "src")
+        found = at.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("o", "src", "type")).alias("p")).join(near, "node", "left_anti")
+        new = cut_lineage(found.select("node", F.col("p.src").alias("prev"), F.col("p.type").alias("type"), F.lit(hop).alias("hop")))
+        self.size = new.count()
+        if self.size:
+            self.levels.append(new)
+        else:
+            self.ended = True
+        return new
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[dict[str, str]]:
     """Nodes from source to target over edges in either direction, each with the type of the edge that leads to it; empty if there is none.
 
-    Ties go to the smallest (order, src): ``edge_ord`` is the edges' order if they have one.
+    The search goes on from the end whose last level is smaller until both have met;
+    there is no limit of hops. A node's predecessor is the one
+    of the smallest (order, src): ``edge_ord`` is the edges' order if they have one.
     """
     if source == target:
         return [{"path": source, "edge_type": "self"}]
-    spark = edges.sparkSession
     order = F.col("edge_ord") if "edge_ord" in edges.columns else F.xxhash64("src", "dst", "type")
-    e = edges.select("src", "dst", "type", order.alias("o"))
+    e = edges.where("src <> dst").select("src", "dst", "type", order.alias("o"))
     both = cut_lineage(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "o")))
-    seen = spark.createDataFrame([(source, None, "start", 0)], "node string, prev string, edge_type string, hop int")
-    for hop in range(1, max_hops + 1):
-        last = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("src"))
-        new = cut_lineage(both.join(last, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("o", "src", "type")).alias("p")).join(seen, "node", "left_anti").select("node", F.col("p.src").alias("prev"), F.col("p.type").alias("edge_type"), F.lit(hop).alias("hop")))
-        if new.isEmpty():
+    ahead, back = _Reach(both, source), _Reach(both, target)
+    length = None
+    while length is None:
+        side, other = (ahead, back) if (ahead.size <= back.size and not ahead.ended) or back.ended else (back, ahead)
+        if side.ended:
             return []
-        seen = seen.unionByName(new)
-        if not new.where(F.col("node") == target).isEmpty():
-            break
-    else:
-        return []
+        new = side.grow()
+        # the first level that meets the other side meets its last one
+        if not side.ended and not new.join(other.levels[-1].select("node"), "node", "left_semi").isEmpty():
+            length = ahead.hops + back.hops
+    # where both halves meet, and from there only nodes that lie on a shortest path
+    middle = min(ahead.hops, length)
+    steps = ahead.levels[1 : middle + 1]
+    layer = ahead.levels[middle].join(back.levels[length - middle].select("node"), "node", "left_semi") if length > middle else ahead.levels[middle]
+    for hop in range(middle + 1, length + 1):
+        at = both.join(layer.select(F.col("node").alias("src")), "src").join(back.levels[length - hop].select(F.col("node").alias("dst")), "dst", "left_semi")
+        layer = at.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("o", "src", "type")).alias("p")).select("node", F.col("p.src").alias("prev"), F.col("p.type").alias("type"), F.lit(hop).alias("hop"))
+        if hop % HOPS == 0:
+            layer = cut_lineage(layer)
+        steps.append(layer)
     out, at = [], target
-    for _ in range(hop + 1):  # one row for each step back
-        r = seen.where(F.col("node") == at).first()
-        out.append({"path": at, "edge_type": r.edge_type})
-        at = r.prev
-    return out[::-1]
+    while steps:
+        here, steps = steps[-HOPS:][::-1], steps[:-HOPS]
+        walk = here[0].where(F.col("node") == at).select(F.col("prev").alias("at"), F.array(F.struct("node", "type")).alias("seen"))
+        for x in here[1:]:
+            walk = walk.join(x, F.col("at") == F.col("node")).select(F.col("prev").alias("at"), F.concat("seen", F.array(F.struct("node", "type"))).alias("seen"))
+        row = walk.first()
+        out += [{"path": x.node, "edge_type": x.type} for x in row.seen]
+        at = row.at
+    return [{"path": source, "edge_type": "start"}, *out[::-1]]
 
 
 # ------------------------------------------------------------ communities

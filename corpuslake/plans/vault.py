@@ -128,3 +128,12 @@ def vault_backlinks(spark, sf):
     target = resolved(spark, sf).where("raw = 'readme'").agg(F.min("target")).first()[0] or ""
     found = graph.link_backlinks(resolved(spark, sf), target)
     return found.select("source", "link_type", "raw")
+
+
+@query
+def vault_path(spark, sf):
+    """The shortest path between two notes, step by step, over links of both syntaxes."""
+    ends = {r.doc_id: r.path for r in vault(spark, sf).where("doc_id in (1, 158)").select("doc_id", "path").collect()}
+    edges = graph.link_edges(resolved(spark, sf)).withColumn("type", F.col("link_syntax")).withColumn("edge_ord", F.concat_ws("|", "src", "dst", "type"))
+    found = graph.shortest_path(edges, ends[1], ends[158])
+    return spark.createDataFrame([(i, x["path"], x["edge_type"]) for i, x in enumerate(found)], "step int, path string, edge_type string")

@@ -38,4 +38,10 @@ SQL: dict[str, str] = {
     "vault_orphans": f"""WITH {VAULT}, named AS (SELECT DISTINCT regexp_replace(regexp_replace(split_part(raw, '#', 1), '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS name FROM links)
       SELECT 'stem' AS by, path FROM v WHERE name NOT IN (SELECT name FROM named) UNION ALL SELECT 'graph', path FROM v WHERE path NOT IN (SELECT dst FROM edges)""",
     "vault_backlinks": f"WITH {VAULT} SELECT DISTINCT path AS source, syntax AS link_type, raw FROM links WHERE target = (SELECT min(target) FROM links WHERE raw = 'readme')",
+    "vault_path": f"""WITH RECURSIVE {VAULT}, und AS (SELECT src AS a, dst AS b, link_syntax AS t, src || '|' || dst || '|' || link_syntax AS o FROM edges UNION ALL SELECT dst, src, link_syntax, src || '|' || dst || '|' || link_syntax FROM edges),
+      walk(node, hop) AS (SELECT path, 0 FROM v WHERE i = 1 UNION SELECT b, hop + 1 FROM walk JOIN und ON a = node WHERE hop < 12),
+      dist AS (SELECT node, min(hop) AS d FROM walk GROUP BY 1),
+      pred AS (SELECT x.b AS node, q.d, arg_min(x.a, x.o || chr(0) || x.a) AS prev, arg_min(x.t, x.o || chr(0) || x.a) AS t FROM und x JOIN dist p ON p.node = x.a JOIN dist q ON q.node = x.b WHERE q.d = p.d + 1 GROUP BY 1, 2),
+      way(node, d, t, prev) AS (SELECT node, d, t, prev FROM pred WHERE node = (SELECT path FROM v WHERE i = 158) UNION ALL SELECT p.node, p.d, p.t, p.prev FROM way JOIN pred p ON p.node = way.prev)
+      SELECT CAST(d AS INTEGER) AS step, node AS path, t AS edge_type FROM way UNION ALL SELECT 0, path, 'start' FROM v WHERE i = 1 AND (SELECT count(*) FROM way) > 0""",
 }
