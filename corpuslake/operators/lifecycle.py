@@ -23,11 +23,12 @@ def rename_plan(old: DataFrame, new: DataFrame, renames: DataFrame | None = None
     only one of both its sides. renames: (old, new), or (seq, old, new) of a history.
     """
     if similar is not None:
-        exact = rename_plan(old, new, renames)
+        exact = cut_lineage(rename_plan(old, new, renames))
         lost = exact.where("action = 'archive'").select(F.col("old_path").alias("path"))
         taken = exact.where("action = 'rename'").select(F.col("new_path").alias("path"))
-        came = new.select("path", "content").join(old.select("path"), "path", "left_anti").join(taken, "path", "left_anti")
-        found = cut_lineage(similar_renames(old.select("path", "content").join(lost, "path", "left_semi"), came, similar))
+        signed = lambda df: df.select("path", signature(F.coalesce("content", F.lit(""))).alias("sig"))
+        came = signed(new).join(old.select("path"), "path", "left_anti").join(taken, "path", "left_anti")
+        found = similar_renames(signed(old).join(lost, "path", "left_semi"), came, similar)
         changed = found.select(F.lit("rename").alias("action"), F.col("old").alias("old_path"), F.col("new").alias("new_path"))
         return exact.join(changed.select("old_path"), "old_path", "left_anti").select("action", "old_path", "new_path").unionByName(changed)
     if renames is not None and "seq" in renames.columns:
@@ -63,7 +64,7 @@ def signature(content: Column) -> Column:
 
 
 def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) -> DataFrame:
-    """missing, added (path, content) -> (old, new, similarity): paths whose contents are alike, though not equal; each is the other's most similar one.
+    """missing, added (path, content or its sig) -> (old, new, similarity): paths whose contents are alike, though not equal; each is the other's most similar one.
 
     Similarity is the number of shared signature hashes over the larger number of
     both. Ties go to the smaller path. Files that share their whole signature with
@@ -71,10 +72,11 @@ def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) ->
     Hashes are ordered by how many files hold them and only those that a pair of
     ``least`` cannot do without are joined, so a passage that all files share joins nothing.
     """
-    sides = missing.select(F.lit(0).alias("side"), "path", "content").unionByName(added.select(F.lit(1).alias("side"), "path", "content"))
-    signed = sides.select("side", "path", signature(F.coalesce("content", F.lit(""))).alias("sig")).where(F.size("sig") > 0)
+    sig = lambda df: F.col("sig") if "sig" in df.columns else signature(F.coalesce("content", F.lit(""))).alias("sig")
+    sides = missing.select(F.lit(0).alias("side"), "path", sig(missing)).unionByName(added.select(F.lit(1).alias("side"), "path", sig(added)))
+    signed = cut_lineage(sides.where(F.size("sig") > 0))
     alone = signed.groupBy("side", F.sha2(F.array_join(F.array_sort("sig"), ""), 256)).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n = 1").select("side", "path")
-    files = cut_lineage(signed.join(alone, ["side", "path"]))
+    files = signed.join(alone, ["side", "path"])
     rows = files.select("side", "path", F.size("sig").alias("n"), F.explode("sig").alias("h"))
     held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
     ranked = rows.join(held, "h").groupBy("side", "path", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "h"))), lambda x: x["h"]).alias("sig"))
@@ -86,7 +88,7 @@ def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) ->
     shared = F.size(F.array_intersect("sig_old", "sig_new")) / F.greatest(F.size("sig_old"), F.size("sig_new"))
     scored = cut_lineage(pairs.join(side(0, "old"), "old").join(side(1, "new"), "new").select("old", "new", shared.alias("similarity")).where(F.col("similarity") >= least))
     best = lambda of, other: scored.groupBy(of).agg(F.min(F.struct((-F.col("similarity")).alias("s"), other)).alias("b")).select(of, F.col(f"b.{other}").alias(other))
-    return scored.join(best("old", "new"), ["old", "new"], "left_semi").join(best("new", "old"), ["old", "new"], "left_semi")
+    return cut_lineage(scored.join(best("old", "new"), ["old", "new"], "left_semi").join(best("new", "old"), ["old", "new"], "left_semi"))
 
 
 def close_renames(renames: DataFrame) -> DataFrame:
