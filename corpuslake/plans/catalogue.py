@@ -18,7 +18,7 @@ from corpuslake.functions import paths as P
 from corpuslake.functions import text as X
 from corpuslake.functions import vectors as V
 from corpuslake.operators import bm25, dense, graph, lifecycle, lint, policy, ranking, report
-from corpuslake.session import scratch
+from corpuslake.session import cut_lineage, scratch
 from corpuslake.sources.notes import chunk_table
 from corpuslake.sources.tables import Store
 from corpuslake.streaming.notes_stream import keep_states
@@ -75,8 +75,13 @@ def linked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    n = linked(spark, sf)
-    return graph.resolve(graph.links(n), n.select("path", "basename", "aliases"))
+    """Links with their targets, stored once."""
+
+    def make() -> DataFrame:
+        n = linked(spark, sf)
+        return cut_lineage(graph.resolve(graph.links(n), n.select("path", "basename", "aliases")))
+
+    return kept(spark, sf, "links", make)
 
 
 def link_edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,6 @@ from corpuslake.session import cut_lineage
 from corpuslake.sources import notes as N
 
 CONFIG = EngineConfig()
-I = F.col("doc_id")
 
 
 def _group(i: Column) -> Column:
@@ -31,25 +30,25 @@ def _link(when: Column, *parts) -> Column:
 def vault(spark: SparkSession, sf: str) -> DataFrame:
     """Described notes."""
     d = table(spark, sf, "documents")
-    n = d.count()
-    group = F.concat("source", F.lit("/g"), _group(I).cast("string"))
+    n, i = d.count(), F.col("doc_id")
+    group = F.concat("source", F.lit("/g"), _group(i).cast("string"))
     path = (
-        F.when(I % 21 == 3, F.concat(group, F.lit("/x"), I, F.lit("/readme.md")))
-        .when(I % 23 == 4, F.concat("source", F.lit("/archive/d"), I, F.lit(".md")))
-        .otherwise(F.concat(group, F.lit("/d"), I, F.lit(".md")))
+        F.when(i % 21 == 3, F.concat(group, F.lit("/x"), i, F.lit("/readme.md")))
+        .when(i % 23 == 4, F.concat("source", F.lit("/archive/d"), i, F.lit(".md")))
+        .otherwise(F.concat(group, F.lit("/d"), i, F.lit(".md")))
     )
-    front = F.when(I % 9 == 1, F.concat(F.lit("---\naliases: [al"), I, F.lit(", other"), I, F.lit("]\n---\n"))).otherwise("")
+    front = F.when(i % 9 == 1, F.concat(F.lit("---\naliases: [al"), i, F.lit(", other"), i, F.lit("]\n---\n"))).otherwise("")
     tail = F.concat(
         F.lit("\n"),
-        _link(I % 2 == 0, "[[d", (I * 7 + 3) % n, "]]"),
-        _link(I % 3 == 0, "[[readme|start]]"),
-        _link(I % 4 == 1, "[[al", (I * 5 + 1) % n, "#part]]"),
-        _link(I % 5 == 2, "[see (it)](../g", _group(I + 20), "/d", (I + 20) % n, ".md#top)"),
-        _link(I % 6 == 1, "[[docs/guide", I % 4, "]]"),
-        _link(I % 7 == 2, "[[pic", I % 6, ".png]]"),
-        _link(I % 8 == 3, "[gone](gone%20by/g", I, ".md)"),
-        _link(I % 10 == 4, "[[link]]"),
-        _link(I % 11 == 6, "[x]([y/z", I, ".md)"),
+        _link(i % 2 == 0, "[[d", (i * 7 + 3) % n, "]]"),
+        _link(i % 3 == 0, "[[readme|start]]"),
+        _link(i % 4 == 1, "[[al", (i * 5 + 1) % n, "#part]]"),
+        _link(i % 5 == 2, "[see (it)](../g", _group(i + 20), "/d", (i + 20) % n, ".md#top)"),
+        _link(i % 6 == 1, "[[docs/guide", i % 4, "]]"),
+        _link(i % 7 == 2, "[[pic", i % 6, ".png]]"),
+        _link(i % 8 == 3, "[gone](gone%20by/g", i, ".md)"),
+        _link(i % 10 == 4, "[[link]]"),
+        _link(i % 11 == 6, "[x]([y/z", i, ".md)"),
         F.lit("\n```\n[[fenced]] [f](a/fenced.md)\n```\n`[[coded]]`"),
     )
     return N.describe(d.select("doc_id", path.alias("path"), F.concat(front, F.coalesce("text", F.lit("")), tail).alias("content")), CONFIG)

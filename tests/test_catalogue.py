@@ -8,7 +8,7 @@ import __spark_entry__
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["token_stats", "bm25_search_scoped", "dense_decay", "related_notes", "rename_diff", "incremental_plan", "wikilink_edges", "broken_links", "community_stats", "lifecycle_channels", "stale_years", "page_links"]
+SOME = ["token_stats", "bm25_search_scoped", "dense_decay", "related_notes", "rename_diff", "incremental_plan", "wikilink_edges", "broken_links", "community_stats", "lifecycle_channels", "stale_years", "page_links", "bm25_vocabulary", "rename_changed", "term_contexts", "note_states", "vault_links", "vault_broken"]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
