@@ -98,12 +98,14 @@ def similar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sem_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.semantic_edges(similar(spark, sf).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), round6("similarity").alias("similarity")), SEM)
+    """Stored, as a query reads them several times and all pairs stand behind them."""
+    edges = graph.semantic_edges(similar(spark, sf).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), round6("similarity").alias("similarity")), SEM)
+    return cut_lineage(edges)
 
 
-def sem_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def sem_nodes(spark: SparkSession, sf: str, edges: DataFrame) -> DataFrame:
     v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.concat(F.lit("c"), "label").alias("category"), F.lit(False).alias("archived"), "label")
-    return graph.nodes(v, sem_edges(spark, sf), SEM)
+    return graph.nodes(v, edges, SEM)
 
 
 _kept: dict[tuple[str, str, str], object] = {}
@@ -343,7 +345,7 @@ def orphans_graph(spark, sf):
 def node_degrees(spark, sf):
     n = graph.nodes(notes(spark, sf).select("path"), link_edges(spark, sf), CONFIG)
     return n.select("path", "category", "archived", "in_degree_wiki", "out_degree_wiki", "in_degree_semantic", "out_degree_semantic").unionByName(
-        sem_nodes(spark, sf).select("path", "category", "archived", "in_degree_wiki", "out_degree_wiki", "in_degree_semantic", "out_degree_semantic")
+        sem_nodes(spark, sf, sem_edges(spark, sf)).select("path", "category", "archived", "in_degree_wiki", "out_degree_wiki", "in_degree_semantic", "out_degree_semantic")
     )
 
 
@@ -354,13 +356,15 @@ def god_nodes(spark, sf):
 
 @query
 def cross_category(spark, sf):
-    return graph.cross_category(sem_edges(spark, sf), sem_nodes(spark, sf)).select("src", "dst", "src_cat", "dst_cat", round6("weight").alias("weight"))
+    edges = sem_edges(spark, sf)
+    return graph.cross_category(edges, sem_nodes(spark, sf, edges)).select("src", "dst", "src_cat", "dst_cat", round6("weight").alias("weight"))
 
 
 def _community_stats(spark, sf):
-    nodes = sem_nodes(spark, sf)
+    edges = sem_edges(spark, sf)
+    nodes = sem_nodes(spark, sf, edges)
     members = nodes.select("path", F.col("label").alias("community_id"), F.concat(F.lit("k"), (F.col("path").cast("long") % 3).cast("string")).alias("category"), (F.col("in_degree_wiki") + F.col("in_degree_semantic")).alias("total_in"))
-    return graph.community_stats(members, sem_edges(spark, sf))
+    return graph.community_stats(members, edges)
 
 
 @query
@@ -389,7 +393,8 @@ def shortest_path_len(spark, sf):
 
 @query
 def louvain_communities(spark, sf):
-    return graph.communities(sem_nodes(spark, sf).select("path", "archived"), sem_edges(spark, sf))
+    edges = sem_edges(spark, sf)
+    return graph.communities(sem_nodes(spark, sf, edges).select("path", "archived"), edges)
 
 
 # ------------------------------------------------------------ reports, lifecycle, lint
