@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 import xxhash
 
-from corpuslake.llm import bytewords, decontaminate, line_dedup, simhash, simhash_sets, substring_dedup
+from corpuslake.llm import bytewords, decontaminate, line_dedup, simhash, simhash_sets, substring_dedup, workspace
 
 SPACED, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -403,3 +404,27 @@ def test_line_bands_match_brute_force(spark):
         seen.add(find(x) if x.strip() else None)
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), bands=LINE_BANDS).collect()
     assert sorted((x.doc_id, x.n_removed) for x in got) == want
+
+
+def test_tiles_read_parked_blocks_so_that_lines_travel_once(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    rows = [(7, i % 3, i, 5, 6, 8, f"line {i}") for i in range(60)] + [(9, 0, 99, 1, 2, 3, "é\U0001f600")]
+    df = spark.createDataFrame(rows, "home long, own long, h long, info long, one long, two long, text string").repartition(2, "home", "own").sortWithinPartitions("home", "own")
+    found = df.mapInArrow(lambda x: line_dedup._blocks(x, place), "home long, own long, file int, at long, size long").collect()
+    assert {(r.home, r.own) for r in found} == {(7, 0), (7, 1), (7, 2), (9, 0)}
+    read = line_dedup._reader(place)
+    for r in found:
+        got = read(r.file, r.at, r.size)
+        assert sorted(zip(got["h"].to_pylist(), got["text"])) == sorted((x[2], x[6]) for x in rows if x[:2] == (r.home, r.own))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = held()
+    df = spark.range(1000).repartition(3, "id")
+    out = workspace.materialise(df, f"file://{tmp_path}/t")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and out.count() == 1000
