@@ -11,8 +11,9 @@ unseen document falls. It lies as far below the lowest hundredth of that half as
 hundredth lies below its median, so the clean ones pass and what is left out is far
 from any of them.
 
-A text is split once for the counts and once for the weights. Nothing but ids,
-counts and one row for each bucket leaves a task.
+A text is split once for the counts and once for the weights; those of trusted
+documents are counted once more, for which texts are joined with the trusted ids
+(the only time that they may be shuffled: Spark broadcasts ids where they are few).
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 BUCKETS = 1 << 16
-#: Trusted documents that are used at most, those of least hash; half of them are counted, half set the limit.
-MOST_TRUSTED = 50_000
 
 
 def _once(value: Column, function) -> Column:
@@ -70,16 +69,16 @@ def _covered(windows: Column) -> Column:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """(doc_id, half): at most MOST_TRUSTED documents of quality 1 that no row calls toxic, by hash; half 0 is counted, half 1 sets the limit."""
+    """(doc_id, half): all documents of quality 1 that no row calls toxic; half 0 is counted, half 1 sets the limit, by hash."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = good.where("quality = 1 and toxic = 0").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(MOST_TRUSTED)
-    return chosen.select("doc_id", F.shiftright("h", 1).bitwiseAND(1).cast("int").alias("half"))
+    return good.where("quality = 1 and toxic = 0").select("doc_id", F.shiftright(h, 1).bitwiseAND(1).cast("int").alias("half"))
 
 
-def _gains(rows: DataFrame) -> Column | None:
-    """An array constant of each bucket's gain, from rows (raw, bucket, half 0 among them); null without trusted features."""
-    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("half") == 0).alias("t")).collect()  # a row for each bucket
+def _gains(raw: DataFrame, trusted: DataFrame) -> Column | None:
+    """An array constant of each bucket's gain, from the buckets of all features and of trusted ones; null without trusted features."""
+    rows = raw.groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.lit(0).cast("long").alias("t")).unionByName(trusted.groupBy("bucket").agg(F.lit(0).cast("long").alias("s"), F.count(F.lit(1)).alias("t")))
+    counted = rows.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect()  # a row for each bucket
     s_all, t_all = sum(r.s for r in counted), sum(r.t for r in counted)
     if not t_all:
         return None
@@ -100,8 +99,8 @@ def scan(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted documents), limit, kept: not base_failed and a weight of the limit or more.
 
     Words are runs of anything but white space; windows are equal if their 64-bit
-    hashes are. Trusted documents are those of labels with quality 1 and toxic 0, at
-    most MOST_TRUSTED of them. Without trusted ones, or without any in the half that
+    hashes are. Trusted documents are those of labels with quality 1 and toxic 0, all
+    of them. Without trusted ones, or without any in the half that
     sets the limit, base rules alone decide. Null text is empty, a null doc_id is
     never trusted, rows that repeat a doc_id are judged each, other columns are
     ignored, no rows give no rows. Cost is linear in a text's length, but for texts
@@ -109,31 +108,34 @@ def scan(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     place = new_workspace(docs.sparkSession, "quality")
     trusted = materialise(_trusted(labels), f"{place}/trusted")
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(trusted), "doc_id", "left")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
 
-    singles = texts.select("half", hashed(words(F.col("t"))).alias("h"))
-    features = singles.select("half", F.explode(F.concat("h", _chained(F.col("h"), 1))).alias("f"))
-    gains = _gains(features.select("half", _bucket(F.col("f")).alias("bucket")))
+    def features(rows: DataFrame) -> DataFrame:
+        singles = rows.select(hashed(words(F.col("t"))).alias("h"))
+        return singles.select(F.explode(F.concat("h", _chained(F.col("h"), 1))).alias("f")).select(_bucket(F.col("f")).alias("bucket"))
+
+    gains = _gains(features(texts), features(texts.join(trusted.where("half = 0").select("doc_id"), "doc_id", "left_semi")))
 
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     one = texts.select(
-        "doc_id", "half", words(F.col("t")).alias("w"), F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "doc_id", words(F.col("t")).alias("w"), F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _once(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    two = one.select("doc_id", "half", "n_symbols", "n_dup_lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), hashed(F.col("w")).alias("h"))
+    two = one.select("doc_id", "n_symbols", "n_dup_lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), hashed(F.col("w")).alias("h"))
     three = two.withColumn("pairs", _chained(F.col("h"), 1))
     four = three.withColumn("windows", _chained(_chained(F.col("pairs"), 2), 4))
     n_repeat = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).otherwise(F.lit(0).cast("long"))
     n_features = F.size("h") + F.size("pairs")
     total = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.get(gains, _bucket(h)))
     weight = F.lit(None).cast("long") if gains is None else F.when(n_features > 0, F.floor((total(F.col("h")) + total(F.col("pairs"))) / n_features))
-    scored = four.select("doc_id", "half", "n_words", "word_chars", "n_symbols", "n_dup_lines", n_repeat.alias("n_repeat_words"), n_features.cast("long").alias("n_features"), weight.alias("weight"))
+    scored = four.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", n_repeat.alias("n_repeat_words"), n_features.cast("long").alias("n_features"), weight.alias("weight"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed), f"{place}/scored")
 
-    # at most half of MOST_TRUSTED documents, but for repeated doc_ids
-    unseen = scored.where("half = 1 and not base_failed").agg(F.percentile("weight", 0.5).alias("middle"), F.percentile("weight", 0.01).alias("low")).first()
+    # percentiles are exact: weights are whole numbers and counted by value
+    judges = scored.where("not base_failed").select("doc_id", "weight").join(trusted.where("half = 1").select("doc_id"), "doc_id", "left_semi")
+    unseen = judges.agg(F.percentile("weight", 0.5).alias("middle"), F.percentile("weight", 0.01).alias("low")).first()
     limit = None if unseen.low is None else math.floor(2 * unseen.low - unseen.middle)
     passing = F.lit(True) if limit is None else F.coalesce(F.col("weight") >= limit, F.lit(True))
-    return scored.drop("half").withColumn("limit", F.lit(limit).cast("long")).withColumn("kept", ~F.col("base_failed") & passing)
+    return scored.withColumn("limit", F.lit(limit).cast("long")).withColumn("kept", ~F.col("base_failed") & passing)

@@ -158,3 +158,10 @@ def test_op13_equals_a_plain_one_and_keeps_clean_documents(spark):
     clean = {i for i, q, t in labels if q == 1 and t == 0}
     held = [r for r in got if r.doc_id in clean and not r.base_failed]
     assert sum(r.kept for r in held) >= 0.99 * len(held)
+
+
+def test_all_trusted_documents_count_however_many_labels_there_are(spark):
+    signed = lambda i: (xx(str(i).encode()) ^ 1 << 63) - (1 << 63)
+    late = sorted(range(60_000), key=signed)[-40:]
+    docs = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 30))) for i in late] + [(-1, "x y z " * 20)]
+    check_quality(spark, docs, [(i, 1, 0) for i in range(60_000)])
