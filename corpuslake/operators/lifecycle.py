@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
 from corpuslake.functions import text as X
+from corpuslake.functions.arrow import tidy
 from corpuslake.session import cut_lineage
 
 #: Days and rates of the memory channels.
@@ -54,13 +57,19 @@ SHINGLE, WINDOW = 5, 4
 
 
 def signature(content: Column) -> Column:
-    """Winnowed shingles of a text's words, distinct: the least hash of each window of WINDOW neighbours; a short text has one, an empty one none."""
+    """Winnowed shingles of a text's words, distinct: the least hash of each window of WINDOW neighbours, as a long; a short text has one, an empty one none."""
     words = F.filter(F.split(content, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     places = lambda n, width: F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
     hashed = lambda w: F.transform(places(F.size(w), SHINGLE), lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, SHINGLE), " ")), 1, 16))
     least = lambda h: F.array_distinct(F.transform(places(F.size(h), WINDOW), lambda i: F.array_min(F.slice(h, i, WINDOW))))
-    return once(words, lambda w: F.when(F.size(w) > 0, once(hashed(w), least)).otherwise(F.array().cast("array<string>")))
+    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    longs = lambda h: F.transform(h, lambda x: F.shiftleft(half(x, 1), 32).bitwiseOR(half(x, 9)))
+    return once(words, lambda w: F.when(F.size(w) > 0, longs(once(hashed(w), least))).otherwise(F.array().cast("array<long>")))
+
+
+#: Hashes that are ordered by how many files hold them, the most held ones; all others come before them.
+COMMON = 100_000
 
 
 def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) -> DataFrame:
@@ -69,24 +78,42 @@ def similar_renames(missing: DataFrame, added: DataFrame, least: float = 0.8) ->
     Similarity is the number of shared signature hashes over the larger number of
     both. Ties go to the smaller path. Files that share their whole signature with
     another one of their side are ambiguous and match nothing; nor do empty files.
-    Hashes are ordered by how many files hold them and only those that a pair of
-    ``least`` cannot do without are joined, so a passage that all files share joins nothing.
+    Hashes are ordered by themselves, the COMMON most held ones behind all others, and only those that a pair of
+    ``least`` cannot do without are joined, so a passage that all files share joins nothing. Any order gives
+    the same pairs. Files go by numbers, whole signatures only to the pairs that are to be scored.
     """
     sig = lambda df: F.col("sig") if "sig" in df.columns else signature(F.coalesce("content", F.lit(""))).alias("sig")
     sides = missing.select(F.lit(0).alias("side"), "path", sig(missing)).unionByName(added.select(F.lit(1).alias("side"), "path", sig(added)))
-    signed = cut_lineage(sides.where(F.size("sig") > 0))
-    alone = signed.groupBy("side", F.sha2(F.array_join(F.array_sort("sig"), ""), 256)).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n = 1").select("side", "path")
-    files = signed.join(alone, ["side", "path"])
-    rows = files.select("side", "path", F.size("sig").alias("n"), F.explode("sig").alias("h"))
-    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
-    ranked = rows.join(held, "h").groupBy("side", "path", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "h"))), lambda x: x["h"]).alias("sig"))
-    prefix = ranked.select("side", "path", "n", F.explode(F.slice("sig", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("h"))
+    # the filter comes after the cut, as below it signatures would be made for it once more
+    signed = cut_lineage(sides.withColumn("id", F.monotonically_increasing_id())).where(F.size("sig") > 0)
+    whole = F.sha2(F.array_join(F.transform(F.array_sort("sig"), lambda x: x.cast("string")), ","), 256)
+    alone = signed.groupBy("side", whole.alias("whole")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
+    files = cut_lineage(signed.join(alone, "id", "left_semi"))
+    held = files.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 2")
+    common = held.orderBy(F.desc("held"), "h").limit(COMMON).collect()[::-1]
+    by_hash = np.sort(np.array([r.h for r in common], np.int64))
+    turn = np.zeros(len(common) + 1, np.int64)  # of each of them by its number of holders, rare ones first
+    turn[np.searchsorted(by_hash, np.array([r.h for r in common], np.int64))] = np.arange(1, len(common) + 1)
+
+    def prefixes(batches):
+        for b in batches:
+            n = np.diff(b.column(2).offsets.to_numpy())
+            h = b.column(2).flatten().to_numpy()
+            row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            at = np.searchsorted(by_hash, h)
+            known = at < len(by_hash)
+            known[known] = by_hash[at[known]] == h[known]
+            order = np.lexsort((h, np.where(known, turn[at], 0), row))
+            keep = order[np.arange(len(h)) - first[row] < (n - np.ceil(n * least) + 1)[row]]
+            yield pa.record_batch([b.column(0).take(row[keep]), b.column(1).take(row[keep]), pa.array(n[row[keep]].astype(np.int32)), pa.array(h[keep])], names=["side", "id", "n", "h"])
+
+    prefix = files.select("side", "id", "sig").mapInArrow(tidy(prefixes), "side int, id long, n int, h long")
     near = (F.col("n") >= F.ceil(F.col("m") * least)) & (F.col("m") >= F.ceil(F.col("n") * least))
-    right = prefix.where("side = 1").select(F.col("path").alias("new"), F.col("n").alias("m"), "h")
-    pairs = prefix.where("side = 0").select(F.col("path").alias("old"), "n", "h").join(right, "h").where(near).select("old", "new").distinct()
-    side = lambda i, name: files.where(F.col("side") == i).select(F.col("path").alias(name), F.col("sig").alias(f"sig_{name}"))
+    right = prefix.where("side = 1").select(F.col("id").alias("new_id"), F.col("n").alias("m"), "h")
+    pairs = cut_lineage(prefix.where("side = 0").select(F.col("id").alias("old_id"), "n", "h").join(right, "h").where(near).select("old_id", "new_id").distinct())
+    side = lambda i, name: files.where(F.col("side") == i).select(F.col("id").alias(f"{name}_id"), F.col("path").alias(name), F.col("sig").alias(f"sig_{name}"))
     shared = F.size(F.array_intersect("sig_old", "sig_new")) / F.greatest(F.size("sig_old"), F.size("sig_new"))
-    scored = cut_lineage(pairs.join(side(0, "old"), "old").join(side(1, "new"), "new").select("old", "new", shared.alias("similarity")).where(F.col("similarity") >= least))
+    scored = cut_lineage(pairs.join(side(0, "old"), "old_id").join(side(1, "new"), "new_id").select("old", "new", shared.alias("similarity")).where(F.col("similarity") >= least))
     best = lambda of, other: scored.groupBy(of).agg(F.min(F.struct((-F.col("similarity")).alias("s"), other)).alias("b")).select(of, F.col(f"b.{other}").alias(other))
     return cut_lineage(scored.join(best("old", "new"), ["old", "new"], "left_semi").join(best("new", "old"), ["old", "new"], "left_semi"))
 

@@ -276,3 +276,22 @@ def test_note_stream_upserts(spark, tmp_path):
         keep_current(note_stream(spark, str(root)), store, str(tmp_path / "cp"), lambda d: seen.append({r.action for r in d.collect()})).awaitTermination(120)
         (root / "b.md").write_text("two")
     assert {r.content for r in store.read("notes", SCHEMA).collect()} == {"one", "two"} and seen == [{"add"}, {"add"}]
+
+
+def test_similar_renames_are_the_same_however_many_hashes_count_as_common(spark, monkeypatch):
+    g = random.Random(5)
+    word = lambda: f"w{g.randrange(4000)}"
+    shared = " ".join(word() for _ in range(40))
+    old = [(f"o{i:02}", f"{shared} " + " ".join(word() for _ in range(40 + 5 * i))) for i in range(24)]
+    new = [(f"n{p[1:]}", t if i % 5 == 0 else t + " " + " ".join(word() for _ in range(3 * (i % 4)))) for i, (p, t) in enumerate(old)]
+    frames = [spark.createDataFrame(x, "path string, content string").select("path", lifecycle.signature(F.col("content")).alias("sig")).cache() for x in (old, new + [("blank", " "), ("none", None)])]
+    assert dict(frames[0].dtypes)["sig"] == "array<bigint>"  # eight bytes for a hash, not its text
+    left, right = ({r.path: set(r.sig or ()) for r in x.collect()} for x in frames)
+    alike = {(a, b): len(x & y) / max(len(x), len(y)) for a, x in left.items() for b, y in right.items() if x & y}
+    alike = {k: v for k, v in alike.items() if v >= 0.8}
+    top = lambda i, k: min((-v, *p) for p, v in alike.items() if p[i] == k)[1:]
+    want = {p for p in alike if top(0, p[0]) == p and top(1, p[1]) == p}
+    assert len(want) > 10
+    for most in (0, 3, 100_000):
+        monkeypatch.setattr(lifecycle, "COMMON", most)
+        assert {(r.old, r.new) for r in lifecycle.similar_renames(*frames).collect()} == want
