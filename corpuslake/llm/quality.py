@@ -12,8 +12,11 @@ hundredth lies below its median, so the clean ones pass and what is left out is
 from any of them.
 
 A text is split once for the counts and once for the weights; those of trusted
-documents are counted once more, for which texts are joined with the trusted ids
-(the only time that they may be shuffled: Spark broadcasts ids where they are few).
+documents are counted once more, for which texts are joined with the trusted ids.
+A bitmap of a fixed size, in which each trusted id sets the bit of its hash, goes
+through first: what it leaves is shuffled, nearly only trusted texts while the ids are
+few beside ``BITS``, never more than all. The join is by shuffle at every size, so
+that disk grows with the input.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from corpuslake.llm.workspace import materialise, new_workspace
 
@@ -30,6 +34,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 BUCKETS = 1 << 16
+#: Bits of the map of trusted ids, 64 to a word.
+BITS = 1 << 23
 
 
 def _once(value: Column, function) -> Column:
@@ -71,8 +77,34 @@ def _covered(windows: Column) -> Column:
 def _trusted(labels: DataFrame) -> DataFrame:
     """(doc_id, half): all documents of quality 1 that no row calls toxic; half 0 is counted, half 1 sets the limit, by hash."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    return good.where("quality = 1 and toxic = 0").select("doc_id", F.shiftright(h, 1).bitwiseAND(1).cast("int").alias("half"))
+    return good.where("quality = 1 and toxic = 0").select("doc_id", _half(_hash_of_id()).alias("half"))
+
+
+def _hash_of_id() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"))
+
+
+def _half(h: Column) -> Column:
+    return F.shiftright(h, 1).bitwiseAND(1).cast("int")
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash in the map, from other bits than those of its half."""
+    return F.shiftright(h, 16).bitwiseAND(BITS // 64 - 1).cast("int"), F.shiftright(h, 8).bitwiseAND(63).cast("int")
+
+
+def _likely(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may have an id of ``counted`` (of half 0): all that have, and few others."""
+    kinds = {type(x.schema["doc_id"].dataType) for x in (texts, counted)}
+    if len(kinds) > 1 or not issubclass(*kinds, (IntegralType, StringType)):
+        return texts  # ids that are equal may be spelt in two ways
+    word, bit = _place(_hash_of_id())
+    bits = counted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    found = [0] * (BITS // 64)
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # a row for each word
+        found[r.word] = r.bits
+    stored = F.split(F.lit(",".join(map(str, found))), ",").cast("array<long>")
+    return texts.where((_half(_hash_of_id()) == 0) & (F.getbit(F.get(stored, word), bit) == 1))
 
 
 def _gains(raw: DataFrame, trusted: DataFrame) -> Column | None:
@@ -115,7 +147,8 @@ def scan(docs: DataFrame, labels: DataFrame) -> DataFrame:
         singles = rows.select(hashed(words(F.col("t"))).alias("h"))
         return singles.select(F.explode(F.concat("h", _chained(F.col("h"), 1))).alias("f")).select(_bucket(F.col("f")).alias("bucket"))
 
-    gains = _gains(features(texts), features(texts.join(trusted.where("half = 0").select("doc_id"), "doc_id", "left_semi")))
+    counted = trusted.where("half = 0").select("doc_id")
+    gains = _gains(features(texts), features(_likely(texts, counted).join(counted.hint("merge"), "doc_id", "left_semi")))
 
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     one = texts.select(

@@ -165,3 +165,16 @@ def test_all_trusted_documents_count_however_many_labels_there_are(spark):
     late = sorted(range(60_000), key=signed)[-40:]
     docs = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 30))) for i in late] + [(-1, "x y z " * 20)]
     check_quality(spark, docs, [(i, 1, 0) for i in range(60_000)])
+
+
+def test_only_texts_that_may_be_trusted_are_shuffled_for_the_counts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20_000)] + [(None, "no id")], "doc_id long, t string")
+    ids = spark.range(0, 20_000, 5).withColumnRenamed("id", "doc_id")
+    ids = ids.where(quality._half(quality._hash_of_id()) == 0)
+    wanted = {r.doc_id for r in ids.collect()}
+    left = [r.doc_id for r in quality._likely(docs, ids).collect()]
+    assert wanted <= set(left) and len(left) < 1.05 * len(wanted)
+    none = quality._likely(docs, ids.limit(0))
+    assert none.count() == 0
+    names = ids.select(quality.F.format_string("%06d", "doc_id").alias("doc_id"))  # 000005 and 5 are one number
+    assert quality._likely(docs, names).count() == docs.count()
