@@ -3,21 +3,21 @@
 For the two pre-tokenizer layouts that are recognised, no token spans a plain
 space, so a text's ids are those of its space-separated pieces in a row; nor
 does one span the border of a run of Latin letters and a run of plain ASCII
-others, so a piece's ids are those of its runs. Each distinct run is encoded by
-the library once while the memo holds it. Pieces and texts that the argument
-does not cover, texts that hold an added token's spelling, and any other
-tokenizer, are encoded whole.
-
-Pieces are looked up a slice of a column at a time, in sorted arrays of their
-64-bit hashes; a memo holds a few million of them, so that two of its pieces
-share a hash with a chance below one in a million.
+others, so a piece's ids are those of its runs. Pieces are cut into such units
+a slice of a column at a time, on its bytes. Each distinct unit is encoded by
+the library once while the memo holds it. Pieces that the argument does not
+cover are units as they are; texts that it does not cover, texts that hold an
+added token's spelling, and any other tokenizer, are encoded whole.
+
+Units are looked up in sorted arrays of their 64-bit hashes; a memo holds a few
+million of them, so that two of its units share a hash with a chance below one
+in a million.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,32 @@ import pyarrow as pa
 from corpuslake.llm import bytewords as bw
 from corpuslake.llm.lean import at_end
 
-#: Entries that the memos of one worker may hold, ids of its pieces, and characters of the longest runs that stay.
-MOST_PIECES, MOST_IDS, MOST_RUNS, MOST_CHARS = 1_000_000, 4_000_000, 250_000, 64
+#: Entries that the memo of one worker may hold, and ids of its units.
+MOST_UNITS, MOST_IDS = 1_000_000, 4_000_000
 #: UTF-8 bytes that are looked up at once.
 SLICE = 1 << 20
 U = np.uint64
-_HEAD = U(0xA0761D6478BD642F)
-_RUNS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_SPACES = re.compile(r"\s\s")
+_LEAD = U(0xA0761D6478BD642F)
+#: Classes of bytes: others of ASCII, Latin letters, and those that may join their neighbours (an apostrophe, a second white space, all else outside ASCII).
+_OTHER, _LETTER, _JOINS = 0, 1, 2
+_CLASS = np.full(256, _JOINS, np.uint8)
+_CLASS[:0x80] = _OTHER
+_CLASS[0x27] = _JOINS
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_WHITE = np.zeros(256, bool)  # without the plain space, which no piece holds
+_WHITE[0x09:0x0E] = _WHITE[0x1C:0x20] = True
+
+
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte; both bytes of a letter from \u00c0 to \u00ff are letters."""
+    out = _CLASS[raw]
+    at = np.flatnonzero(raw[:-1] == 0xC3)
+    at = at[(raw[at + 1] != 0x97) & (raw[at + 1] != 0xB7)]
+    out[at] = out[at + 1] = _LETTER
+    white = _WHITE[raw]
+    out[1:][white[1:] & white[:-1]] = _JOINS
+    return out
+
 
 
 class Encoder:
@@ -50,7 +67,6 @@ class Encoder:
         self.added = [x["content"].encode() for x in added if x["content"]]
         # an added token that is looked for in normalised text has no one spelling in bytes
         self.mode = "whole" if layout.get("normalizer") and any(x.get("normalized") for x in added) else self._mode(layout)
-        self.runs: dict[str, bytes | None] = {}  # None: a run that does not stand for itself
         self.forget()
 
     @staticmethod
@@ -63,58 +79,19 @@ class Encoder:
             return "dropped"  # white space reaches no token
         return "whole"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    @staticmethod
-    def _alone(run: str) -> bool:
-        """Whether a run means the same anywhere: letters do, others unless an apostrophe, two white spaces or a character outside ASCII could join them to their neighbours."""
-        bare = run.removeprefix(" ")
-        return bool(_LETTERS.fullmatch(bare)) or (bare.isascii() and "'" not in bare and not _SPACES.search(bare))
-
-    def _pieces(self, pieces: list[str], lead: str) -> list[bytes]:
-        """The ids of non-empty pieces, each behind ``lead``."""
-        runs, find, single = self.runs, _RUNS.findall, _LETTERS.fullmatch
-        if len(runs) > MOST_RUNS:
-            runs.clear()
-        plans, new = [], set()
-        for p in pieces:
-            if single(p):
-                parts = [lead + p]
-            else:
-                parts = find(p)
-                parts[0] = lead + parts[0]
-            plans.append(parts)
-            new.update(parts)
-        new = [x for x in new.difference(runs)]
-        once = [x for x in new if self._alone(x)]
-        runs.update(dict.fromkeys(new))
-        runs.update(zip(once, self._ids(once)))
-        out, whole = [], []
-        look = runs.__getitem__
-        for i, parts in enumerate(plans):
-            try:
-                out.append(b"".join(map(look, parts)))
-            except TypeError:  # a run that does not stand for itself
-                whole.append(i)
-                out.append(b"")
-        for i, ids in zip(whole, self._ids([lead + pieces[i] for i in whole])):
-            out[i] = ids
-        for x in new:
-            if len(x) > MOST_CHARS:
-                del runs[x]
-        return out
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
 
     def forget(self) -> None:
-        """Empty the memos."""
-        self.runs.clear()
+        """Empty the memo."""
         self.keys, self.at, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _store(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Append ids to the pool: where each begins and how many."""
-        count = np.array([len(x) // 4 for x in bodies], np.int64)
-        flat = np.frombuffer(b"".join(bodies), np.uint32)
+    def _store(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Append ids to the pool: where each text's begin and how many."""
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -122,19 +99,12 @@ class Encoder:
         self.used += len(flat)
         return at, count
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], heads: np.ndarray) -> None:
-        """Take new pieces into the memo; a count of -1 says that a piece's text must be encoded whole."""
-        bodies: list[bytes] = [b""] * len(pieces)
-        odd = np.zeros(len(pieces), bool)
-        leading = self.mode == "leading"
-        for head in (True, False):
-            rows = [i for i in np.flatnonzero(heads == head).tolist() if pieces[i]]
-            for i, ids in zip(rows, self._pieces([pieces[i] for i in rows], " " if leading and not head else "")):
-                bodies[i] = ids
-        if leading:  # a space belongs to the piece behind it only if neither side of it is white space
-            odd[:] = [not x or x[-1].isspace() or (not head and x[0].isspace()) for x, head in zip(pieces, heads.tolist())]
-        at, count = self._store(bodies)
-        count[odd] = -1
+    def _learn(self, keys: np.ndarray, units: list[str], lead: np.ndarray) -> None:
+        """Take new units into the memo; a count of -1 says that a unit's text must be encoded whole."""
+        at, count = self._store(*self._ids([" " + x if space and x else x for x, space in zip(units, lead.tolist())]))
+        if self.mode == "leading":  # white space outside ASCII; the rest shows in the bytes
+            odd = [i for i, x in enumerate(units) if not x.isascii() and (x[-1].isspace() or (lead[i] and x[0].isspace()))]
+            count[odd] = -1
         keys, at, count = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.count, count)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.count = keys[order], at[order], count[order]
@@ -144,7 +114,7 @@ class Encoder:
         data, off = bw.buffers(texts)
         for lo, hi in bw.slices(off, SLICE):
             raw, edges = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            if len(self.keys) > MOST_PIECES or self.used > MOST_IDS:
+            if len(self.keys) > MOST_UNITS or self.used > MOST_IDS:
                 self.forget()
             yield lo, hi, *self._slice(raw, edges, end_id)
 
@@ -152,37 +122,34 @@ class Encoder:
         docs = len(edges) - 1
         used = self.used
         if self.mode == "whole":
-            at, count = self._store(self._ids([raw[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]))
+            at, count = self._store(*self._ids([raw[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]))
             first = np.arange(docs + 1)
         else:
-            spaces = np.flatnonzero(raw == 32)
-            first = np.arange(docs + 1) + np.searchsorted(spaces, edges)
-            start, end = np.sort(np.concatenate([edges[:-1], spaces + 1])), np.sort(np.concatenate([spaces, edges[1:]]))
-            head = np.zeros(len(start), bool)
-            head[first[:-1]] = True
+            start, end, lead, first, odd = self._units(raw, edges)
             key = bw.span_hashes(raw, start, end)
             if self.mode == "leading":
-                key = np.where(head, bw.mix(key ^ _HEAD), key)
+                key = np.where(lead, bw.mix(key ^ _LEAD), key)
             unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
-            new = np.flatnonzero(self._find(unique)[1])
+            place, absent = self._find(unique)
+            new = np.flatnonzero(absent)
             if len(new):
                 rows = index[new]
                 flat = raw.tobytes()
-                self._learn(unique[new], [flat[a:b].decode() for a, b in zip(start[rows].tolist(), end[rows].tolist())], head[rows])
+                self._learn(unique[new], [flat[a:b].decode() for a, b in zip(start[rows].tolist(), end[rows].tolist())], lead[rows])
                 used = self.used
-            place, _ = self._find(unique)
+                place, _ = self._find(unique)
             at, count = self.at[place][inverse], self.count[place][inverse]
-            odd = self._special(raw, edges)
+            odd |= self._special(raw, edges)
             if self.mode == "leading":
-                odd |= np.add.reduceat(count < 0, first[:-1]) > 0 if docs else odd
+                odd |= np.add.reduceat(count < 0, first[:-1]) > 0
             odd &= edges[1:] > edges[:-1]
             count = np.maximum(count, 0)
             whole = np.flatnonzero(odd)
             if len(whole):
                 count[np.repeat(odd, np.diff(first))] = 0
-                at[first[whole]], count[first[whole]] = self._store(self._ids([raw[edges[d] : edges[d + 1]].tobytes().decode() for d in whole]))
+                at[first[whole]], count[first[whole]] = self._store(*self._ids([raw[edges[d] : edges[d + 1]].tobytes().decode() for d in whole]))
         if end_id is not None:
-            e, _ = self._store([array("I", [end_id]).tobytes()])
+            e, _ = self._store(np.array([end_id], np.uint32), np.ones(1, np.int64))
             at, count = np.insert(at, first[1:], e[0]), np.insert(count, first[1:], 1)
             first = first + np.arange(docs + 1)
         through = np.concatenate(([0], np.cumsum(count)))
@@ -190,6 +157,38 @@ class Encoder:
         self.used = used  # what was stored for whole texts and ends is not kept
         return ids, through[first]
 
+    def _units(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Units of texts: start, end, whether a space stands before one and belongs to it; each text's first unit (one more than texts), and whether it must be encoded whole."""
+        spaces = np.flatnonzero(raw == 32)
+        first = np.arange(len(edges)) + np.searchsorted(spaces, edges)
+        start, end = np.sort(np.concatenate([edges[:-1], spaces + 1])), np.sort(np.concatenate([spaces, edges[1:]]))
+        space = np.ones(len(start), bool)
+        space[first[:-1]] = False
+        odd = np.zeros(len(edges) - 1, bool)
+        if self.mode == "leading":  # a space belongs to the piece behind it only if neither side of it is white space
+            filled = np.flatnonzero(end > start)
+            strange = end == start
+            strange[filled] = _WHITE[raw[end[filled] - 1]] | (space[filled] & _WHITE[raw[start[filled]]])
+            odd = np.logical_or.reduceat(strange, first[:-1])
+        kind = _classes(raw)
+        joins = np.flatnonzero(kind == _JOINS)
+        whole = np.searchsorted(joins, end) > np.searchsorted(joins, start)
+        border = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        border = border[(raw[border] != 32) & (raw[border - 1] != 32)]
+        piece = np.searchsorted(start, border, "right") - 1
+        border = border[(border > start[piece]) & ~whole[piece]]
+        # a piece's units: its start and the borders within
+        at = np.arange(len(start)) + np.searchsorted(border, start)
+        n = len(start) + len(border)
+        inner = np.ones(n, bool)
+        inner[at] = False
+        unit, lead = np.empty(n, np.int64), np.zeros(n, bool)
+        unit[at], unit[inner] = start, border
+        lead[at] = space if self.mode == "leading" else False
+        stop = np.append(unit[1:], 0)
+        stop[np.append(at[1:], n) - 1] = end
+        return unit, stop, lead, np.append(at, n)[first], odd
+
     def _special(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The texts that hold an added token's spelling, which the library takes out of a text before it cuts it into pieces."""
         out, flat = np.zeros(len(edges) - 1, bool), raw.tobytes()

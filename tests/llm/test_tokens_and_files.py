@@ -32,6 +32,15 @@ def test_encoder_equals_the_library(name):
     assert got == reference(name, texts)
 
 
+@pytest.mark.parametrize("name", [WORD, "byte_bpe_50k.json"])
+def test_encoder_learns_runs_and_not_their_combinations(name):
+    words = [f"{a}{b}ing" for a in ("tal", "wal", "lÉ", "ço") for b in "klmnrst"]
+    texts = [" ".join(f"{w}{mark}{v}" for v in words for mark in (",", ".\n", "-12")) for w in words]
+    e = Encoder(queries.tokenizer_path(name))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == reference(name, texts)
+    assert len(e.keys) <= 2 * (len(words) + 3)  # of 2352 pieces
+
+
 def test_elias_fano_round_trip_and_space():
     r = np.random.default_rng(1)
     for values in ([], [5], [0, 0, 0], [-7, -7, 3, 10**12], np.sort(r.integers(0, 10**7, 5000)), np.arange(2000)):
