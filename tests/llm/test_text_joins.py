@@ -4,10 +4,12 @@ import random
 import re
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from corpuslake.llm import bytewords, decontaminate, line_dedup, simhash, simhash_sets, substring_dedup, workspace
+from corpuslake.llm import bytewords, decontaminate, exchange, line_dedup, simhash, simhash_sets, substring_dedup, workspace
 
 SPACED, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -428,3 +430,25 @@ def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
             break
         time.sleep(0.1)
     assert held() <= before and out.count() == 1000
+
+
+def test_every_place_of_a_band_lies_inside_its_lines_and_columns_travel_as_planes():
+    for least, edits in [(3, 1), (12, 1), (24, 2), (63, 31), (1240, 31)]:
+        texts = ["".join(chr(97 + (7 * i * i + i * n) % 26) for i in range(n)) for n in (least, least + 1, least + edits + 40)]
+        c = line_dedup.Chunk(pa.array([1, 2, 3], pa.int64()), texts, least)
+        keys, lines, roles = c.keys([(least, edits)], 0)
+        segment, off = line_dedup._places(edits)
+        size = least // (edits + 1)
+        plain = []
+        for i in range(3):
+            s, e = int(c.start[c.one[i]]), int(c.end[c.one[i]])
+            for k, d in zip(segment.tolist(), off.tolist()):
+                a = s + k * size + d if k < (edits + 2) // 2 else e + (k - edits - 1) * size + d
+                assert s <= a and a + size <= e
+                h = c.part(np.array([a]), np.array([a + size])) ^ line_dedup.bw.mix(np.array([least * 64 + k + 1], np.uint64))
+                plain.append((int(line_dedup.bw.mix(h)[0]), i, 2 if d else 3))
+        assert list(zip(keys.tolist(), lines.tolist(), roles.tolist())) == plain
+    for a in (np.arange(1000, dtype=np.int64) << 40, np.arange(5, dtype=np.uint32), np.zeros(1, np.uint8)):
+        planes = exchange._turned(a.view(np.uint8).reshape(len(a), a.itemsize))
+        assert planes.tobytes() == a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        assert exchange.parse(exchange.message(0, 1, 2, 3, [a]))[4][0].tolist() == a.tolist()
