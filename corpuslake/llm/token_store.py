@@ -135,7 +135,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> DataF
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, uri)
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         keys, lengths, parts, nameless = [], [], [], 0
         for b in batches:

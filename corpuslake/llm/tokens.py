@@ -5,7 +5,8 @@ space, so a text's ids are those of its space-separated pieces in a row; nor
 does one span the border of a run of Latin letters and a run of plain ASCII
 others, so a piece's ids are those of its runs. Pieces are cut into such units
 a slice of a column at a time, on its bytes. Each distinct unit is encoded by
-the library once while the memo holds it. Pieces that the argument does not
+the library once while the memo holds it; where the normalizer lower-cases, units
+are lower-cased first, so that words that differ in case are one. Pieces that the argument does not
 cover are units as they are; texts that it does not cover, texts that hold an
 added token's spelling, and any other tokenizer, are encoded whole.
 
@@ -67,6 +68,8 @@ class Encoder:
         self.added = [x["content"].encode() for x in added if x["content"]]
         # an added token that is looked for in normalised text has no one spelling in bytes
         self.mode = "whole" if layout.get("normalizer") and any(x.get("normalized") for x in added) else self._mode(layout)
+        self.lower = self.mode == "dropped" and self._lowers(layout)
+        self.job: str | None = None
         self.forget()
 
     @staticmethod
@@ -79,6 +82,12 @@ class Encoder:
             return "dropped"  # white space reaches no token
         return "whole"
 
+    @staticmethod
+    def _lowers(layout: dict) -> bool:
+        """Whether the normalizer lower-cases ASCII letters whatever stands around them, and does nothing else to ASCII but white space."""
+        steps = (layout.get("normalizer") or {}).get("normalizers", [])
+        return any(x["type"] == "Lowercase" for x in steps) and all(x["type"] != "Replace" or x["pattern"] == {"Regex": "\\s+"} for x in steps)
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts in a row, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -125,8 +134,8 @@ class Encoder:
             at, count = self._store(*self._ids([raw[a:b].tobytes().decode() for a, b in zip(edges[:-1], edges[1:])]))
             first = np.arange(docs + 1)
         else:
-            start, end, lead, first, odd = self._units(raw, edges)
-            key = bw.span_hashes(raw, start, end)
+            text, start, end, lead, first, odd = self._units(raw, edges)
+            key = bw.span_hashes(text, start, end)
             if self.mode == "leading":
                 key = np.where(lead, bw.mix(key ^ _LEAD), key)
             unique, index, inverse = np.unique(key, return_index=True, return_inverse=True)
@@ -134,7 +143,7 @@ class Encoder:
             new = np.flatnonzero(absent)
             if len(new):
                 rows = index[new]
-                flat = raw.tobytes()
+                flat = text.tobytes()
                 self._learn(unique[new], [flat[a:b].decode() for a, b in zip(start[rows].tolist(), end[rows].tolist())], lead[rows])
                 used = self.used
                 place, _ = self._find(unique)
@@ -158,7 +167,7 @@ class Encoder:
         return ids, through[first]
 
     def _units(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Units of texts: start, end, whether a space stands before one and belongs to it; each text's first unit (one more than texts), and whether it must be encoded whole."""
+        """The bytes that units are taken from, and units of texts: start, end, whether a space stands before one and belongs to it; each text's first unit (one more than texts), and whether it must be encoded whole."""
         spaces = np.flatnonzero(raw == 32)
         first = np.arange(len(edges)) + np.searchsorted(spaces, edges)
         start, end = np.sort(np.concatenate([edges[:-1], spaces + 1])), np.sort(np.concatenate([spaces, edges[1:]]))
@@ -187,7 +196,13 @@ class Encoder:
         lead[at] = space if self.mode == "leading" else False
         stop = np.append(unit[1:], 0)
         stop[np.append(at[1:], n) - 1] = end
-        return unit, stop, lead, np.append(at, n)[first], odd
+        text = raw
+        if self.lower:  # what joins its neighbours may change by its case (a mark that composes with one case alone)
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[start[whole]] += 1
+            step[end[whole]] -= 1
+            text = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, raw, bw.LOWER[raw])
+        return text, unit, stop, lead, np.append(at, n)[first], odd
 
     def _special(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The texts that hold an added token's spelling, which the library takes out of a text before it cuts it into pieces."""
@@ -223,15 +238,20 @@ _encoders: dict[str, Encoder] = {}
 @at_end
 def _forget_all() -> None:
     for x in _encoders.values():
-        x.forget()
+        if x.job is None:
+            x.forget()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
+def encoder(path: str, job: str | None = None) -> Encoder:
+    """One encoder for each file and worker process. Its memo goes when a task ends, or, for tasks that name the same ``job``, when another job's begins."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    found = _encoders[path]
+    if found.job != job:
+        found.forget()
+        found.job = job
+    return found

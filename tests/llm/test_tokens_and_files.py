@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.llm import packing, queries, token_store, warc
+from corpuslake.llm import packing, queries, token_store, tokens, warc
+from corpuslake.llm.lean import release
 from corpuslake.llm.tokens import Encoder
 from corpuslake.llm.workspace import filesystem, new_workspace
 
@@ -41,6 +42,27 @@ def test_encoder_learns_runs_and_not_their_combinations(name):
     assert len(e.keys) <= 2 * (len(words) + 3)  # of 2352 pieces
 
 
+def test_encoder_learns_words_that_differ_in_case_once():
+    words = [f"{a}{b}ing" for a in ("tal", "wal", "gaé") for b in "klmnrst"]
+    texts = [f"{w.capitalize()} {w} x{w}'S J\u030c{w} {w.upper() if w.isascii() else w}" for w in words]
+    e = Encoder(queries.tokenizer_path(WORD))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == reference(WORD, texts)
+    assert len(e.keys) <= 3 * len(words) + 2  # a word, and two pieces that an apostrophe and a mark keep as they are
+
+
+def test_encoder_keeps_its_memo_within_a_job_alone():
+    path = queries.tokenizer_path(WORD)
+
+    def task(job, text):
+        e = tokens.encoder(path, job)
+        known = len(e.keys)
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == reference(WORD, [text])[0]
+        release()
+        return known
+
+    assert [task("a", "one two"), task("a", "two three"), task("b", "one two"), task(None, "one"), task(None, "one")] == [0, 2, 0, 0, 0]
+
+
 def test_elias_fano_round_trip_and_space():
     r = np.random.default_rng(1)
     for values in ([], [5], [0, 0, 0], [-7, -7, 3, 10**12], np.sort(r.integers(0, 10**7, 5000)), np.arange(2000)):
