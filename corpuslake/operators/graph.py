@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpuslake.config import EngineConfig
 from corpuslake.functions import links as L
 from corpuslake.functions import paths as P
 from corpuslake.functions import text as X
-from corpuslake.session import cut_lineage
+from corpuslake.session import cut_lineage, remove, scratch
 
 EDGE = "src string, dst string, type string, weight double, count long, raw_target string, link_syntax string, confidence string, reason string"
 
@@ -272,40 +272,97 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> list[dict[str,
 # ------------------------------------------------------------ communities
 
 
-def _round(adjacent: DataFrame, state: DataFrame, twice: float, number: int) -> tuple[DataFrame, int, float]:
-    """One round of local moves: state, how many nodes moved, and their gain in modularity.
+#: Share of the nodes that may move in a round while many want to, and at most; where so many in 20 or fewer want to, crowds are not looked at.
+AWAKE, MOST_AWAKE, FEW = 0.5, 0.95, 20
+
+
+def _wishes(adjacent: DataFrame, state: DataFrame, twice: float, number: int, share: float) -> tuple[DataFrame, Observation]:
+    """(node, comm, k, to, gain, go) of every node, and figures of the state as it is: inner and squares give its modularity, want says how many nodes gain by a move, n how many there are.
 
     adjacent: src, dst, w in both directions; state: node, comm, k (weighted degree).
-    Every node looks for the neighbouring community of greatest gain; of those that
-    would move, the ones that gain more than all neighbours that would move too are
-    left, so neighbours never move at once. Many that are no neighbours may want the
-    same community, whose weight then grows: they are dealt to levels, each half as
-    full as the one before, and one moves if that still pays with all of its own and
-    the fuller ones' turn before it left out; the first of a community always does.
+    A node's wish is the neighbouring community of greatest gain. Edges are shuffled
+    twice, to the community of one end and to the other end; the rest is as large as nodes are.
+    """
+    now = state.join(state.groupBy("comm").agg(F.sum("k").alias("all")), "comm")
+    to = now.select(F.col("node").alias("dst"), F.col("comm").alias("c"), "all")
+    near = adjacent.join(to, "dst").select("src", "c", "w", "all").repartition("src").groupBy("src", "c").agg(F.sum("w").alias("w"), F.first("all").alias("all"))
+    own = now.select(F.col("node").alias("src"), F.col("comm").alias("own"), "k", F.col("all").alias("full"))
+    same = F.col("c") == F.col("own")
+    worth = F.col("w") - F.col("all") * F.col("k") / twice
+    best = own.join(near, "src", "left").groupBy("src").agg(
+        F.first("own").alias("comm"), F.first("k").alias("k"), F.first("full").alias("full"), F.coalesce(F.max(F.when(same, F.col("w"))), F.lit(0.0)).alias("inner"),
+        F.min(F.when(~same, F.struct((-F.round(worth, 9)).alias("m"), "c", worth.alias("worth")))).alias("x"),
+    )
+    gain = F.coalesce(F.col("x.worth") - F.col("inner") + (F.col("full") - F.col("k")) * F.col("k") / twice, F.lit(0.0))
+    awake = F.pmod(F.xxhash64("src", F.lit(number)), F.lit(1000)) < int(1000 * share)
+    rows = best.withColumn("gain", gain).withColumn("go", (F.col("gain") > 1e-9) & awake)
+    seen = Observation()
+    rows = rows.observe(seen, F.sum("inner").alias("inner"), F.sum(F.col("k") * F.col("full")).alias("squares"), F.count_if(F.col("gain") > 1e-9).alias("want"), F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("src").alias("node"), "comm", "k", F.col("x.c").alias("to"), "gain", "go"), seen
+
+
+def _admitted(wishes: DataFrame, twice: float, number: int) -> DataFrame:
+    """The next state, where many may want the same community, whose weight then grows.
+
+    They are dealt to levels, each half as full as the one before, and one moves if
+    that still pays with all of its own and the emptier ones before it; the first of a
+    community always does.
     """
-    where = state.select(F.col("node").alias("dst"), F.col("comm").alias("c"))
-    to = adjacent.join(where, "dst").groupBy("src", "c").agg(F.sum("w").alias("w"))
-    weight = state.groupBy(F.col("comm").alias("c")).agg(F.sum("k").alias("all"))
-    own = state.select(F.col("node").alias("src"), F.col("comm").alias("own"), "k")
-    here = own.select("src", F.col("own").alias("c"), F.lit(0.0).alias("w"))
-    choices = to.unionByName(here).groupBy("src", "c").agg(F.sum("w").alias("w")).join(own, "src").join(weight, "c")
-    worth = F.col("w") - (F.col("all") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
-    valued = choices.select("src", "c", "own", "k", worth.alias("worth"))
-    best = valued.groupBy("src").agg(F.min_by("c", F.struct((-F.round("worth", 9)).alias("m"), "c")).alias("to"), F.max("worth").alias("most"), F.max(F.when(F.col("c") == F.col("own"), F.col("worth"))).alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"))
-    want = cut_lineage(best.where((F.col("most") - F.col("stay") > 1e-9) & (F.col("to") != F.col("own"))).select(F.col("src").alias("node"), "to", (F.col("most") - F.col("stay")).alias("gain"), "k"))
-    side = lambda c: want.select(F.col("node").alias(c), F.struct(F.round("gain", 9).alias("g"), F.xxhash64("node").alias("h"), "node").alias(f"o_{c}"))
-    kept_back = adjacent.join(side("src"), "src").join(side("dst"), "dst").where("o_dst > o_src").select(F.col("src").alias("node")).distinct()
     # level i with a share of 2 ** -(i + 1), from the leading zeros of a hash; the emptiest go first
-    level = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("node", F.lit(number))), 64, "0"), "^0*", 0))
-    asking = cut_lineage(want.join(kept_back, "node", "left_anti").withColumn("level", level))
-    first = asking.groupBy("to").agg(F.max(F.struct(F.round("gain", 9).alias("g"), F.xxhash64("node").alias("h"), "node")).alias("x")).select(F.col("x.node").alias("node"), F.lit(True).alias("first"))
+    level = F.length(F.regexp_extract(F.lpad(F.bin(F.xxhash64("node", F.lit(number), F.lit("level"))), 64, "0"), "^0*", 0))
+    asking = wishes.where("go").select("node", "to", "gain", "k", level.alias("level"))
+    order = F.struct(F.round("gain", 9).alias("g"), F.xxhash64("node").alias("h"), "node")
     ahead = Window.partitionBy("to").orderBy(F.desc("level"))  # 65 levels at most
-    crowd = asking.groupBy("to", "level").agg(F.sum("k").alias("sum")).select("to", "level", F.sum("sum").over(ahead).alias("ahead"))
-    sure = asking.join(crowd, ["to", "level"]).join(first, "node", "left").withColumn("gain", F.col("gain") - F.when(F.col("first"), 0.0).otherwise((F.col("ahead") - F.col("k")) * F.col("k") / twice))
-    moves = sure.where("gain > 1e-9").select("node", "to", "gain")
-    new = cut_lineage(state.join(moves, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "k", F.coalesce("gain", F.lit(0.0)).alias("gain")))
-    moved = new.agg(F.count_if(F.col("gain") > 0).alias("n"), F.sum("gain").alias("gain")).first()
-    return new.drop("gain"), moved.n, (moved.gain or 0.0) * 2 / twice
+    crowd = asking.groupBy("to", "level").agg(F.sum("k").alias("sum"), F.max(order).alias("x"))
+    crowd = crowd.select("to", "level", F.sum("sum").over(ahead).alias("ahead"), F.max("x").over(Window.partitionBy("to"))["node"].alias("first"))
+    pays = (F.col("node") == F.col("first")) | (F.col("gain") - (F.col("ahead") - F.col("k")) * F.col("k") / twice > 1e-9)
+    moves = asking.join(crowd, ["to", "level"]).where(pays).select("node", F.col("to").alias("moved"))
+    return wishes.select("node", "comm", "k").join(moves, "node", "left").select("node", F.coalesce("moved", "comm").alias("comm"), "k")
+
+
+def _moved(adjacent: DataFrame, state: DataFrame, twice: float, least: float, number: int) -> DataFrame:
+    """``state`` after rounds of local moves, or itself if none is left that pays.
+
+    In a round a part of the nodes, drawn anew by hash, move at once; fewer than all, so
+    that neighbours seldom swap, and nearly all when few want to move. The next
+    round measures what that has brought; a round by which modularity falls is taken
+    back. It ends when two in a row gain less than ``least``.
+    """
+    spark = state.sparkSession
+    kept, best, still, share, crowded, made = state, None, 0, AWAKE, True, []
+
+    def only(*needed: DataFrame) -> None:
+        """Other tables of the rounds go."""
+        for df, where in [x for x in made if not any(x[0] is y for y in needed)]:
+            remove(spark, where)
+        made[:] = [x for x in made if any(x[0] is y for y in needed)]
+
+    while True:
+        number += 1
+        rows, seen = _wishes(adjacent, state, twice, number, share)
+        if crowded:
+            made.append((wishes := cut_lineage(rows, at := scratch(spark, "moves")), at))
+            new = _admitted(wishes, twice, number)
+        else:
+            new = rows.select("node", F.when(F.col("go"), F.col("to")).otherwise(F.col("comm")).alias("comm"), "k")
+        made.append((new := cut_lineage(new, at := scratch(spark, "moves")), at))
+        found = seen.get
+        quality, want, n = found["inner"] / twice - found["squares"] / twice**2, found["want"], found["n"]
+        fell = False
+        if best is None:
+            best = quality
+        elif state is not kept:
+            still = 0 if quality - best >= least else still + 1
+            fell = quality - best <= 1e-12
+            if not fell:
+                kept, best = state, quality
+        if still == 2 or (state is kept and not want):
+            only(kept)
+            return kept
+        share = AWAKE if fell else 1.0 if want == 1 else min(MOST_AWAKE, max(AWAKE, 1 - 3 * want / n))
+        crowded = want * FEW > n
+        state = kept if fell else new
+        only(state, kept)
 
 
 def modularity(pairs: DataFrame, labels: DataFrame) -> float:
@@ -323,21 +380,19 @@ def modularity(pairs: DataFrame, labels: DataFrame) -> float:
 def louvain(pairs: DataFrame, least: float = 1e-5) -> DataFrame:
     """pairs (a, b, w), each once -> (path, leader): communities of greatest modularity found by local moves, named by their smallest member.
 
-    Rounds of moves go on while a round gains ``least`` or more; then communities
+    Rounds of moves go on until two in a row gain less than ``least``; then communities
     become nodes, edges between them are added up, and it starts again until nothing
-    moves. Only the number of moves and their gain reach the driver.
+    moves. Only modularity and the number of nodes that want to move reach the driver.
     """
     adjacent = cut_lineage(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w")))
     state = cut_lineage(adjacent.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", F.col("node").alias("comm"), "k"))
     twice = state.agg(F.sum("k")).first()[0] or 0.0
     member = state.select(F.col("node").alias("path"), F.col("node").alias("leader"))
     for number in itertools.count(0, 1 << 20):
-        state, moved, gain = _round(adjacent, state, twice, number) if twice else (state, 0, 0.0)
-        if not moved:
+        before = state
+        state = _moved(adjacent, state, twice, least, number) if twice else state
+        if state is before:
             break
-        while moved and gain >= least:
-            number += 1
-            state, moved, gain = _round(adjacent, state, twice, number)
         names = state.groupBy("comm").agg(F.min("node").alias("name"))
         named = cut_lineage(state.join(names, "comm").select("node", "name", "k"))
         member = cut_lineage(member.join(named.select(F.col("node").alias("leader"), "name"), "leader").select("path", F.col("name").alias("leader")))

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslake.operators import dense, graph
 
@@ -98,6 +99,21 @@ def test_modularity_is_that_of_a_plain_louvain(spark, make):
         assert {r.path: r.leader for r in graph.louvain(df.repartition(7)).collect()} == labels
 
 
+def test_a_round_moves_many_nodes_at_once(spark):
+    r = random.Random(5)
+    near = {(min(a, b), max(a, b)) for a in range(300) for b in r.sample(range(300), 4) if a != b}
+    pairs = [(f"n{a:03}", f"n{b:03}", 1.0) for a, b in sorted(near)]
+    adjacent = spark.createDataFrame(pairs + [(b, a, w) for a, b, w in pairs], "src string, dst string, w double")
+    state = adjacent.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select("node", F.col("node").alias("comm"), "k")
+    rows, seen = graph._wishes(adjacent, state, 2.0 * len(pairs), 1, 0.5)
+    labels = {x.node: x.comm for x in graph._admitted(graph.cut_lineage(rows), 2.0 * len(pairs), 1).collect()}
+    alone = {x: x for x in labels}
+    assert seen.get["want"] == seen.get["n"] == len(labels) == 300
+    assert abs(seen.get["inner"] / 2 / len(pairs) - seen.get["squares"] / 4 / len(pairs) ** 2 - quality(pairs, alone)) < 1e-9
+    assert sum(a != b for a, b in labels.items()) > 60
+    assert quality(pairs, labels) > quality(pairs, alone) + 0.05
+
+
 def test_no_edges(spark):
     df = spark.createDataFrame([], "a string, b string, w double")
     assert graph.louvain(df).count() == 0 and graph.modularity(df, graph.louvain(df)) == 0.0
