@@ -452,3 +452,38 @@ def test_every_place_of_a_band_lies_inside_its_lines_and_columns_travel_as_plane
         planes = exchange._turned(a.view(np.uint8).reshape(len(a), a.itemsize))
         assert planes.tobytes() == a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
         assert exchange.parse(exchange.message(0, 1, 2, 3, [a]))[4][0].tolist() == a.tolist()
+
+
+def test_distances_take_a_limit_for_each_pair_and_skip_what_both_lines_begin_and_end_with(monkeypatch):
+    r = random.Random(9)
+    a, b = ["", "", "aa", "same", "x" * 70], ["", "b", "a", "same", "x" * 64]
+    for _ in range(120):
+        x = [r.choice("ab é\U0001d11e\ud800") for _ in range(r.randint(0, 140))]
+        y = list(x)
+        for _ in range(r.randint(0, 12)):
+            k = r.randint(0, len(y))
+            y[k : k + r.randint(0, 2)] = r.choice(["", "a", "bb", "é"])
+        a.append("".join(x))
+        b.append("".join(y))
+    limits = np.array([r.choice([0, 1, 2, 5, 8, 15, 16, 31]) for _ in a])
+    want = [min(edit(x, y), limit + 1) for x, y, limit in zip(a, b, limits.tolist())]
+    for cells in (1 << 21, 300):
+        monkeypatch.setattr(line_dedup, "CELLS", cells)
+        assert line_dedup.edit_distances(a, b, limits).tolist() == want
+    monkeypatch.setattr(line_dedup, "CELLS", 1 << 21)
+    matches, compared = line_dedup._matches, []
+    monkeypatch.setattr(line_dedup, "_matches", lambda pattern, text, *x: compared.append(text.size) or matches(pattern, text, *x))
+    lines = [f"{'long front ' * 90}{k:04d} {k * k:06d}{' long back' * 90}" for k in range(40)]
+    assert line_dedup.edit_distances(lines[1:], lines[:-1], 9).tolist() == [edit(x[985:1005], y[985:1005]) for x, y in zip(lines[1:], lines)]
+    assert 0 < sum(compared) <= 39 * 20
+
+
+def test_keys_are_found_among_sorted_ones():
+    r = np.random.default_rng(3)
+    for size, low in [(1, 0), (2, 63), (500, 0), (500, 20), (500, 50)]:
+        keys = np.unique(r.integers(0, 2**64, size, np.uint64) >> np.uint64(low) << np.uint64(low))
+        others = r.integers(0, 2**64, 3000, np.uint64) >> np.uint64(low) << np.uint64(low)
+        asked = np.unique(np.concatenate((others, keys[::2], np.array([0, 2**64 - 1], np.uint64))))
+        for some in (asked, asked[:0], keys, keys[-1:], keys[:1]):
+            at, row = line_dedup._finder(keys)(some)
+            assert at.tolist() == np.flatnonzero(np.isin(some, keys)).tolist() and (keys[row] == some[at]).all()
